@@ -24,8 +24,10 @@ def l2_norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Scale to unit length; a zero vector is left as it is."""
-    norm = l2_norm(v)
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    divisor = F.when(l2_norm(v) > 0, l2_norm(v)).otherwise(F.lit(1.0))
+    # The outer lambda binds the divisor once instead of once per element.
+    scaled = F.transform(F.array(divisor), lambda d: F.transform(v, lambda x: x.cast("double") / d))
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
