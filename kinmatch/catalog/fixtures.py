@@ -83,7 +83,7 @@ def crm(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, url)
         .when(kind == 1, F.regexp_replace(url, "^https?://", ""))
         .when(kind == 2, F.upper(url))
-        .when(kind == 3, F.concat(F.lit("  "), url, F.lit(" \t")))
+        .when(kind == 3, F.concat(F.lit("\u00a0 "), url, F.lit(" \t")))
         .when(kind == 4, F.lit(""))
         .when(kind == 6, F.lit("https://"))
         .when(kind == 7, F.lit("not a url"))

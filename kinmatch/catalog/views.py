@@ -87,7 +87,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         """SELECT o_orderkey AS row_no, 'row_' || o_orderkey AS row_id, 'org_' || printf('%05d', o_orderkey) AS org_id,
              c_name AS name,
              CASE o_orderkey % 8 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?://', '')
-               WHEN 2 THEN upper(url) WHEN 3 THEN '  ' || url || ' ' || chr(9) WHEN 4 THEN ''
+               WHEN 2 THEN upper(url) WHEN 3 THEN chr(160) || ' ' || url || ' ' || chr(9) WHEN 4 THEN ''
                WHEN 6 THEN 'https://' WHEN 7 THEN 'not a url' END AS website,
              strftime(o_orderdate, '%Y-%m-%d') AS date_added,
              o_orderstatus AS status, o_orderpriority AS priority, c_mktsegment AS sector,
@@ -98,10 +98,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "checked": (
         ["crm"],
-        """SELECT *, CASE WHEN website IS NULL OR trim(website, chr(32) || chr(9)) = '' THEN false
+        """SELECT *, CASE WHEN website IS NULL OR trim(website, chr(32) || chr(9) || chr(160)) = '' THEN false
                ELSE regexp_extract(CASE WHEN regexp_matches(t, '^https?://') THEN t ELSE 'https://' || t END,
                                    '^https?://([^/?#]*)', 1) <> '' END AS valid
-      FROM (SELECT *, lower(trim(website, chr(32) || chr(9))) AS t FROM crm)""",
+      FROM (SELECT *, lower(trim(website, chr(32) || chr(9) || chr(160))) AS t FROM crm)""",
     ),
     "edges": (
         [],
