@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmatch.session import durable
+
 SPREAD = 64
 
 
@@ -55,21 +57,24 @@ def last_write(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def with_positions(df: DataFrame, key: str, name: str = "position", width: int = 1_000_000) -> DataFrame:
-    """Number rows from 0 in the order of a unique integer ``key``.
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "rank", start: int = 1) -> DataFrame:
+    """Number all rows in the given total order without gathering them in one task.
 
-    Rows are numbered inside ranges of ``width`` keys, and each range starts
-    where the one before it ends.  Only one count per range is gathered.
+    Rows are range-partitioned and sorted, stored with the number of their range,
+    and numbered inside it; each range starts where the one before it ends.  Only
+    one count per range is gathered.  The ranges are stored because recomputing
+    them could move their bounds.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / width))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(key)
+    inside = Window.partitionBy("_range").orderBy(*order)
     return (
         ranged.withColumn("_n", F.row_number().over(inside))
-        .join(starts, "_range")
-        .withColumn(name, F.col("_start") + F.col("_n") - 1)
+        .join(F.broadcast(starts), "_range")
+        .withColumn(name, F.col("_start") + F.col("_n") - 1 + start)
         .drop("_range", "_n", "_start")
     )
 
