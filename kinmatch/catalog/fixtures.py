@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmatch.functions.text import decode_entities, html_element
 from kinmatch.schemas import TEXT_FIELDS
+from kinmatch.sources.captures import from_html
 
 QUERY_COMPANIES = [13, 25, 37]
 FAILED_SOURCE = (13, 7)
@@ -148,3 +150,222 @@ def failed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     every, rest = FAILED_SOURCE
     parts = table(spark, sf_dir, "part")
     return parts.filter(F.col("p_partkey") % every == rest).select(company_url(F.col("p_partkey")).alias("src"))
+
+
+def page_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable text of each address's first page; every 17th capture failed."""
+    pages = table(spark, sf_dir, "pages")
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    read = from_html(pages.join(first, ["url", "page_id"], "left_semi"))
+    return read.withColumn("content", F.when(F.col("page_id") % 17 == 0, F.lit("")).otherwise(F.col("content")))
+
+
+def profile_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile fields read off the markup of each page."""
+    pages = table(spark, sf_dir, "pages")
+    html = F.col("html")
+    nav = F.regexp_extract(html, r"(?s)<nav>(.*?)</nav>", 1)
+    links = F.transform(
+        F.regexp_extract_all(nav, F.lit(r"<a [^>]*>([^<]*)</a>"), F.lit(1)), lambda x: decode_entities(x)
+    )
+    lang = F.regexp_extract(html, r'<html lang="([^"]*)"', 1)
+    return pages.select(
+        "page_id",
+        F.col("url").alias("company_id"),
+        html_element(html, "title").alias("company_description"),
+        F.when(F.col("page_id") % 9 == 0, F.lit("  ")).otherwise(lang).alias("industry_vertical"),
+        html_element(html, "h1").alias("product_form"),
+        F.regexp_extract("url", "^https?://([^/]*)", 1).alias("icp"),
+        F.get(links, F.lit(0)).alias("job_to_be_done"),
+        F.lit(None).cast("string").alias("revenue_model"),
+        links.alias("customer_list"),
+    )
+
+
+def profile_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles as JSON answers, one per address; every 13th page's is unusable."""
+    docs = profile_doc(spark, sf_dir)
+    fields = [c for c in docs.columns if c not in ("page_id", "company_id")]
+    kept = docs.groupBy("company_id").agg(F.min_by(F.struct("page_id", *fields), "page_id").alias("d"))
+    answer = F.to_json(F.struct(*[F.col(f"d.{f}") for f in fields]), {"ignoreNullFields": "false"})
+    broken = F.col("d.page_id") % 13 == 0
+    return kept.select("company_id", F.when(broken, F.lit("no profile")).otherwise(answer).alias("response"))
+
+
+def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile answers about each document: valid, broken, mistyped and empty ones."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    key = F.col("doc_id") % 6
+    base = [
+        F.col("text").alias("company_description"),
+        F.col("lang").alias("industry_vertical"),
+        F.when(F.col("quality") == 1, F.col("source")).alias("product_form"),
+    ]
+    extra = F.array("lang", "source").alias("customer_list")
+    keep = {"ignoreNullFields": "false"}
+    json = (
+        F.when(key == 0, F.to_json(F.struct(*base, extra, F.lit(1).alias("other_key")), keep))
+        .when(key == 1, F.concat(F.lit('{"company_description": '), F.to_json(F.struct("text"))))
+        .when(key == 2, F.to_json(F.struct(*base, F.col("n_chars").alias("icp")), keep))
+        .when(key == 3, F.lit("{}"))
+        .when(key == 4, F.to_json(F.struct(*base, F.array("doc_id").alias("customer_list")), keep))
+        .otherwise(F.to_json(F.array("lang", "source")))
+    )
+    return docs.select("doc_id", key.alias("kind"), json.alias("json"))
+
+
+def _upto(count: Column, make) -> Column:
+    """Array of ``make(i)`` for i from 0 below ``count``."""
+    size = count.cast("int")
+    return F.transform(
+        F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")), make
+    )
+
+
+SIGN_CYCLE = ["✓", "✗", "~", "?", "x"]
+
+
+def analysis_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Competitive analysis of each document's source, some lists empty or too long."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+
+    def sign(i, shift):
+        return F.get(F.array(*[F.lit(s) for s in SIGN_CYCLE]), ((key + i + shift) % 5).cast("int"))
+
+    def name(i):
+        return F.concat(F.lit("Rival "), (key * 7 + i).cast("string"))
+
+    competitors = _upto(
+        key % 13,
+        lambda i: F.struct(
+            name(i).alias("name"),
+            F.concat(F.col("lang"), F.lit(" rival")).alias("description"),
+            ((key + i) % 5).cast("int").alias("overlap_score"),
+            F.when((key + i) % 4 != 0, company_url(key * 7 + i)).alias("link"),
+        ),
+    )
+    matrix = _upto(
+        key % 13,
+        lambda i: F.struct(
+            name(i).alias("competitor_name"),
+            sign(i, 0).alias("feature_parity"),
+            sign(i, 1).alias("icp_overlap"),
+            sign(i, 2).alias("gtm_similarity"),
+            sign(i, 3).alias("pricing_similarity"),
+            F.col("source").alias("notable_edge"),
+        ),
+    )
+    segments = _upto(
+        key % 3,
+        lambda s: F.struct(
+            F.concat(F.col("lang"), F.lit(" segment "), s.cast("string")).alias("segment_name"),
+            _upto((key + s) % 5, lambda p: F.concat(F.lit("pain "), p.cast("string"))).alias("pain_points"),
+        ),
+    )
+    analysis = F.struct(
+        F.col("text").alias("summary"),
+        segments.alias("segments"),
+        F.concat_ws(" → ", "lang", "source").alias("market_map"),
+        F.col("source").alias("features"),
+        _upto(key % 7, lambda i: F.concat(F.lit("edge "), i.cast("string"))).alias("differentiators"),
+        competitors.alias("competitors"),
+        matrix.alias("matrix"),
+        F.col("source").alias("positioning_analysis"),
+    )
+    return docs.select("doc_id", "source", analysis.alias("analysis"))
+
+
+def analysis_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analyses as JSON answers: by key broken, mistyped, incomplete or valid."""
+    docs = analysis_doc(spark, sf_dir)
+    keep = {"ignoreNullFields": "false"}
+    query = F.concat(F.lit("Analysis of "), F.col("source")).alias("search_query_used")
+    body = F.col("analysis").alias("comprehensive_analysis")
+    kind = F.col("doc_id") % 6
+    mistyped = F.col("analysis").withField("summary", F.col("doc_id")).alias("comprehensive_analysis")
+    confidence = "search_confidence"
+    json = (
+        F.when(kind == 0, F.to_json(F.struct(query, F.lit("high").alias(confidence), body), keep))
+        .when(kind == 1, F.concat(F.to_json(F.struct(query)), F.lit("]")))
+        .when(kind == 2, F.to_json(F.struct(query, mistyped), keep))
+        .when(kind == 3, F.to_json(F.struct(body), keep))
+        .when(kind == 4, F.to_json(F.struct(query, F.lit(None).cast("string").alias(confidence), body), keep))
+        .otherwise(F.to_json(F.struct(query, body), keep))
+    )
+    return docs.select("doc_id", json.alias("json"))
+
+
+def overlap_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-dimension answers about each document; keys 3 and 5 of 6 are incomplete."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+    keep = {"ignoreNullFields": "false"}
+
+    def strings(*items):
+        return F.array(*items).cast("array<string>")
+
+    parts = {
+        "target_customer": F.struct(
+            F.when(key % 4 != 1, strings("lang", "source")).alias("customer_types"),
+            strings().alias("buyer_personas"),
+        ),
+        "job_to_be_done": F.struct(
+            F.col("text").alias("primary_problem"),
+            strings("source").alias("key_use_cases"),
+            F.lit("").alias("outcome_delivered"),
+        ),
+        "product_substitutability": F.struct(F.col("lang").alias("customer_comparison_behavior")),
+        "channel_distribution": F.struct(F.col("source").alias("gtm_strategy")),
+        "competitive_positioning": F.struct(strings("lang").alias("commonly_compared_to")),
+        "business_model": F.struct(F.when(key % 2 == 0, F.col("source")).alias("revenue_model")),
+    }
+    sources = F.when(key % 3 != 0, strings("source", "lang")).alias("sources")
+    confidence = F.lit("medium").alias("confidence_level")
+    columns = [v.alias(k) for k, v in parts.items()]
+    json = (
+        F.when(key % 6 == 3, F.to_json(F.struct(*columns[:-1], confidence, sources), keep))
+        .when(key % 6 == 5, F.to_json(F.struct(*columns, sources), keep))
+        .otherwise(F.to_json(F.struct(*columns, confidence, sources), keep))
+    )
+    return docs.select("doc_id", json.alias("json"))
+
+
+def detail_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail records of companies: websites in several shapes, keys that come and go."""
+    key = F.col("c_custkey")
+    site = F.concat(F.lit('"'), company_url(key), F.lit('"'))
+    parts = [
+        F.concat(F.lit('"id": '), key.cast("string")),
+        F.when(key % 7 != 0, F.concat(F.lit('"name": "'), F.col("c_name"), F.lit('"'))),
+        F.when(key % 5 == 0, F.concat(F.lit('"website": {"url": '), site, F.lit("}")))
+        .when(key % 5 == 1, F.concat(F.lit('"website": '), site))
+        .when(key % 5 == 2, F.lit('"website": null'))
+        .when(key % 5 == 4, F.lit('"website": {"rank": 1}')),
+        F.when(key % 3 == 0, F.concat(F.lit('"segment": "'), F.col("c_mktsegment"), F.lit('"'))),
+        F.when(key % 4 == 0, F.concat(F.lit('"nation": '), F.col("c_nationkey").cast("string"))),
+    ]
+    json = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    return table(spark, sf_dir, "customer").select(key.alias("rec_no"), json.alias("json"))
+
+
+def lookup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids to look up, in list order: runs of numbers, urns, and numbers with a stray."""
+    key = F.col("c_custkey")
+    run = F.floor(key / 500) % 3
+    identifier = (
+        F.when(run == 1, F.concat(F.lit("urn:company:"), key.cast("string")))
+        .when((run == 2) & (key % 500 == 250), F.concat(F.lit("stray-"), key.cast("string")))
+        .otherwise(key.cast("string"))
+    )
+    return table(spark, sf_dir, "customer").select(key.alias("pos"), identifier.alias("id"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search runs: elapsed seconds and result counts by group."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("run_id"),
+        F.col("event_type").alias("grp"),
+        (F.col("value") / 1000).alias("elapsed_s"),
+        (F.col("user_id") % 30).alias("result_count"),
+    )
