@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.functions.text import decode_entities, html_element
 from kinmatch.schemas import TEXT_FIELDS
-from kinmatch.sources.captures import from_html
+from kinmatch.sources.captures import with_content
 
 QUERY_COMPANIES = [13, 25, 37]
 FAILED_SOURCE = (13, 7)
@@ -156,22 +156,22 @@ def page_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable text of each address's first page; every 17th capture failed."""
     pages = table(spark, sf_dir, "pages")
     first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    read = from_html(pages.join(first, ["url", "page_id"], "left_semi"))
-    return read.withColumn("content", F.when(F.col("page_id") % 17 == 0, F.lit("")).otherwise(F.col("content")))
+    read = with_content(pages.join(first, ["url", "page_id"], "left_semi"))
+    content = F.when(F.col("page_id") % 17 == 0, F.lit("")).otherwise(F.col("content"))
+    return read.select("page_id", "url", content.alias("content"))
 
 
-def profile_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile fields read off the markup of each page."""
-    pages = table(spark, sf_dir, "pages")
+PROFILE = [*TEXT_FIELDS, "customer_list"]
+
+
+def with_profile(pages: DataFrame) -> DataFrame:
+    """Adds the profile fields that can be read off the markup of a page."""
     html = F.col("html")
     nav = F.regexp_extract(html, r"(?s)<nav>(.*?)</nav>", 1)
-    links = F.transform(
-        F.regexp_extract_all(nav, F.lit(r"<a [^>]*>([^<]*)</a>"), F.lit(1)), lambda x: decode_entities(x)
-    )
+    links = F.transform(F.regexp_extract_all(nav, F.lit(r"<a [^>]*>([^<]*)</a>"), F.lit(1)), decode_entities)
     lang = F.regexp_extract(html, r'<html lang="([^"]*)"', 1)
     return pages.select(
-        "page_id",
-        F.col("url").alias("company_id"),
+        "*",
         html_element(html, "title").alias("company_description"),
         F.when(F.col("page_id") % 9 == 0, F.lit("  ")).otherwise(lang).alias("industry_vertical"),
         html_element(html, "h1").alias("product_form"),
@@ -182,14 +182,22 @@ def profile_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_answer(pages: DataFrame) -> DataFrame:
+    """Adds the profile as a JSON ``response``; every 13th page's is unusable."""
+    answer = F.to_json(F.struct(*PROFILE), {"ignoreNullFields": "false"})
+    response = F.when(F.col("page_id") % 13 == 0, F.lit("no profile")).otherwise(answer)
+    return with_profile(pages).withColumn("response", response).drop(*PROFILE)
+
+
+def profile_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile of each page."""
+    return with_profile(table(spark, sf_dir, "pages")).select("page_id", F.col("url").alias("company_id"), *PROFILE)
+
+
 def profile_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles as JSON answers, one per address; every 13th page's is unusable."""
-    docs = profile_doc(spark, sf_dir)
-    fields = [c for c in docs.columns if c not in ("page_id", "company_id")]
-    kept = docs.groupBy("company_id").agg(F.min_by(F.struct("page_id", *fields), "page_id").alias("d"))
-    answer = F.to_json(F.struct(*[F.col(f"d.{f}") for f in fields]), {"ignoreNullFields": "false"})
-    broken = F.col("d.page_id") % 13 == 0
-    return kept.select("company_id", F.when(broken, F.lit("no profile")).otherwise(answer).alias("response"))
+    """The answer about each address: that of its first page."""
+    pages = with_answer(table(spark, sf_dir, "pages"))
+    return pages.groupBy(F.col("url").alias("company_id")).agg(F.min_by("response", "page_id").alias("response"))
 
 
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:

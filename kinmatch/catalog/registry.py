@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["search", "crm", "graph"]
+AREAS = ["search", "store", "crm", "graph"]
 
 
 def queries() -> dict:

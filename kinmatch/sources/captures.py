@@ -9,9 +9,9 @@ from kinmatch.functions.text import html_text
 from kinmatch.functions.urls import is_blank
 
 
-def from_html(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Readable text of raw pages."""
-    return pages.withColumn("content", html_text(F.col(html))).drop(html).withColumnRenamed(url, "url")
+def with_content(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds the readable text of raw pages."""
+    return pages.withColumn("content", html_text(F.col(html)))
 
 
 def successful(captures: DataFrame) -> DataFrame:
