@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["search", "store", "crm", "graph"]
+AREAS = ["search", "store", "crm", "graph", "documents"]
 
 
 def queries() -> dict:

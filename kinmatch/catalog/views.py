@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kinmatch.catalog.fixtures import QUERY_COMPANIES
+from kinmatch.functions.text import HTML_DROPPED, HTML_ENTITIES
 from kinmatch.schemas import FIELD_WEIGHTS, TEXT_FIELDS
 
 _FIELDS = ", ".join(f"'{f}'" for f in TEXT_FIELDS)
@@ -31,6 +32,23 @@ def cosine(a: str, b: str) -> str:
              ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity({a}, {b}))) END"""
 
 
+def decoded(text: str) -> str:
+    for entity, char in HTML_ENTITIES:
+        text = f"replace({text}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+def page_text(html: str) -> str:
+    for pattern in HTML_DROPPED:
+        html = f"regexp_replace({html}, '{pattern}', ' ', 'g')"
+    return f"trim(regexp_replace({decoded(html)}, '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+def _element(tag: str) -> str:
+    inner = f"regexp_extract(html, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1)"
+    return f"nullif({page_text(inner)}, '')"
+
+
 VIEWS: dict[str, tuple[list[str], str]] = {
     "company_vec": (
         [],
@@ -118,6 +136,150 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         [],
         "SELECT 'https://company' || printf('%05d', p_partkey) || '.com' AS src FROM part WHERE p_partkey % 13 = 7",
     ),
+    "profile_doc": (
+        [],
+        f"""SELECT page_id, company_id, company_description, industry_vertical, product_form, icp,
+             links[1] AS job_to_be_done, NULL::VARCHAR AS revenue_model, links AS customer_list
+      FROM (SELECT page_id, url AS company_id, {_element('title')} AS company_description,
+              CASE WHEN page_id % 9 = 0 THEN '  ' ELSE regexp_extract(html, '<html lang="([^"]*)"', 1) END
+                AS industry_vertical,
+              {_element('h1')} AS product_form, regexp_extract(url, '^https?://([^/]*)', 1) AS icp,
+              list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1),
+                '<a [^>]*>([^<]*)</a>', 1), lambda x: {decoded('x')}) AS links
+            FROM pages)""",
+    ),
+    "page_capture": (
+        [],
+        f"""SELECT page_id, url, CASE WHEN page_id % 17 = 0 THEN '' ELSE {page_text('html')} END AS content
+      FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS n FROM pages) WHERE n = 1""",
+    ),
+    "profile_response": (
+        [],
+        """SELECT doc_id, doc_id % 6 AS kind, CASE doc_id % 6
+             WHEN 0 THEN json_object('company_description', text, 'industry_vertical', lang,
+               'product_form', CASE WHEN quality = 1 THEN source END, 'customer_list', [lang, source], 'other_key', 1)::VARCHAR
+             WHEN 1 THEN '{"company_description": ' || json_object('text', text)::VARCHAR
+             WHEN 2 THEN json_object('company_description', text, 'industry_vertical', lang,
+               'product_form', CASE WHEN quality = 1 THEN source END, 'icp', n_chars)::VARCHAR
+             WHEN 3 THEN '{}'
+             WHEN 4 THEN json_object('company_description', text, 'industry_vertical', lang,
+               'product_form', CASE WHEN quality = 1 THEN source END, 'customer_list', [doc_id])::VARCHAR
+             ELSE to_json([lang, source])::VARCHAR END AS json
+      FROM documents LEFT JOIN labels USING (doc_id)""",
+    ),
+    "profile_valid": (
+        ["profile_response"],
+        "SELECT * FROM (SELECT *, "
+        + "json_valid(json) AND json_type(json) = 'OBJECT' AND "
+        + " AND ".join(
+            f"coalesce(json_type(json, '$.{f}') IN ('VARCHAR', 'NULL'), true)" for f in TEXT_FIELDS
+        )
+        + " AND coalesce(json_type(json, '$.customer_list') IN ('ARRAY', 'NULL'), true)"
+        + " AND len(list_filter(json_type(json, '$.customer_list[*]'), lambda t: t <> 'VARCHAR')) = 0 AS valid"
+        + " FROM (SELECT doc_id, kind, CASE WHEN json_valid(json) THEN json ELSE 'null' END AS json"
+        + " FROM profile_response))",
+    ),
+    "analysis": (
+        [],
+        """SELECT doc_id, lang, source, text,
+             list_transform(range(doc_id % 13), lambda i: {'name': 'Rival ' || (doc_id * 7 + i),
+               'description': lang || ' rival', 'overlap_score': (doc_id + i) % 5,
+               'link': CASE WHEN (doc_id + i) % 4 <> 0
+                 THEN 'https://company' || printf('%05d', doc_id * 7 + i) || '.com' END}) AS competitors,
+             list_transform(range(doc_id % 13), lambda i: {'competitor_name': 'Rival ' || (doc_id * 7 + i),
+               'feature_parity': (['✓', '✗', '~', '?', 'x'])[(doc_id + i) % 5 + 1],
+               'icp_overlap': (['✓', '✗', '~', '?', 'x'])[(doc_id + i + 1) % 5 + 1],
+               'gtm_similarity': (['✓', '✗', '~', '?', 'x'])[(doc_id + i + 2) % 5 + 1],
+               'pricing_similarity': (['✓', '✗', '~', '?', 'x'])[(doc_id + i + 3) % 5 + 1],
+               'notable_edge': source}) AS matrix,
+             list_transform(range(doc_id % 3), lambda s: {'segment_name': lang || ' segment ' || s,
+               'pain_points': list_transform(range((doc_id + s) % 5), lambda p: 'pain ' || p)}) AS segments,
+             list_transform(range(doc_id % 7), lambda i: 'edge ' || i) AS differentiators
+      FROM documents""",
+    ),
+    "analysis_json": (
+        ["analysis"],
+        """SELECT doc_id, CASE doc_id % 6
+             WHEN 0 THEN json_object('search_query_used', 'Analysis of ' || source, 'search_confidence', 'high',
+               'comprehensive_analysis', body)::VARCHAR
+             WHEN 1 THEN json_object('search_query_used', 'Analysis of ' || source)::VARCHAR || ']'
+             WHEN 2 THEN json_object('search_query_used', 'Analysis of ' || source,
+               'comprehensive_analysis', json_merge_patch(body, json_object('summary', doc_id)))::VARCHAR
+             WHEN 3 THEN json_object('comprehensive_analysis', body)::VARCHAR
+             WHEN 4 THEN json_object('search_query_used', 'Analysis of ' || source, 'search_confidence', NULL,
+               'comprehensive_analysis', body)::VARCHAR
+             ELSE json_object('search_query_used', 'Analysis of ' || source, 'comprehensive_analysis', body)::VARCHAR
+             END AS json
+      FROM (SELECT *, json_object('summary', text, 'segments', segments, 'market_map', lang || ' → ' || source,
+              'features', source, 'differentiators', differentiators, 'competitors', competitors,
+              'matrix', matrix, 'positioning_analysis', source) AS body FROM analysis)""",
+    ),
+    "analysis_valid": (
+        ["analysis_json"],
+        """SELECT doc_id, json, coalesce(json_type(json, '$.search_query_used') = 'VARCHAR'
+             AND json_type(json, '$.comprehensive_analysis.summary') = 'VARCHAR'
+             AND json_type(json, '$.comprehensive_analysis.competitors') = 'ARRAY', false) AS valid
+      FROM (SELECT doc_id, CASE WHEN json_valid(json) THEN json ELSE 'null' END AS json FROM analysis_json)""",
+    ),
+    "good_analysis": (
+        ["analysis", "analysis_valid"],
+        "SELECT * FROM analysis SEMI JOIN (SELECT doc_id FROM analysis_valid WHERE valid) USING (doc_id)",
+    ),
+    "overlap_json": (
+        [],
+        """SELECT doc_id, json_merge_patch(json_object(
+               'target_customer', json_object('customer_types', CASE WHEN doc_id % 4 <> 1 THEN [lang, source] END,
+                 'buyer_personas', []),
+               'job_to_be_done', json_object('primary_problem', text, 'key_use_cases', [source],
+                 'outcome_delivered', ''),
+               'product_substitutability', json_object('customer_comparison_behavior', lang),
+               'channel_distribution', json_object('gtm_strategy', source),
+               'competitive_positioning', json_object('commonly_compared_to', [lang]),
+               'sources', CASE WHEN doc_id % 3 <> 0 THEN [source, lang] END),
+             json_merge_patch(
+               CASE WHEN doc_id % 6 <> 3 THEN json_object('business_model',
+                 CASE WHEN doc_id % 2 = 0 THEN json_object('revenue_model', source) ELSE json('{}') END)
+                 ELSE json('{}') END,
+               CASE WHEN doc_id % 6 <> 5 THEN json_object('confidence_level', 'medium') ELSE json('{}') END)) AS json
+      FROM documents""",
+    ),
+    "overlap_valid": (
+        ["overlap_json"],
+        """SELECT doc_id, json, coalesce(json_type(json, '$.business_model') = 'OBJECT'
+             AND json_type(json, '$.confidence_level') = 'VARCHAR', false) AS valid FROM overlap_json""",
+    ),
+    "detail": (
+        [],
+        """SELECT c_custkey AS rec_no, json_merge_patch(json_merge_patch(json_merge_patch(
+             json_object('id', c_custkey),
+             CASE WHEN c_custkey % 7 <> 0 THEN json_object('name', c_name) ELSE json('{}') END),
+             CASE c_custkey % 5 WHEN 0 THEN json_object('website', json_object('url', site))
+               WHEN 1 THEN json_object('website', site) WHEN 4 THEN json_object('website', json_object('rank', 1))
+               ELSE json('{}') END),
+             json_merge_patch(CASE WHEN c_custkey % 3 = 0 THEN json_object('segment', c_mktsegment) ELSE json('{}') END,
+               CASE WHEN c_custkey % 4 = 0 THEN json_object('nation', c_nationkey) ELSE json('{}') END)) AS json
+      FROM (SELECT *, 'https://company' || printf('%05d', c_custkey) || '.com' AS site FROM customer)""",
+    ),
+    "shown_detail": (
+        ["detail"],
+        """SELECT rec_no, coalesce(json_extract_string(json, '$.name'), 'Unknown Company') AS name,
+             CASE json_type(json, '$.website')
+               WHEN 'OBJECT' THEN coalesce(json_extract_string(json, '$.website.url'), 'No website found')
+               WHEN 'VARCHAR' THEN json_extract_string(json, '$.website') ELSE 'No website found' END AS website
+      FROM detail""",
+    ),
+    "lookup": (
+        [],
+        """SELECT c_custkey AS pos, c_custkey // 500 AS batch, CASE WHEN c_custkey // 500 % 3 = 1
+               THEN 'urn:company:' || c_custkey WHEN c_custkey // 500 % 3 = 2 AND c_custkey % 500 = 250
+               THEN 'stray-' || c_custkey ELSE c_custkey::VARCHAR END AS id FROM customer""",
+    ),
+    "lookup_kinds": (
+        ["lookup"],
+        """SELECT batch, count(*) AS size, CASE WHEN arg_min(id, pos) LIKE 'urn:%'
+             OR NOT bool_and(regexp_matches(id, '^[0-9]+$')) THEN 'urns' ELSE 'ids' END AS kind
+      FROM lookup GROUP BY 1""",
+    ),
 }
 
 

@@ -33,6 +33,16 @@ def _items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
+def _members(value: Column) -> Column:
+    """Keys and values of an object, null for anything else."""
+    return F.try_variant_get(value, "$", "map<string, variant>")
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _is(value: Column, dtype: T.DataType) -> Column:
     kind = _kind(value)
     if isinstance(dtype, T.StringType):
@@ -46,22 +56,25 @@ def _is(value: Column, dtype: T.DataType) -> Column:
         number = (kind == "BIGINT") | (kind == "STRING") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
         return (kind == "BOOLEAN") | (number & _text(value).rlike(_INTEGER))
     if isinstance(dtype, T.ArrayType):
-        return F.startswith(kind, F.lit("ARRAY")) & F.forall(
-            _items(value), lambda item: F.coalesce(_is(item, dtype.elementType), F.lit(False))
-        )
+        return F.forall(_items(value), lambda item: F.coalesce(_is(item, dtype.elementType), F.lit(False)))
     if isinstance(dtype, T.StructType):
-        checks = F.startswith(kind, F.lit("OBJECT"))
-        for f in dtype.fields:
-            part = _get(value, f"$.{f.name}")
-            good = F.coalesce(_is(part, f.dataType), F.lit(False))
-            checks = checks & (good | part.isNull() | F.is_variant_null(part) if f.nullable else good)
-        return checks
+        return _let(_members(value), lambda members: _fits(members, dtype))
     raise TypeError(f"no rule for {dtype.simpleString()}")
 
 
+def _fits(members: Column, schema: T.StructType) -> Column:
+    """True when the members of an object satisfy the fields of the schema."""
+    checks = members.isNotNull()
+    for f in schema.fields:
+        part = members[f.name]
+        good = F.coalesce(_is(part, f.dataType), F.lit(False))
+        checks = checks & (part.isNull() | F.is_variant_null(part) | good if f.nullable else good)
+    return F.coalesce(checks, F.lit(False))
+
+
 def is_valid(json: Column, schema: T.StructType) -> Column:
     """True when the text is a JSON object that fits the schema; unknown keys are ignored."""
-    return F.coalesce(_is(F.try_parse_json(json), schema), F.lit(False))
+    return _let(_members(F.try_parse_json(json)), lambda members: _fits(members, schema))
 
 
 def validate(json: Column, schema: T.StructType, defaults: Mapping[str, str] | None = None) -> Column:
@@ -69,12 +82,15 @@ def validate(json: Column, schema: T.StructType, defaults: Mapping[str, str] | N
 
     ``defaults`` fill top-level keys that are absent; an explicit null stays null.
     """
-    parsed = F.try_parse_json(json)
-    document = F.try_variant_get(parsed, "$", _plain(schema).simpleString())
-    for name, default in (defaults or {}).items():
-        absent = _get(parsed, f"$.{name}").isNull()
-        document = document.withField(name, F.when(absent, F.lit(default)).otherwise(document[name]))
-    return F.when(is_valid(json, schema), document)
+
+    def checked(parsed: Column) -> Column:
+        document = F.try_variant_get(parsed, "$", _plain(schema).simpleString())
+        for name, default in (defaults or {}).items():
+            absent = _get(parsed, f"$.{name}").isNull()
+            document = document.withField(name, F.when(absent, F.lit(default)).otherwise(document[name]))
+        return F.when(_is(parsed, schema), document)
+
+    return _let(F.try_parse_json(json), checked)
 
 
 def _plain(dtype: T.DataType) -> T.DataType:
