@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["search", "store", "crm", "graph", "documents"]
+AREAS = ["search", "store", "crm", "graph", "documents", "details", "enrich", "reports"]
 
 
 def queries() -> dict:

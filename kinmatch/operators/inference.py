@@ -19,7 +19,7 @@ def infer(text: Column, model: Callable[[], Callable], dtype: T.DataType | str =
     """
     import pandas as pd
 
-    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def answers(batches):
         ask = model()
 
         def one(value):
@@ -41,4 +41,5 @@ def infer(text: Column, model: Callable[[], Callable], dtype: T.DataType | str =
                 out.at[index] = answer
             yield out
 
+    answers.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(answers, dtype).asNondeterministic()(text)

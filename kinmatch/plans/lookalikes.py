@@ -15,6 +15,7 @@ from kinmatch.plans.search import search_exact, search_two_stage
 from kinmatch.schemas import ANALYSIS_DEFAULTS, ANALYSIS_RESPONSE, LOOKALIKES, OVERLAP_RESPONSE, TOP_K_PER_FIELD
 from kinmatch.session import durable
 from kinmatch.sources import captures as C
+from kinmatch.sources.vectors import scan_companies
 
 
 def lookalikes_by_domain(
@@ -23,12 +24,14 @@ def lookalikes_by_domain(
     """Name and website of the ``n`` companies most like each site's company.
 
     ``directory`` is ``(domain, entity_id)`` with the entity id a company id of the
-    vector table; ``details`` is ``(company_id, json)``.
+    vector table; ``details`` is ``(company_id, json)``.  The short lists between
+    the steps are stored, so that their sizes are known where they meet the large
+    tables.
     """
-    entities = D.entity_by_domain(sites, directory).select("entity_id").distinct()
-    query = vectors.join(entities, vectors.company_id == entities.entity_id, "left_semi")
-    best = search_exact(vectors, query.withColumnRenamed("company_id", "query_id"), n)
-    return D.names_and_sites(best.select("query_id", "company_id", "rank").join(details, "company_id"))
+    entities = durable(D.entity_by_domain(sites, directory).select(F.col("entity_id").alias("company_id")).distinct())
+    query = durable(scan_companies(vectors, entities).select(F.col("company_id").alias("query_id"), "field_name", "embedding"))
+    best = durable(search_exact(vectors, query, n).select("query_id", "company_id", "rank"))
+    return D.names_and_sites(best.join(details, "company_id"))
 
 
 def research(captures: DataFrame, respond: Callable[[DataFrame], DataFrame]) -> DataFrame:
