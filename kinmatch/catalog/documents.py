@@ -26,8 +26,7 @@ def _profiles(spark, sf_dir):
 
 def _analyses(spark, sf_dir):
     rows = X.analysis_response(spark, sf_dir)
-    document = validate(F.col("json"), ANALYSIS_RESPONSE, ANALYSIS_DEFAULTS)
-    return rows.select("doc_id", document.alias("document")).filter("document IS NOT NULL")
+    return N.valid_documents(rows, "json", ANALYSIS_RESPONSE, ANALYSIS_DEFAULTS)
 
 
 def _overlaps(spark, sf_dir):
@@ -103,7 +102,8 @@ def doc_quality_audit(spark, sf_dir):
 
 
 def placeholder_fill(spark, sf_dir):
-    return N.overlap_rows(_overlaps(spark, sf_dir).filter("document IS NOT NULL"), ["doc_id"])
+    valid = N.valid_documents(X.overlap_response(spark, sf_dir), "json", OVERLAP_RESPONSE)
+    return N.overlap_rows(valid, ["doc_id"])
 
 
 def bool_label(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinmatch.catalog import fixtures as X
 from kinmatch.catalog.views import page_text as page_text_sql
 from kinmatch.catalog.views import with_views
-from kinmatch.functions.embed import hashed_words
+from kinmatch.functions.embed import embed_text
 from kinmatch.operators import documents as N
 from kinmatch.operators.inference import infer
 from kinmatch.plans import enrich as P
@@ -26,7 +26,7 @@ def _filled(embedding: str):
 
 
 def page_text(spark, sf_dir):
-    pages = C.with_content(X.table(spark, sf_dir, "pages"))
+    pages = C.with_content(X.texts(spark, sf_dir, "pages"))
     return C.successful(pages).select("page_id", "content", F.length("content").alias("size"))
 
 
@@ -36,8 +36,9 @@ def page_captures(spark, sf_dir):
 
 def text_hash_embed(spark, sf_dir):
     """Non-zero components of the embedding of every document."""
-    docs = X.table(spark, sf_dir, "documents")
-    return hashed_words(docs, ["doc_id"], "text").select("doc_id", "bucket", F.round("value", 4).alias("value"))
+    docs = X.texts(spark, sf_dir, "documents")
+    parts = docs.select("doc_id", F.posexplode(embed_text(F.col("text"))).alias("bucket", "value"))
+    return parts.filter("value <> 0").select("doc_id", "bucket", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 def infer_stub(spark, sf_dir):
@@ -53,7 +54,7 @@ def infer_stub(spark, sf_dir):
 
         return ask
 
-    docs = X.table(spark, sf_dir, "documents")
+    docs = X.texts(spark, sf_dir, "documents")
     answers = docs.select("doc_id", infer(F.concat_ws(":", "lang", "text"), model).alias("answer"))
     return answers.filter("answer IS NOT NULL")
 
@@ -212,7 +213,7 @@ ORACLES = {
     "page_text": f"""SELECT page_id, t AS content, length(t)::INTEGER AS size
         FROM (SELECT page_id, {page_text_sql('html')} AS t FROM pages) WHERE t <> ''""",
     "page_captures": with_views("page_capture", "SELECT page_id, url, content FROM page_capture WHERE content <> ''"),
-    "text_hash_embed": f"""SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS value
+    "text_hash_embed": f"""SELECT doc_id, bucket::INTEGER AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS value
         FROM (SELECT doc_id, {_HEX} AS bucket, count(*) AS n
               FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents
                     WHERE regexp_matches(text, '[^ \\t\\r\\n]')) GROUP BY 1, 2)""",

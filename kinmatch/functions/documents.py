@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinmatch.functions.bind import let
+
 _INTEGER = r"^[ \t\r\n]*[+-]?[0-9]+(\.0+)?[ \t\r\n]*$"
 # Texts that count as a boolean.
 _BOOLEAN = ["0", "f", "false", "n", "no", "1", "t", "true", "y", "yes"]
@@ -38,11 +40,6 @@ def _members(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string, variant>")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _is(value: Column, dtype: T.DataType) -> Column:
     kind = _kind(value)
     if isinstance(dtype, T.StringType):
@@ -58,7 +55,7 @@ def _is(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.ArrayType):
         return F.forall(_items(value), lambda item: F.coalesce(_is(item, dtype.elementType), F.lit(False)))
     if isinstance(dtype, T.StructType):
-        return _let(_members(value), lambda members: _fits(members, dtype))
+        return let(_members(value), lambda members: _fits(members, dtype))
     raise TypeError(f"no rule for {dtype.simpleString()}")
 
 
@@ -74,7 +71,7 @@ def _fits(members: Column, schema: T.StructType) -> Column:
 
 def is_valid(json: Column, schema: T.StructType) -> Column:
     """True when the text is a JSON object that fits the schema; unknown keys are ignored."""
-    return _let(_members(F.try_parse_json(json)), lambda members: _fits(members, schema))
+    return let(_members(F.try_parse_json(json)), lambda members: _fits(members, schema))
 
 
 def validate(json: Column, schema: T.StructType, defaults: Mapping[str, str] | None = None) -> Column:
@@ -90,7 +87,7 @@ def validate(json: Column, schema: T.StructType, defaults: Mapping[str, str] | N
             document = document.withField(name, F.when(absent, F.lit(default)).otherwise(document[name]))
         return F.when(_is(parsed, schema), document)
 
-    return _let(F.try_parse_json(json), checked)
+    return let(F.try_parse_json(json), checked)
 
 
 def _plain(dtype: T.DataType) -> T.DataType:

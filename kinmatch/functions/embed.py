@@ -1,45 +1,33 @@
 """A default text embedding: counts of hashed words, scaled to unit length.
 
-It stands in where no model is plugged in.  All steps are native: a text's words
-are counted in the task that reads the text, so at most ``dim`` small rows per
-text reach the shuffle.
+It stands in where no model is plugged in.  The whole embedding is one column
+expression, so it needs no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinmatch.functions.bind import let
 from kinmatch.functions.urls import is_blank, strip
+from kinmatch.functions.vectors import normalise
 
 DIM = 64
 
 
-def word_bucket(word: Column, dim: int) -> Column:
+def word_bucket(word: Column, dim: int = DIM) -> Column:
     """Bucket of a word, from the first seven hex digits of its MD5."""
-    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("bigint") % dim
-
-
-def hashed_words(rows: DataFrame, keys: Sequence[str], text: str, dim: int = DIM) -> DataFrame:
-    """``keys, bucket, value`` of each non-blank text, with unit length per text."""
-    texts = rows.filter(~is_blank(F.col(text))).select(*keys, F.lower(strip(F.col(text))).alias("_t"))
-    words = texts.select(*keys, F.explode(F.split("_t", "[ \\t\\r\\n]+")).alias("_w"))
-    counts = words.groupBy(*keys, word_bucket(F.encode("_w", "UTF-8"), dim).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    entries = counts.groupBy(*keys).agg(F.collect_list(F.struct("bucket", "_n")).alias("_e"))
-    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["_n"].cast("double") * e["_n"].cast("double")))
-    return entries.withColumn("_norm", norm).select(*keys, "_norm", F.inline("_e")).select(
-        *keys, "bucket", (F.col("_n") / F.col("_norm")).alias("value")
-    )
-
-
-def embed_texts(rows: DataFrame, keys: Sequence[str], text: str, dim: int = DIM) -> DataFrame:
-    """``keys, embedding`` of each non-blank text."""
-    entries = hashed_words(rows, keys, text, dim)
-    dense = entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))
-    slots = F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint"))
-    vector = F.transform(slots, lambda b: F.coalesce(F.col("_m")[b], F.lit(0.0)).cast("float"))
-    return dense.select(*keys, vector.alias("embedding"))
+    return F.conv(F.substring(F.md5(F.encode(word, "UTF-8")), 1, 7), 16, 10).cast("int") % dim
+
+
+def embed_text(text: Column, dim: int = DIM) -> Column:
+    """Unit vector of the word counts of a text, null for a blank one."""
+    words = F.split(F.lower(strip(text)), "[ \\t\\r\\n]+")
+    slots = F.sequence(F.lit(0), F.lit(dim - 1))
+
+    def counts(buckets: Column) -> Column:
+        return F.transform(slots, lambda slot: F.size(F.filter(buckets, lambda b: b == slot)))
+
+    vector = let(let(F.transform(words, lambda w: word_bucket(w, dim)), counts), normalise)
+    return F.when(~is_blank(text), F.transform(vector, lambda x: x.cast("float")))

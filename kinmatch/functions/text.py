@@ -126,7 +126,10 @@ def describe(choice: Column, slots: Mapping[str, Column], templates: Sequence[st
 
 
 def padded(prefix: str, number: Column, width: int = 5, suffix: str = "") -> Column:
-    return F.format_string(f"{prefix}%0{width}d{suffix}", number)
+    """Zero-padded number between two texts; a longer number keeps all its digits."""
+    digits = number.cast("string")
+    filled = F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+    return F.concat(F.lit(prefix), filled, F.lit(suffix))
 
 
 def labelled_lines(parts: Sequence[tuple[str, Column]]) -> Column:

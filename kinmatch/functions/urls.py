@@ -10,6 +10,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinmatch.functions.bind import let
+
 # The characters Python counts as whitespace, as a regex class body.
 SPACE = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -57,16 +59,20 @@ def is_valid_website(url: Column) -> Column:
     The host may be any non-empty text up to ``/``, ``?`` or ``#``, so
     ``not a url`` is valid; a bracketed host must be an IP literal.
     """
-    text = F.lower(strip(url))
-    text = F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
-    host = F.regexp_extract(F.regexp_replace(text, r"[\t\r\n]", ""), r"^https?://([^/?#]*)", 1)
+    bare = F.lower(strip(url))
+    prefixed = let(bare, lambda t: F.when(t.rlike("^https?://"), t).otherwise(F.concat(F.lit("https://"), t)))
+    host = F.regexp_extract(F.regexp_replace(prefixed, r"[\t\r\n]", ""), "^https?://([^/?#]*)", 1)
+    return F.when(is_blank(url), F.lit(False)).otherwise(let(host, _is_host))
+
+
+def _is_host(host: Column) -> Column:
+    plain = host.rlike(r"^[\x21-\x7e&&[^\[\]]]+$")
     opens, closes = host.contains("["), host.contains("]")
     literal = F.regexp_extract(host, r"^[^\[]*\[([^\]]*)", 1)
     brackets_ok = (~opens & ~closes) | (
         opens & closes & literal.rlike(f"^(?:v[0-9a-f]+\\..+|{_ip6()})$")
     )
-    named = (host != "") & brackets_ok & ~host.rlike(_unsafe_in_host())
-    return F.when(is_blank(url), F.lit(False)).otherwise(named)
+    return plain | ((host != "") & brackets_ok & ~host.rlike(_unsafe_in_host()))
 
 
 def with_scheme(url: Column) -> Column:

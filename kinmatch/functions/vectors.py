@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinmatch.functions.bind import let
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
@@ -25,9 +27,7 @@ def l2_norm(v: Column) -> Column:
 def normalise(v: Column) -> Column:
     """Scale to unit length; a zero vector is left as it is."""
     divisor = F.when(l2_norm(v) > 0, l2_norm(v)).otherwise(F.lit(1.0))
-    # The outer lambda binds the divisor once instead of once per element.
-    scaled = F.transform(F.array(divisor), lambda d: F.transform(v, lambda x: x.cast("double") / d))
-    return F.get(scaled, F.lit(0))
+    return let(divisor, lambda d: F.transform(v, lambda x: x.cast("double") / d))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kinmatch.functions.bind import with_once
+from kinmatch.functions.documents import validate
 from kinmatch.functions.text import NO_SOURCES, join_items, or_placeholder
 from kinmatch.functions.urls import is_blank
 from kinmatch.schemas import LIST_FIELDS, OVERLAP_RESPONSE, TEXT_FIELDS
-from pyspark.sql import types as T
+
+
+def valid_documents(
+    rows: DataFrame, json: str, schema: T.StructType, defaults: Mapping[str, str] | None = None, name: str = "document"
+) -> DataFrame:
+    """Rows whose JSON fits the schema, with the document as a struct instead."""
+    checked = with_once(rows, name, validate(F.col(json), schema, defaults))
+    return checked.filter(F.col(name).isNotNull()).drop(json)
 
 
 def profile_rows(

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.functions.documents import validate
-from kinmatch.functions.embed import embed_texts
+from kinmatch.functions.bind import with_once
+from kinmatch.functions.embed import embed_text
 from kinmatch.functions.text import document_id
 from kinmatch.functions.urls import is_blank, with_scheme
-from kinmatch.operators.documents import profile_rows
+from kinmatch.operators.documents import profile_rows, valid_documents
 from kinmatch.operators.ranking import top_n
 from kinmatch.operators.similarity import weighted_fields
 from kinmatch.schemas import COMPANY_PROFILE, FIELD_WEIGHTS
@@ -37,9 +37,8 @@ def first_successes(rows: DataFrame, n: int, seq: str = "row_no") -> DataFrame:
 
 def profiles(visited: DataFrame, respond: Step) -> DataFrame:
     """Companies whose answer is a valid profile; ``respond`` adds ``response``."""
-    answered = respond(visited).withColumn("_profile", validate(F.col("response"), COMPANY_PROFILE))
-    kept = [c for c in answered.columns if c not in ("response", "content", "_profile")]
-    return answered.filter(F.col("_profile").isNotNull()).select(*kept, "_profile.*")
+    valid = valid_documents(respond(visited).drop("content"), "response", COMPANY_PROFILE, name="_profile")
+    return valid.select(*[c for c in valid.columns if c != "_profile"], "_profile.*")
 
 
 def field_texts(companies: DataFrame, seq: str = "row_no") -> DataFrame:
@@ -57,7 +56,8 @@ def field_texts(companies: DataFrame, seq: str = "row_no") -> DataFrame:
 
 def with_embedding(rows: DataFrame) -> DataFrame:
     """Add the default embedding; records without one drop out."""
-    return rows.join(embed_texts(rows, ["doc_id"], "text_content"), "doc_id")
+    embedded = with_once(rows, "embedding", embed_text(F.col("text_content")))
+    return embedded.filter(F.col("embedding").isNotNull())
 
 
 def enrich(

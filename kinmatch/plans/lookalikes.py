@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.functions.documents import validate
 from kinmatch.operators import details as D
 from kinmatch.operators import documents as N
 from kinmatch.operators import reports as R
@@ -36,16 +35,14 @@ def lookalikes_by_domain(
 
 def research(captures: DataFrame, respond: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Validated competitive analyses of captured pages; failures drop out."""
-    answered = respond(C.successful(captures))
-    documents = answered.withColumn("document", validate(F.col("response"), ANALYSIS_RESPONSE, ANALYSIS_DEFAULTS))
-    return documents.filter(F.col("document").isNotNull()).drop("response", "content")
+    answered = respond(C.successful(captures)).drop("content")
+    return N.valid_documents(answered, "response", ANALYSIS_RESPONSE, ANALYSIS_DEFAULTS)
 
 
 def overlap_profile(captures: DataFrame, respond: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
     """Six-dimension profiles of captured pages, one shown value per row."""
-    answered = respond(C.successful(captures))
-    documents = answered.withColumn("document", validate(F.col("response"), OVERLAP_RESPONSE))
-    return N.overlap_rows(documents.filter(F.col("document").isNotNull()), keys)
+    answered = respond(C.successful(captures)).drop("content")
+    return N.overlap_rows(N.valid_documents(answered, "response", OVERLAP_RESPONSE), keys)
 
 
 def quality_report(

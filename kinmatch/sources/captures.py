@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.functions.bind import with_once
 from kinmatch.functions.text import html_text
 from kinmatch.functions.urls import is_blank
 
 
 def with_content(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds the readable text of raw pages."""
-    return pages.withColumn("content", html_text(F.col(html)))
+    return with_once(pages, "content", html_text(F.col(html)))
 
 
 def successful(captures: DataFrame) -> DataFrame:
