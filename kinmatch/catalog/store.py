@@ -11,19 +11,21 @@ from kinmatch.operators.ranking import last_write
 from kinmatch.session import shared_folder
 from kinmatch.sources import vectors as VS
 
-FIRST_COMPONENT = F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_value")
+
+def _first():
+    return F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_value")
 
 
 def vec_full_scan(spark, sf_dir):
     rows = VS.scan(X.company_vec(spark, sf_dir))
-    return rows.select("company_id", "field_name", F.size("embedding").alias("dims"), FIRST_COMPONENT)
+    return rows.select("company_id", "field_name", F.size("embedding").alias("dims"), _first())
 
 
 def vec_scan_by_field(spark, sf_dir):
     path = f"{shared_folder(spark)}/vectors"
     VS.recreate(X.company_vec(spark, sf_dir), path)
     rows = VS.scan_field(VS.read_vectors(spark, path), "icp")
-    return rows.select("doc_id", F.size("embedding").alias("dims"), FIRST_COMPONENT)
+    return rows.select("doc_id", F.size("embedding").alias("dims"), _first())
 
 
 def vec_scan_by_ids(spark, sf_dir):
@@ -49,7 +51,7 @@ def vec_insert_if_absent(spark, sf_dir):
     VS.insert_if_absent(stored.filter(F.col("label") % 2 == 0), path, "seq")
     for _ in range(2):
         VS.insert_if_absent(X.vec_history(spark, sf_dir), path, "seq")
-    return VS.read_vectors(spark, path).select("doc_id", "company_id", "field_name", "text_content", FIRST_COMPONENT)
+    return VS.read_vectors(spark, path).select("doc_id", "company_id", "field_name", "text_content", _first())
 
 
 def vec_overwrite(spark, sf_dir):
@@ -82,7 +84,7 @@ def query_profile_json(spark, sf_dir):
     path = f"{shared_folder(spark)}/profiles"
     VS.write_profiles_json(X.company_vec(spark, sf_dir).withColumnRenamed("company_id", "query_id"), path)
     rows = VS.read_profiles_json(spark, path)
-    return rows.select("query_id", "field_name", F.size("embedding").alias("dims"), FIRST_COMPONENT)
+    return rows.select("query_id", "field_name", F.size("embedding").alias("dims"), _first())
 
 
 def profile_pivot(spark, sf_dir):
@@ -93,7 +95,7 @@ def profile_pivot(spark, sf_dir):
 
 def profile_last_wins(spark, sf_dir):
     rows = last_write(X.vec_history(spark, sf_dir), ["company_id", "field_name"], "seq")
-    return rows.select("company_id", "field_name", "seq", FIRST_COMPONENT)
+    return rows.select("company_id", "field_name", "seq", _first())
 
 
 def vec_profile_counts(spark, sf_dir):

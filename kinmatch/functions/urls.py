@@ -21,7 +21,7 @@ SPACE = (
 
 def strip(text: Column) -> Column:
     """Trim every kind of Unicode whitespace (``trim`` only knows U+0020)."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def is_blank(text: Column) -> Column:
@@ -66,11 +66,11 @@ def is_valid_website(url: Column) -> Column:
 
 
 def _is_host(host: Column) -> Column:
-    plain = host.rlike(r"^[\x21-\x7e&&[^\[\]]]+$")
+    plain = host.rlike(r"^[\x21-\x7e&&[^\[\]]]+\z")
     opens, closes = host.contains("["), host.contains("]")
     literal = F.regexp_extract(host, r"^[^\[]*\[([^\]]*)", 1)
     brackets_ok = (~opens & ~closes) | (
-        opens & closes & literal.rlike(f"^(?:v[0-9a-f]+\\..+|{_ip6()})$")
+        opens & closes & literal.rlike(f"^(?:v[0-9a-f]+\\..+|{_ip6()})\\z")
     )
     return plain | ((host != "") & brackets_ok & ~host.rlike(_unsafe_in_host()))
 
@@ -85,4 +85,4 @@ def domain(url: Column) -> Column:
     """Drop every scheme and ``www.``, wherever they occur, and trailing slashes."""
     for part in ("https://", "http://", "www."):
         url = F.replace(url, F.lit(part), F.lit(""))
-    return F.regexp_replace(url, "/+$", "")
+    return F.regexp_replace(url, r"/+\z", "")
