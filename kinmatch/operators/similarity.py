@@ -11,7 +11,7 @@ never enter a shuffle; only ids and similarities do.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,8 @@ from kinmatch.functions import vectors as V
 from kinmatch.operators.ranking import top_k_per_group
 from kinmatch.schemas import FIELD_WEIGHTS, TOP_K_PER_FIELD
 
-# A query set up to this many vector elements (float64: 64 MB) is sent to the tasks.
+# A query set up to this many vectors and elements (64 MB) is sent to the tasks.
+MAX_QUERY_ROWS = 5_000
 MAX_QUERY_ELEMENTS = 8_000_000
 SALTS = 32
 OTHER = "*"
@@ -50,45 +51,60 @@ class QuerySet:
     """Weighted query vectors, and their matrices when they are small enough.
 
     ``matrices`` maps a field to ``(query ids, matrix)`` pairs, one per vector
-    length.  It is None for a set above ``MAX_QUERY_ELEMENTS``; such a set is
-    joined to the corpus instead.
+    length.  It is None for a larger set, which is joined to the corpus instead.
     """
 
     rows: DataFrame
     weights: Mapping[str, float]
     matrices: dict | None = None
-    ids: list = field(default_factory=list)
+
+    @property
+    def listed(self) -> list[str]:
+        return [f for f, w in self.weights.items() if w]
 
     @property
     def vector_count(self) -> int:
         return sum(len(ids) for groups in (self.matrices or {}).values() for ids, _ in groups)
 
     @property
-    def listed(self) -> list[str]:
-        return [f for f, w in self.weights.items() if w]
+    def fields_by_query(self) -> dict[str, list[str]]:
+        found: dict = {}
+        for name in sorted(self.matrices or {}):
+            for ids, _ in self.matrices[name]:
+                for query in ids:
+                    found.setdefault(query, []).append(name)
+        return found
+
+    @property
+    def ids(self) -> list[str]:
+        return sorted(self.fields_by_query)
 
     def field_sets(self) -> DataFrame:
         """Fields of each query; sent to the tasks only for a size-checked set."""
-        sets = self.rows.groupBy("query_id").agg(F.array_sort(F.collect_set("field_name")).alias("fields"))
-        return sets if self.matrices is None else F.broadcast(sets)
+        if self.matrices is None:
+            return self.rows.groupBy("query_id").agg(F.collect_set("field_name").alias("fields"))
+        spark = self.rows.sparkSession
+        rows = list(self.fields_by_query.items())
+        return F.broadcast(spark.createDataFrame(rows, "query_id string, fields array<string>"))
 
 
 def query_set(
-    query: DataFrame, weights: Mapping[str, float] = FIELD_WEIGHTS, max_elements: int = MAX_QUERY_ELEMENTS
+    query: DataFrame,
+    weights: Mapping[str, float] = FIELD_WEIGHTS,
+    max_rows: int = MAX_QUERY_ROWS,
+    max_elements: int = MAX_QUERY_ELEMENTS,
 ) -> QuerySet:
-    """Measure the query rows, and gather them into matrices if they are few."""
+    """Gather the query vectors into matrices, unless they are too many."""
     import numpy as np
 
     rows = weighted_fields(query, weights).select("query_id", "field_name", "embedding")
-    size = rows.agg(F.sum(F.size("embedding") + 8)).first()[0] or 0
-    if size > max_elements:
+    head = rows.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows or sum(len(c.flatten()) for c in head["embedding"].chunks) > max_elements:
         return QuerySet(rows, weights)
     grouped: dict = {}
-    ids = set()
-    for row in rows.orderBy("query_id", "field_name").collect():
-        vector = np.asarray(row.embedding or [], dtype=np.float64)
+    for row in head.to_pandas().sort_values(["query_id", "field_name"]).itertuples():
+        vector = np.asarray([] if row.embedding is None else row.embedding, dtype=np.float64)
         grouped.setdefault(row.field_name, {}).setdefault(len(vector), []).append((row.query_id, vector))
-        ids.add(row.query_id)
     matrices = {
         name: [
             (np.array([q for q, _ in pairs], dtype=object), np.stack([v for _, v in pairs]))
@@ -96,14 +112,16 @@ def query_set(
         ]
         for name, by_length in grouped.items()
     }
-    return QuerySet(rows, weights, matrices, sorted(ids))
+    return QuerySet(rows, weights, matrices)
 
 
-def _batch_kernel(matrices, rule, score, everyone=None):
+def _batch_kernel(matrices, rule, scores, everyone=None):
     """An Arrow batch function that scores each corpus row with its field's queries.
 
-    With ``everyone`` (all query ids), a row also meets the queries that lack its
-    field, with a null score, so that every company is seen by every query.
+    ``rule`` picks rows and queries and gives one array of values per name in
+    ``scores``.  With ``everyone`` (all query ids), a row also meets the queries
+    that lack its field, with null scores, so that every company is seen by every
+    query.
     """
 
     def run(batches):
@@ -116,9 +134,9 @@ def _batch_kernel(matrices, rule, score, everyone=None):
                     pa.array(ids, pa.string()),
                     companies.take(pa.array(rows)).cast(pa.string()),
                     pa.array(np.full(len(rows), name, dtype=object), pa.string()),
-                    values,
+                    *values,
                 ],
-                names=["query_id", "company_id", "field_name", score],
+                names=["query_id", "company_id", "field_name", *scores],
             )
 
         for batch in batches:
@@ -126,39 +144,59 @@ def _batch_kernel(matrices, rule, score, everyone=None):
             names = batch.column("field_name").to_numpy(zero_copy_only=False)
             arrays = batch.column("embedding")
             lengths = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(lengths)])
             flat = arrays.flatten().to_numpy(zero_copy_only=False)
+            # Vectors of one length are one matrix; otherwise each is cut out of the flat values.
+            even = lengths.min() == lengths.max() if len(lengths) else False
+            starts = None if even else np.concatenate([[0], np.cumsum(lengths)])
             for name in sorted(set(names)):
                 rows = np.flatnonzero(names == name)
                 groups = matrices.get(name, [])
                 for ids, matrix in groups:
                     width = matrix.shape[1]
                     fits = rows[lengths[rows] == width]
-                    block = flat[starts[fits][:, None] + np.arange(width)[None, :]].astype(np.float64)
+                    if even:
+                        block = flat.reshape(len(lengths), -1)[fits] if width and len(fits) else np.zeros((len(fits), width))
+                    else:
+                        block = flat[starts[fits][:, None] + np.arange(width)[None, :]]
+                    block = block.astype(np.float64)
                     picked, queries, values = rule(rows, fits, block, matrix)
                     if len(picked):
-                        yield emit(companies, picked, ids[queries], name, pa.array(values, pa.float64()))
+                        columns = [pa.array(v, pa.float64(), from_pandas=True) for v in values]
+                        yield emit(companies, picked, ids[queries], name, columns)
                 if everyone:
                     known = {q for ids, _ in groups for q in ids}
                     absent = np.array([q for q in everyone if q not in known], dtype=object)
                     if len(absent):
                         met = np.repeat(rows, len(absent))
-                        yield emit(companies, met, np.tile(absent, len(rows)), name, pa.nulls(len(met), pa.float64()))
+                        columns = [pa.nulls(len(met), pa.float64()) for _ in scores]
+                        yield emit(companies, met, np.tile(absent, len(rows)), name, columns)
 
     return run
 
 
-def _cosine_rule():
+def _pair_rule(distances):
+    """Cosine, and distance if asked for, of every row and query of a field.
+
+    Rows of another length have cosine 0 and no distance.  Twelve decimals make
+    equal vectors tie whatever their place in the batch.
+    """
+
     def rule(rows, fits, block, matrix):
         import numpy as np
 
         norms = np.linalg.norm(block, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
             values = np.where(norms > 0, block @ matrix.T / norms, 0.0)
-        scores = np.zeros((len(rows), len(matrix)))
-        # Twelve decimals: equal vectors tie whatever their place in the batch.
-        scores[np.searchsorted(rows, fits)] = np.round(np.clip(values, -1.0, 1.0), 12)
-        return np.repeat(rows, len(matrix)), np.tile(np.arange(len(matrix)), len(rows)), scores.ravel()
+        at = np.searchsorted(rows, fits)
+        cosines = np.zeros((len(rows), len(matrix)))
+        cosines[at] = np.round(np.clip(values, -1.0, 1.0), 12)
+        scores = [cosines.ravel()]
+        if distances:
+            apart = np.full((len(rows), len(matrix)), np.nan)
+            for q, vector in enumerate(matrix):
+                apart[at, q] = np.round(np.sqrt(((block - vector) ** 2).sum(axis=1)), 12)
+            scores.append(apart.ravel())
+        return np.repeat(rows, len(matrix)), np.tile(np.arange(len(matrix)), len(rows)), scores
 
     return rule
 
@@ -168,7 +206,7 @@ def _nearest_rule(k):
         import numpy as np
 
         if not len(fits):
-            return fits, fits, np.zeros(0)
+            return fits, fits, [np.zeros(0)]
         squares = (block * block).sum(axis=1)[:, None] + (matrix * matrix).sum(axis=1)[None, :]
         rough = squares - 2 * (block @ matrix.T)
         cut = np.full(len(matrix), np.inf)
@@ -177,7 +215,7 @@ def _nearest_rule(k):
         # The product form only pre-selects; survivors get the exact distance.
         at, queries = np.nonzero(rough <= cut[None, :])
         exact = np.sqrt(((block[at] - matrix[queries]) ** 2).sum(axis=1))
-        return fits[at], queries, np.round(exact, 12)
+        return fits[at], queries, [np.round(exact, 12)]
 
     return rule
 
@@ -224,7 +262,7 @@ def field_similarities(vectors: DataFrame, queries: QuerySet, all_companies: boo
     if not all_companies:
         corpus = corpus.filter(F.col("field_name").isin(sorted(queries.matrices)))
     return corpus.mapInArrow(
-        _batch_kernel(queries.matrices, _cosine_rule(), "similarity", everyone),
+        _batch_kernel(queries.matrices, _pair_rule(False), ["similarity"], everyone),
         "query_id string, company_id string, field_name string, similarity double",
     )
 
@@ -248,9 +286,27 @@ def nearest_per_field(
     else:
         corpus = corpus.filter(F.col("field_name").isin(sorted(queries.matrices)))
         near = corpus.mapInArrow(
-            _batch_kernel(queries.matrices, _nearest_rule(k), "distance"),
+            _batch_kernel(queries.matrices, _nearest_rule(k), ["distance"]),
             "query_id string, company_id string, field_name string, distance double",
         )
+    return rank_by_distance(near, k, min_similarity)
+
+
+def field_scores(vectors: DataFrame, queries: QuerySet) -> DataFrame:
+    """Similarity and distance of every shared field, in one scan of the vectors.
+
+    Needs a query set that is small enough for matrices.
+    """
+    corpus = vectors.select("company_id", "field_name", "embedding")
+    return corpus.filter(F.col("field_name").isin(sorted(queries.matrices))).mapInArrow(
+        _batch_kernel(queries.matrices, _pair_rule(True), ["similarity", "distance"]),
+        "query_id string, company_id string, field_name string, similarity double, distance double",
+    )
+
+
+def rank_by_distance(near: DataFrame, k: int, min_similarity: float | None = None) -> DataFrame:
+    """The ``k`` rows of smallest distance of each query and field."""
+    near = near.select("query_id", "company_id", "field_name", "distance")
     ranked = top_k_per_group(near, ["query_id", "field_name"], [F.col("distance"), F.col("company_id")], k)
     if min_similarity is not None:
         ranked = ranked.filter(V.distance_to_similarity(F.col("distance")) >= min_similarity)

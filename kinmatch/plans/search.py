@@ -15,6 +15,8 @@ from kinmatch.schemas import FIELD_WEIGHTS, SWEEP_SIZES, TOP_K_PER_FIELD, TOP_N
 
 # At most about 10 MB of ids.
 MAX_BROADCAST_CANDIDATES = 100_000
+# Up to this many queries, the scores of a whole corpus are far smaller than its vectors.
+MAX_STORED_QUERIES = 16
 
 
 def _best(scores: DataFrame, n: int) -> DataFrame:
@@ -70,12 +72,19 @@ def search_two_stage(
     """
     queries = S.query_set(query, weights)
     rows = S.usable_vectors(vectors)
-    found = S.candidate_companies(S.nearest_per_field(rows, queries, k, min_similarity))
-    candidates = _known_size(found, queries, k)
-    # Only candidate vectors reach the scoring step, and they get there unshuffled.
-    wanted = rows.join(candidates("company_id"), "company_id", "left_semi")
-    pairs = candidates("query_id", "company_id")
-    similarities = S.field_similarities(wanted, queries).join(pairs, ["query_id", "company_id"], "left_semi")
+    if queries.matrices is not None and len(queries.ids) <= MAX_STORED_QUERIES:
+        # One scan: what is kept of a vector is two numbers per query.
+        scored = durable(S.field_scores(rows, queries))
+        near = S.rank_by_distance(scored.filter(F.col("distance").isNotNull()), k, min_similarity)
+        pairs = _known_size(S.candidate_companies(near), queries, k)("query_id", "company_id")
+        similarities = scored.join(pairs, ["query_id", "company_id"], "left_semi")
+    else:
+        near = S.nearest_per_field(rows, queries, k, min_similarity)
+        candidates = _known_size(S.candidate_companies(near), queries, k)
+        # Only candidate vectors reach the scoring step, and they get there unshuffled.
+        wanted = rows.join(candidates("company_id"), "company_id", "left_semi")
+        pairs = candidates("query_id", "company_id")
+        similarities = S.field_similarities(wanted, queries).join(pairs, ["query_id", "company_id"], "left_semi")
     scores = S.weighted_scores(similarities, queries)
     if exclude_self:
         scores = scores.filter(F.col("company_id") != F.col("query_id"))

@@ -104,8 +104,8 @@ def test_two_stage_with_all_candidates_is_exact(data):
 def test_large_query_sets_take_the_join(data):
     rows, vectors, query, wanted = data
     usable = S.usable_vectors(vectors)
-    small, large = S.query_set(query), S.query_set(query, max_elements=1)
-    assert small.matrices and large.matrices is None
+    small, large = S.query_set(query), S.query_set(query, max_rows=1)
+    assert small.matrices and large.matrices is None and S.query_set(query, max_elements=9).matrices is None
 
     def scores(queries):
         similarities = S.field_similarities(usable, queries, all_companies=True)
@@ -120,10 +120,12 @@ def test_large_query_sets_take_the_join(data):
     assert near[0] == near[1]
 
 
-def test_large_candidate_lists_are_stored(data, monkeypatch):
+@pytest.mark.parametrize("candidates, queries", [(0, 16), (0, 0), (100_000, 0)])
+def test_every_way_through_the_two_stages(data, monkeypatch, candidates, queries):
     _, vectors, query, _ = data
     wanted = result(P.search_two_stage(vectors, query, 10, 4))
-    monkeypatch.setattr(P, "MAX_BROADCAST_CANDIDATES", 0)
+    monkeypatch.setattr(P, "MAX_BROADCAST_CANDIDATES", candidates)
+    monkeypatch.setattr(P, "MAX_STORED_QUERIES", queries)
     assert result(P.search_two_stage(vectors, query, 10, 4)) == wanted
 
 
