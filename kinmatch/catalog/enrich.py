@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinmatch.catalog import fixtures as X
 from kinmatch.catalog.views import page_text as page_text_sql
@@ -11,13 +12,15 @@ from kinmatch.functions.embed import embed_text
 from kinmatch.operators import documents as N
 from kinmatch.operators.inference import infer
 from kinmatch.plans import enrich as P
-from kinmatch.plans import lookalikes as L
+from kinmatch.plans import research as R
+from kinmatch.schemas import OVERLAP_RESPONSE
 from kinmatch.session import shared_folder
 from kinmatch.sources import captures as C
 from kinmatch.sources import vectors as VS
 from kinmatch.streaming.ingest import ingest_pages
 
 QUOTA = 5
+NOT_ENOUGH = "'[Not enough information]'"
 
 
 def _filled(embedding: str):
@@ -87,39 +90,66 @@ def query_profile_build(spark, sf_dir):
     return rows.select("query_id", "field_name", _filled("embedding"))
 
 
-def _research(spark, sf_dir):
-    """A stand-in analyst that takes every word of a page for a competitor."""
+def _describer():
+    """A stand-in analyst: the page itself is the description."""
 
     def model():
         import json
 
-        def ask(texts):
-            return [json.dumps(answer(t)) for t in texts]
-
         def answer(text):
-            words = text.split(" ")
-            rivals = [{"name": w, "description": "word", "overlap_score": len(w) % 4} for w in words]
+            return {
+                "target_audience": "readers",
+                "problem_solved": "",
+                "solution_approach": "",
+                "unique_features": text.split(" ")[:2],
+                "uses_ai_automation": False,
+                "description_summary": text,
+                "market_universe": "pages",
+                "universe_boundaries": "",
+            }
+
+        return lambda texts: [json.dumps(answer(t)) for t in texts]
+
+    return model
+
+
+def _competitor_finder():
+    """A stand-in analyst that takes every word of the prompt for a competitor."""
+
+    def model():
+        import json
+
+        def answer(prompt):
+            words = prompt.split(" ")
             cells = ("feature_parity", "icp_overlap", "gtm_similarity", "pricing_similarity", "notable_edge")
             analysis = {
-                "summary": text,
+                "summary": prompt,
                 "segments": [{"segment_name": "readers", "pain_points": words[:1]}],
                 "market_map": "a → b → c",
                 "features": "",
                 "differentiators": words[:1],
-                "competitors": rivals,
+                "competitors": [{"name": w, "description": "word", "overlap_score": len(w) % 4} for w in words],
                 "matrix": [{"competitor_name": words[0], **{c: "?" for c in cells}}],
                 "positioning_analysis": "",
             }
             return {"search_query_used": "words", "comprehensive_analysis": analysis}
 
-        return ask
+        return lambda texts: [json.dumps(answer(t)) for t in texts]
+
+    return model
+
 
-    respond = lambda rows: rows.withColumn("response", infer(F.col("content"), model))
-    return L.research(X.page_capture(spark, sf_dir), respond)
+def _asking(model, prompt):
+    return lambda rows: rows.withColumn("response", infer(F.col(prompt), model))
+
+
+def _research(spark, sf_dir):
+    captures = X.page_capture(spark, sf_dir)
+    return R.research(captures, _asking(_describer(), "content"), _asking(_competitor_finder(), "prompt"))
 
 
 def analysis_tables(spark, sf_dir):
-    """Competitors per page and score from answers about every captured page."""
+    """Competitors per page and score, found in two steps for every captured page."""
     rows = N.competitors(_research(spark, sf_dir), ["page_id"])
     return rows.groupBy("page_id", "overlap_score").agg(
         F.count(F.lit(1)).alias("competitors"), F.max("pos").alias("last_pos"), F.min("name").alias("first_name")
@@ -150,9 +180,8 @@ def overlap_profile(spark, sf_dir):
 
         return ask
 
-    respond = lambda rows: rows.withColumn("response", infer(F.col("content"), model))
-    rows = L.overlap_profile(X.page_capture(spark, sf_dir), respond, ["page_id"])
-    return rows.filter(F.col("field").isin("customer_types", "primary_problem", "revenue_model", "confidence_level", "sources"))
+    respond = _asking(model, "content")
+    return R.overlap_profile(X.page_capture(spark, sf_dir), respond, ["page_id"])
 
 
 def stream_ingest_once(spark, sf_dir):
@@ -205,6 +234,25 @@ usable AS (
   WHERE c.content <> '' AND p.page_id % 13 <> 0)"""
 
 
+_SHOWN = {
+    ("target_customer", "customer_types"): "length(content) || ', all'",
+    ("job_to_be_done", "primary_problem"): "content",
+    ("document", "confidence_level"): "CASE WHEN length(content) % 2 = 1 THEN 'low' ELSE 'high' END",
+    ("document", "sources"): "'No sources provided'",
+}
+_DIMENSIONS = [
+    (part.name, f.name)
+    for part in OVERLAP_RESPONSE.fields
+    if isinstance(part.dataType, StructType)
+    for f in part.dataType.fields
+] + [("document", "confidence_level"), ("document", "sources")]
+_OVERLAP_ROWS = " UNION ALL ".join(
+    f"SELECT page_id, '{d}' AS dimension, '{f}' AS field, {_SHOWN.get((d, f), NOT_ENOUGH)} AS shown"
+    " FROM page_capture WHERE content <> ''"
+    for d, f in _DIMENSIONS
+)
+
+
 def _enriched(body: str, views: str = "crm page_capture profile_doc") -> str:
     return with_views(views, "").rstrip() + f",\n{_VISITED}\n{body}"
 
@@ -228,25 +276,17 @@ ORACLES = {
     ),
     "analysis_tables": with_views(
         "page_capture",
-        """SELECT page_id, (length(w) % 4)::INTEGER AS overlap_score, count(*) AS competitors,
+        f"""SELECT page_id, (length(w) % 4)::INTEGER AS overlap_score, count(*) AS competitors,
              max(pos)::INTEGER AS last_pos, min(w) AS first_name
-           FROM (SELECT page_id, unnest(string_split(content, ' ')) AS w,
-                   generate_subscripts(string_split(content, ' '), 1) AS pos
-                 FROM page_capture WHERE content <> '') GROUP BY 1, 2""",
-    ),
-    "overlap_profile": with_views(
-        "page_capture",
-        """SELECT page_id, dimension, field, shown FROM (
-             SELECT page_id, 'target_customer' AS dimension, 'customer_types' AS field,
-               length(content) || ', all' AS shown, content FROM page_capture
-             UNION ALL SELECT page_id, 'job_to_be_done', 'primary_problem', content, content FROM page_capture
-             UNION ALL SELECT page_id, 'business_model', 'revenue_model', '[Not enough information]', content
-               FROM page_capture
-             UNION ALL SELECT page_id, 'document', 'confidence_level',
-               CASE WHEN length(content) % 2 = 1 THEN 'low' ELSE 'high' END, content FROM page_capture
-             UNION ALL SELECT page_id, 'document', 'sources', 'No sources provided', content FROM page_capture)
-           WHERE content <> ''""",
+           FROM (SELECT page_id, unnest(string_split(prompt, ' ')) AS w,
+                   generate_subscripts(string_split(prompt, ' '), 1) AS pos
+                 FROM (SELECT page_id, concat_ws(chr(10), content, 'Target audience: readers', 'Problem solved: ',
+                         'Solution approach: ', 'Market universe: pages', 'Universe boundaries: ',
+                         'Uses AI or automation: No',
+                         'Unique features: ' || array_to_string(string_split(content, ' ')[1:2], ', ')) AS prompt
+                       FROM page_capture WHERE content <> '')) GROUP BY 1, 2""",
     ),
+    "overlap_profile": with_views("page_capture", _OVERLAP_ROWS),
     "stream_ingest_once": with_views(
         "profile_doc",
         f"""SELECT doc_id, company_id, field_name, text_content, filled FROM ({_records(

@@ -45,10 +45,10 @@ def vec_count(spark, sf_dir):
 
 
 def vec_insert_if_absent(spark, sf_dir):
-    """The even labels are stored first; then the whole history arrives, twice."""
+    """The fields are stored first; then the whole history arrives, twice."""
     path = f"{shared_folder(spark)}/vectors"
     stored = X.company_vec(spark, sf_dir).withColumn("text_content", F.concat(F.lit("old "), "text_content"))
-    VS.insert_if_absent(stored.filter(F.col("label") % 2 == 0), path, "seq")
+    VS.insert_if_absent(stored, path, "seq")
     for _ in range(2):
         VS.insert_if_absent(X.vec_history(spark, sf_dir), path, "seq")
     return VS.read_vectors(spark, path).select("doc_id", "company_id", "field_name", "text_content", _first())
@@ -135,7 +135,7 @@ ORACLES = {
         """SELECT doc_id, company_id, field_name, text_content, round(embedding[1], 4) AS first_value FROM (
              SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY load, seq) AS n FROM (
                SELECT 0 AS load, doc_id, company_id, field_name, 'old ' || text_content AS text_content, embedding, seq
-               FROM company_vec WHERE label % 2 = 0
+               FROM company_vec
                UNION ALL
                SELECT 1, doc_id, company_id, field_name, text_content, embedding, seq FROM vec_history)
              WHERE len(embedding) > 0) WHERE n = 1""",

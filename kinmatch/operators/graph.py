@@ -8,9 +8,11 @@ a round needs one join and one minimum per link, and no queue.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.operators.joins import except_known
@@ -34,47 +36,56 @@ class Expansion:
 
 
 def expand(edges: DataFrame, start: str, depth: int = 2, failed: DataFrame | None = None) -> Expansion:
-    """Walk the graph from ``start``, which has depth 1, down to ``depth``.
+    """Walk a table of edges from ``start``, which has depth 1, down to ``depth``.
 
-    A failed source is neither visited nor expanded.  Edges without a link are
-    ignored.  A link is followed only where it is first seen.  Every round is
-    written to a table, which keeps the plan of the next round short.
+    A source listed in ``failed.src`` is neither visited nor expanded.
+    """
+
+    def visit(frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if failed is None:
+            return frontier, edges
+        return except_known(frontier, failed.select(F.col("src").alias("url")), "url"), edges
+
+    return walk(edges.sparkSession, visit, start, depth)
+
+
+def walk(
+    spark: SparkSession, visit: Callable[[DataFrame], tuple[DataFrame, DataFrame]], start: str, depth: int
+) -> Expansion:
+    """Walk from ``start``; ``visit`` gives the companies reached and their edges.
+
+    Edges without a link are ignored.  A link is followed only where it is first
+    seen.  Every round is written to a table, which keeps the plan of the next
+    round short.
     """
-    spark = edges.sparkSession
     root = shared_folder(spark)
-    links = edges.filter(F.col("link") != "")
     frontier = spark.range(1).select(
         F.lit(start).alias("url"), F.lit(1).alias("depth"), F.array().cast("array<bigint>").alias("path")
     )
-    visited = superset = None
+    visited: list[DataFrame] = []
+    superset: list[DataFrame] = []
     for level in range(1, depth + 1):
-        if failed is not None:
-            frontier = except_known(frontier, failed.select(F.col("src").alias("url")), "url")
-        frontier = durable(frontier, f"{root}/visited/{level}")
-        if frontier.isEmpty():
-            break
-        visited = frontier if visited is None else visited.unionByName(frontier)
-        met = frontier.join(links, frontier.url == links.src).select(
+        reached, edges = visit(frontier)
+        reached = durable(reached, f"{root}/visited/{level}")
+        visited.append(reached)
+        links = edges.filter(F.col("link") != "")
+        met = reached.join(links, reached.url == links.src).select(
             "link",
             F.struct(F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"), *_EDGE).alias("edge"),
         )
         first = met.groupBy("link").agg(F.min("edge").alias("edge")).select(
             "link", F.lit(level).alias("depth"), "edge.*"
         )
-        if superset is not None:
-            first = except_known(first, superset, "link")
+        if superset:
+            first = except_known(first, reduce(DataFrame.unionByName, superset), "link")
         first = durable(first, f"{root}/superset/{level}")
-        superset = first if superset is None else superset.unionByName(first)
+        superset.append(first)
+        if first.isEmpty():
+            break
         frontier = first.filter(F.col("link") != start).select(
             F.col("link").alias("url"), F.lit(level + 1).alias("depth"), "path"
         )
-    if visited is None:
-        visited = frontier
-    if superset is None:
-        superset = edges.limit(0).select(
-            "link", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path"), *_EDGE
-        )
-    return Expansion(start, depth, visited, superset)
+    return Expansion(start, depth, reduce(DataFrame.unionByName, visited), reduce(DataFrame.unionByName, superset))
 
 
 def summary(walk: Expansion) -> DataFrame:

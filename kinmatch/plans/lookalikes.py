@@ -1,19 +1,15 @@
-"""Look-alikes of sites, and the research documents about a site."""
+"""Look-alikes of sites, and the report on a search."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.operators import details as D
-from kinmatch.operators import documents as N
 from kinmatch.operators import reports as R
 from kinmatch.plans.search import search_exact, search_two_stage
-from kinmatch.schemas import ANALYSIS_DEFAULTS, ANALYSIS_RESPONSE, LOOKALIKES, OVERLAP_RESPONSE, TOP_K_PER_FIELD
+from kinmatch.schemas import LOOKALIKES, TOP_K_PER_FIELD
 from kinmatch.session import durable
-from kinmatch.sources import captures as C
 from kinmatch.sources.vectors import scan_companies
 
 
@@ -33,18 +29,6 @@ def lookalikes_by_domain(
     return D.names_and_sites(best.join(details, "company_id"))
 
 
-def research(captures: DataFrame, respond: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Validated competitive analyses of captured pages; failures drop out."""
-    answered = respond(C.successful(captures)).drop("content")
-    return N.valid_documents(answered, "response", ANALYSIS_RESPONSE, ANALYSIS_DEFAULTS)
-
-
-def overlap_profile(captures: DataFrame, respond: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """Six-dimension profiles of captured pages, one shown value per row."""
-    answered = respond(C.successful(captures)).drop("content")
-    return N.overlap_rows(N.valid_documents(answered, "response", OVERLAP_RESPONSE), keys)
-
-
 def quality_report(
     vectors: DataFrame, query: DataFrame, n: int = 20, shown: int = 10, k: int = TOP_K_PER_FIELD
 ) -> DataFrame:
