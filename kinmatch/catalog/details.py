@@ -9,7 +9,6 @@ from kinmatch.catalog.views import with_views
 from kinmatch.operators import details as D
 from kinmatch.plans import lookalikes as L
 from kinmatch.session import shared_folder
-from kinmatch.sources.crm import write_csv
 
 SITES = ["https://www.company00013.com/", "http://company00025.com", "company00037.com//", "https://nowhere.test"]
 
@@ -51,7 +50,7 @@ def detail_key_union(spark, sf_dir):
 def detail_flat_table(spark, sf_dir):
     """The flat table after a trip through a CSV file."""
     path = f"{shared_folder(spark)}/details"
-    write_csv(D.flat_table(X.detail_json(spark, sf_dir)), path)
+    D.write_flat_table(X.detail_json(spark, sf_dir), path)
     rows = spark.read.option("header", True).option("escape", '"').csv(path)
     return rows.fillna("")
 

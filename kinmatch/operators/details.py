@@ -11,6 +11,7 @@ from kinmatch.functions.documents import display_name, display_website, envelope
 from kinmatch.functions.urls import domain
 from kinmatch.operators.ranking import batch_number, numbered
 from kinmatch.schemas import DETAIL_BATCH
+from kinmatch.sources.crm import write_csv
 
 # A table with more columns than this is a sign that keys are data.
 MAX_COLUMNS = 10_000
@@ -106,6 +107,15 @@ def flat_table(records: DataFrame, keys: Sequence[str] = (), json: str = "json")
     return cells.select(*keys, *[F.coalesce(F.col("_cells")[n], F.lit("")).alias(n) for n in names])
 
 
+def write_flat_table(records: DataFrame, path: str, json: str = "json") -> bool:
+    """Write the flat table as CSV; without any record nothing is written."""
+    table = flat_table(records, json=json)
+    if not table.columns:
+        return False
+    write_csv(table, path)
+    return True
+
+
 def union_by_name(tables: Sequence[DataFrame]) -> DataFrame:
     """Rows of all tables under the sorted union of their columns, gaps empty."""
     rows = tables[0]

@@ -115,13 +115,13 @@ def query_set(
     return QuerySet(rows, weights, matrices)
 
 
-def _batch_kernel(matrices, rule, scores, everyone=None):
+def _batch_kernel(matrices, rule, scores, everyone=None, cells=1_000_000):
     """An Arrow batch function that scores each corpus row with its field's queries.
 
     ``rule`` picks rows and queries and gives one array of values per name in
     ``scores``.  With ``everyone`` (all query ids), a row also meets the queries
     that lack its field, with null scores, so that every company is seen by every
-    query.
+    query.  ``cells`` bounds the pairs that are held at a time.
     """
 
     def run(batches):
@@ -131,14 +131,19 @@ def _batch_kernel(matrices, rule, scores, everyone=None):
         def emit(companies, rows, ids, name, values):
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.string()),
+                    ids,
                     companies.take(pa.array(rows)).cast(pa.string()),
-                    pa.array(np.full(len(rows), name, dtype=object), pa.string()),
+                    pa.repeat(pa.scalar(name, pa.string()), len(rows)),
                     *values,
                 ],
                 names=["query_id", "company_id", "field_name", *scores],
             )
 
+        def parts(rows, width):
+            """Row slices that keep the pairs of one output batch, and its memory, bounded."""
+            step = max(1, min(4096, cells // max(1, width)))
+            return [rows[at : at + step] for at in range(0, len(rows), step)]
+
         for batch in batches:
             companies = batch.column("company_id")
             names = batch.column("field_name").to_numpy(zero_copy_only=False)
@@ -146,30 +151,32 @@ def _batch_kernel(matrices, rule, scores, everyone=None):
             lengths = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = arrays.flatten().to_numpy(zero_copy_only=False)
             # Vectors of one length are one matrix; otherwise each is cut out of the flat values.
-            even = lengths.min() == lengths.max() if len(lengths) else False
+            even = len(lengths) > 0 and lengths.min() == lengths.max() > 0
             starts = None if even else np.concatenate([[0], np.cumsum(lengths)])
             for name in sorted(set(names)):
-                rows = np.flatnonzero(names == name)
+                of_field = np.flatnonzero(names == name)
                 groups = matrices.get(name, [])
                 for ids, matrix in groups:
                     width = matrix.shape[1]
-                    fits = rows[lengths[rows] == width]
-                    if even:
-                        block = flat.reshape(len(lengths), -1)[fits] if width and len(fits) else np.zeros((len(fits), width))
-                    else:
-                        block = flat[starts[fits][:, None] + np.arange(width)[None, :]]
-                    block = block.astype(np.float64)
-                    picked, queries, values = rule(rows, fits, block, matrix)
-                    if len(picked):
-                        columns = [pa.array(v, pa.float64(), from_pandas=True) for v in values]
-                        yield emit(companies, picked, ids[queries], name, columns)
+                    queries_here = pa.array(ids, pa.string())
+                    for rows in parts(of_field, len(ids)):
+                        fits = rows[lengths[rows] == width]
+                        if even and len(fits):
+                            block = flat.reshape(len(lengths), width)[fits]
+                        else:
+                            block = flat[[] if even else starts[fits][:, None] + np.arange(width)[None, :]]
+                        block = block.reshape(len(fits), width).astype(np.float64)
+                        picked, queries, values = rule(rows, fits, block, matrix)
+                        if len(picked):
+                            columns = [pa.array(v, pa.float64(), from_pandas=True) for v in values]
+                            yield emit(companies, picked, queries_here.take(pa.array(queries)), name, columns)
                 if everyone:
                     known = {q for ids, _ in groups for q in ids}
-                    absent = np.array([q for q in everyone if q not in known], dtype=object)
-                    if len(absent):
+                    absent = pa.array([q for q in everyone if q not in known], pa.string())
+                    for rows in parts(of_field, len(absent)) if len(absent) else []:
                         met = np.repeat(rows, len(absent))
-                        columns = [pa.nulls(len(met), pa.float64()) for _ in scores]
-                        yield emit(companies, met, np.tile(absent, len(rows)), name, columns)
+                        ids = absent.take(pa.array(np.tile(np.arange(len(absent)), len(rows))))
+                        yield emit(companies, met, ids, name, [pa.nulls(len(met), pa.float64()) for _ in scores])
 
     return run
 

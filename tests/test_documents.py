@@ -114,6 +114,11 @@ def test_flat_table(spark):
     assert sorted(map(tuple, table.collect())) == [("", "2.5", ""), ("True", '{"x":1}', "")]
 
 
+def test_flat_table_of_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([], "json string")
+    assert not O.write_flat_table(rows, str(tmp_path / "out")) and not (tmp_path / "out").exists()
+
+
 def test_batch_kinds(spark):
     ids = ["1", "2", "urn:a", "3", "4", "x", "5"]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], "pos int, id string")

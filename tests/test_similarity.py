@@ -129,6 +129,20 @@ def test_every_way_through_the_two_stages(data, monkeypatch, candidates, queries
     assert result(P.search_two_stage(vectors, query, 10, 4)) == wanted
 
 
+def test_small_slices_give_the_same(data, monkeypatch):
+    _, vectors, query, _ = data
+    rows, queries = S.usable_vectors(vectors), S.query_set(query)
+
+    def scores():
+        found = S.field_similarities(rows, queries, all_companies=True).collect()
+        near = S.nearest_per_field(rows, queries, 3).collect()
+        return sorted(map(repr, found)), sorted(map(repr, near))
+
+    wanted = scores()
+    monkeypatch.setattr(S._batch_kernel, "__defaults__", (None, 3))
+    assert scores() == wanted
+
+
 def test_missing_fields_show_as_zero(data):
     _, vectors, query, wanted = data
     scores = P.score_all(vectors, query).filter("company_id = 'only_list'").first()
