@@ -9,6 +9,7 @@ from kinmatch.catalog.views import cosine, with_views
 from kinmatch.functions import vectors as V
 from kinmatch.operators import similarity as S
 from kinmatch.plans import search as P
+from kinmatch.sources.vectors import scan_companies
 
 CUT = 5
 
@@ -147,8 +148,8 @@ def candidate_union(spark, sf_dir):
 def semi_candidates(spark, sf_dir):
     rows = X.company_vec(spark, sf_dir)
     queries = S.query_set(X.query_profile(spark, sf_dir))
-    found = S.candidate_companies(S.nearest_per_field(rows, queries, CUT)).select("company_id")
-    return rows.join(found, "company_id", "left_semi").select("doc_id", "company_id", "field_name")
+    found = S.candidate_companies(S.nearest_per_field(rows, queries, CUT))
+    return scan_companies(rows, found).select("doc_id", "company_id", "field_name")
 
 
 def topn_two_stage(spark, sf_dir):

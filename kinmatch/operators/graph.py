@@ -90,12 +90,12 @@ def walk(
 
 def summary(walk: Expansion) -> DataFrame:
     """One row: start, depth, and the sizes of both results."""
-    analysed = walk.visited.agg(F.count(F.lit(1)).alias("total_companies_analyzed")).withColumn("_one", F.lit(1))
-    found = walk.superset.agg(F.count(F.lit(1)).alias("total_competitors_found")).withColumn("_one", F.lit(1))
-    return (
-        analysed.join(found, "_one")
-        .drop("_one")
-        .select(F.lit(walk.start).alias("initial_company"), F.lit(walk.depth).alias("depth_analyzed"), "*")
+    rows = F.count(F.lit(1))
+    return walk.visited.agg(rows.alias("total_companies_analyzed")).select(
+        F.lit(walk.start).alias("initial_company"),
+        F.lit(walk.depth).alias("depth_analyzed"),
+        "total_companies_analyzed",
+        walk.superset.select(rows).scalar().alias("total_competitors_found"),
     )
 
 

@@ -23,8 +23,9 @@ def lookalikes_by_domain(
     the steps are stored, so that their sizes are known where they meet the large
     tables.
     """
-    entities = durable(D.entity_by_domain(sites, directory).select(F.col("entity_id").alias("company_id")).distinct())
-    query = durable(scan_companies(vectors, entities).select(F.col("company_id").alias("query_id"), "field_name", "embedding"))
+    entities = D.entity_by_domain(sites, directory).select(F.col("entity_id").alias("company_id"))
+    found = scan_companies(vectors, entities)
+    query = durable(found.select(F.col("company_id").alias("query_id"), "field_name", "embedding"))
     best = durable(search_exact(vectors, query, n).select("query_id", "company_id", "rank"))
     return D.names_and_sites(best.join(details, "company_id"))
 

@@ -37,18 +37,17 @@ def prune_profile(
     on_error: str = "fail",
 ) -> DataFrame:
     """One row: input, valid and output rows, column count, and the kept date range."""
-    before = rows.agg(
-        F.count(F.lit(1)).alias("input_rows"),
-        F.coalesce(F.sum(is_valid_website(F.col(website)).cast("bigint")), F.lit(0)).alias("valid_rows"),
-    ).withColumn("_one", F.lit(1))
     added = parse_date(F.col(date), on_error=on_error)
-    after = (
-        recent_valid(rows, n, website, date, tie_break, on_error)
-        .agg(
+    kept = recent_valid(rows, n, website, date, tie_break, on_error).select(
+        F.struct(
             F.count(F.lit(1)).alias("output_rows"),
             format_date(F.min(added)).alias("first_date"),
             format_date(F.max(added)).alias("last_date"),
         )
-        .withColumn("_one", F.lit(1))
     )
-    return before.join(after, "_one").drop("_one").withColumn("columns", F.lit(len(rows.columns)))
+    return rows.agg(
+        F.count(F.lit(1)).alias("input_rows"),
+        F.coalesce(F.count_if(is_valid_website(F.col(website))), F.lit(0)).alias("valid_rows"),
+    ).select("*", F.lit(len(rows.columns)).alias("columns"), kept.scalar().alias("_kept")).select(
+        "input_rows", "valid_rows", "columns", "_kept.*"
+    )

@@ -13,6 +13,7 @@ from kinmatch.operators.joins import except_known
 from kinmatch.operators.ranking import batch_number, first_write
 from kinmatch.operators.similarity import usable_vectors
 from kinmatch.schemas import FIELD_VECTOR, LOAD_BATCH
+from kinmatch.session import durable
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +37,13 @@ def scan_field(vectors: DataFrame, name: str) -> DataFrame:
 
 
 def scan_companies(vectors: DataFrame, ids: DataFrame) -> DataFrame:
-    """Records of the companies listed in ``ids.company_id``."""
-    return vectors.join(ids.select("company_id").distinct(), "company_id", "left_semi")
+    """Records of the companies listed in ``ids.company_id``.
+
+    The list is stored first.  The planner then knows its size, and sends a short
+    list to the scan instead of shuffling the vectors.
+    """
+    listed = durable(ids.select("company_id").distinct())
+    return vectors.join(listed, "company_id", "left_semi")
 
 
 def scan_company(vectors: DataFrame, company_id: str) -> DataFrame:
