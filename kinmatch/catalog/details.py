@@ -58,7 +58,8 @@ def detail_flat_table(spark, sf_dir):
 def union_by_name(spark, sf_dir):
     """Nations, regions and suppliers under one sorted header."""
     tables = [X.table(spark, sf_dir, t) for t in ("nation", "region", "supplier")]
-    return D.union_by_name([t.select(*[F.col(c).cast("string") for c in t.columns if "acctbal" not in c]) for t in tables])
+    texts = [t.select(*[F.col(c).cast("string") for c in t.columns if c != "s_acctbal"]) for t in tables]
+    return D.union_by_name(texts)
 
 
 def id_batches(spark, sf_dir):
@@ -80,11 +81,9 @@ def detail_lookup(spark, sf_dir):
 def envelope_union(spark, sf_dir):
     """Answers that are lists, or objects with a list of companies, or neither."""
     records = X.detail_json(spark, sf_dir).withColumn("batch", F.floor(F.col("rec_no") / 10).cast("bigint"))
-    lists = records.groupBy("batch").agg(
-        F.concat(
-            F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rec_no", "json"))), lambda r: r["json"]), ","), F.lit("]")
-        ).alias("list")
-    )
+    ordered = F.sort_array(F.collect_list(F.struct("rec_no", "json")))
+    joined = F.array_join(F.transform(ordered, lambda r: r["json"]), ",")
+    lists = records.groupBy("batch").agg(F.concat(F.lit("["), joined, F.lit("]")).alias("list"))
     answer = (
         F.when(F.col("batch") % 3 == 0, F.col("list"))
         .when(F.col("batch") % 3 == 1, F.concat(F.lit('{"companies": '), F.col("list"), F.lit("}")))

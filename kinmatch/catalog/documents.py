@@ -144,7 +144,8 @@ _UNPIVOT = " UNION ALL ".join(
 )
 _GAP = "coalesce(nullif({0}, ''), '[Not enough information]')"
 _OVERLAP = [
-    ("target_customer", "customer_types", "array_to_string(json_extract_string(json, '$.target_customer.customer_types[*]'), ', ')"),
+    ("target_customer", "customer_types",
+     "array_to_string(json_extract_string(json, '$.target_customer.customer_types[*]'), ', ')"),
     ("target_customer", "buyer_personas", "NULL"),
     ("target_customer", "industries_served", "NULL"),
     ("job_to_be_done", "primary_problem", "json_extract_string(json, '$.job_to_be_done.primary_problem')"),

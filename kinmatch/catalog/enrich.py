@@ -41,7 +41,8 @@ def text_hash_embed(spark, sf_dir):
     """Non-zero components of the embedding of every document."""
     docs = X.texts(spark, sf_dir, "documents")
     parts = docs.select("doc_id", F.posexplode(embed_text(F.col("text"))).alias("bucket", "value"))
-    return parts.filter("value <> 0").select("doc_id", "bucket", F.round(F.col("value").cast("double"), 4).alias("value"))
+    value = F.round(F.col("value").cast("double"), 4).alias("value")
+    return parts.filter("value <> 0").select("doc_id", "bucket", value)
 
 
 def infer_stub(spark, sf_dir):
@@ -205,7 +206,8 @@ QUERIES = {
 }
 
 _WORDS = "unnest(regexp_split_to_array(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '[ \\t\\r\\n]+'))"
-_HEX = "list_sum(list_transform(range(1, 8), lambda i: (strpos('0123456789abcdef', substr(md5(w), i, 1)) - 1) * 16 ** (7 - i)))::BIGINT % 64"
+_DIGIT = "(strpos('0123456789abcdef', substr(md5(w), i, 1)) - 1)"
+_HEX = f"list_sum(list_transform(range(1, 8), lambda i: {_DIGIT} * 16 ** (7 - i)))::BIGINT % 64"
 _FIELDS = ["company_description", "industry_vertical", "product_form", "icp", "job_to_be_done"]
 
 
@@ -261,7 +263,8 @@ ORACLES = {
     "page_text": f"""SELECT page_id, t AS content, length(t)::INTEGER AS size
         FROM (SELECT page_id, {page_text_sql('html')} AS t FROM pages) WHERE t <> ''""",
     "page_captures": with_views("page_capture", "SELECT page_id, url, content FROM page_capture WHERE content <> ''"),
-    "text_hash_embed": f"""SELECT doc_id, bucket::INTEGER AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS value
+    "text_hash_embed": f"""SELECT doc_id, bucket::INTEGER AS bucket,
+          round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS value
         FROM (SELECT doc_id, {_HEX} AS bucket, count(*) AS n
               FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents
                     WHERE regexp_matches(text, '[^ \\t\\r\\n]')) GROUP BY 1, 2)""",

@@ -29,7 +29,8 @@ def bfs_visited_shallow(spark, sf_dir):
 
 def bfs_superset(spark, sf_dir):
     found = _walk(spark, sf_dir)[1].superset
-    return found.select("link", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "src", "name", "overlap_score")
+    path = F.array_join(F.col("path").cast("array<string>"), "/").alias("path")
+    return found.select("link", "depth", path, "src", "name", "overlap_score")
 
 
 def bfs_summary(spark, sf_dir):

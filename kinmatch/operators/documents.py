@@ -79,9 +79,13 @@ def quality_audit(analyses: DataFrame, document: str = "document") -> DataFrame:
     in_matrix = F.flatten(F.transform(F.col(f"{a}.matrix"), lambda r: F.array(*[r[c] for c in cells])))
     return analyses.agg(
         F.count(F.lit(1)).alias("documents"),
-        count(F.col(f"{a}.competitors"), lambda c: ~c["overlap_score"].between(0, LIMITS["overlap_score"])).alias("bad_overlap"),
+        count(
+            F.col(f"{a}.competitors"), lambda c: ~c["overlap_score"].between(0, LIMITS["overlap_score"])
+        ).alias("bad_overlap"),
         count(in_matrix, lambda s: ~s.isin(SIGNS)).alias("bad_signs"),
-        count(F.col(f"{a}.segments"), lambda s: F.size(s["pain_points"]) > LIMITS["pain_points"]).alias("long_pain_lists"),
+        count(
+            F.col(f"{a}.segments"), lambda s: F.size(s["pain_points"]) > LIMITS["pain_points"]
+        ).alias("long_pain_lists"),
         F.count_if(F.size(f"{a}.competitors") > LIMITS["competitors"]).alias("long_competitor_lists"),
         F.count_if(F.size(f"{a}.differentiators") != LIMITS["differentiators"]).alias("not_five_differentiators"),
     )
