@@ -151,8 +151,9 @@ def _batch_kernel(matrices, rule, scores, everyone=None, cells=1_000_000):
             lengths = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = arrays.flatten().to_numpy(zero_copy_only=False)
             # Vectors of one length are one matrix; otherwise each is cut out of the flat values.
-            even = len(lengths) > 0 and lengths.min() == lengths.max() > 0
-            starts = None if even else np.concatenate([[0], np.cumsum(lengths)])
+            filled = lengths > 0
+            even = len(set(lengths[filled])) == 1
+            places = np.cumsum(filled) - 1 if even else np.concatenate([[0], np.cumsum(lengths)])
             for name in sorted(set(names)):
                 of_field = np.flatnonzero(names == name)
                 groups = matrices.get(name, [])
@@ -161,11 +162,12 @@ def _batch_kernel(matrices, rule, scores, everyone=None, cells=1_000_000):
                     queries_here = pa.array(ids, pa.string())
                     for rows in parts(of_field, len(ids)):
                         fits = rows[lengths[rows] == width]
-                        if even and len(fits):
-                            block = flat.reshape(len(lengths), width)[fits]
+                        if not len(fits) or not width:
+                            block = np.zeros((len(fits), width))
+                        elif even:
+                            block = flat.reshape(-1, width)[places[fits]].astype(np.float64)
                         else:
-                            block = flat[[] if even else starts[fits][:, None] + np.arange(width)[None, :]]
-                        block = block.reshape(len(fits), width).astype(np.float64)
+                            block = flat[places[fits][:, None] + np.arange(width)[None, :]].astype(np.float64)
                         picked, queries, values = rule(rows, fits, block, matrix)
                         if len(picked):
                             columns = [pa.array(v, pa.float64(), from_pandas=True) for v in values]
@@ -266,8 +268,12 @@ def field_similarities(vectors: DataFrame, queries: QuerySet, all_companies: boo
         )
         return _salted_join(corpus, query).select("query_id", "company_id", "field_name", score.alias("similarity"))
     everyone = queries.ids if all_companies else None
-    if not all_companies:
-        corpus = corpus.filter(F.col("field_name").isin(sorted(queries.matrices)))
+    compared = F.col("field_name").isin(sorted(queries.matrices))
+    if all_companies:
+        # Fields that no query has only tell that the company exists.
+        corpus = corpus.withColumn("embedding", F.when(compared, F.col("embedding")))
+    else:
+        corpus = corpus.filter(compared)
     return corpus.mapInArrow(
         _batch_kernel(queries.matrices, _pair_rule(False), ["similarity"], everyone),
         "query_id string, company_id string, field_name string, similarity double",

@@ -150,6 +150,15 @@ def test_missing_fields_show_as_zero(data):
     assert scores.field_scores == {f: 0.0 for f in wanted if FIELD_WEIGHTS.get(f)}
 
 
+def test_query_with_one_field_still_sees_every_company(data):
+    rows, vectors, query, _ = data
+    scores = P.score_all(vectors, query.filter("field_name = 'icp'"), exclude_self=False).collect()
+    wanted = dict(model(rows, {"icp": next(v for c, f, v in rows if (c, f) == ("c005", "icp"))}, False))
+    assert {r.company_id for r in scores} == set(wanted)
+    assert all(abs(r.total_score - wanted[r.company_id]) < 1e-6 for r in scores)
+    assert all(set(r.field_scores) == {"icp"} for r in scores)
+
+
 def test_min_similarity_is_off_by_default(data):
     _, vectors, query, _ = data
     queries = S.query_set(query)
