@@ -76,7 +76,7 @@ def compare(spark, con, name, query, sql, sf_dir: str = DATA) -> str:
 
 
 def main(argv):
-    from kinmatch.catalog import registry
+    import __spark_entry__ as registry
     from kinmatch.session import local_session
 
     sf_dir = DATA
