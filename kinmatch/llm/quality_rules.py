@@ -30,7 +30,7 @@ RULES = {
     "few_words": lambda m: m["n_words"] < 20,
     "repeated_words": lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"],
     "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
-    "repeated_lines": lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"],
+    "repeated_lines": lambda m: 2 * m["n_dup_lines"] > m["n_lines"],
     "word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
     "shouting": lambda m: 2 * m["n_upper"] > m["word_chars"],
 }
@@ -209,7 +209,7 @@ measured AS (
   FROM words LEFT JOIN covered USING (r)),
 bits AS (
   SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT
-         + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+         + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
          + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT
          + 32 * (2 * n_upper > word_chars)::BIGINT AS failure_bits
   FROM measured)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinmatch.llm import mixing, preference, quality_rules
+from kinmatch.llm import exact_topk, license_scan, mixing, preference, quality_gam, quality_rules, simhash, toxicity
 from kinmatch.llm.common import read_table
 
 
@@ -10,22 +10,48 @@ def op1_preference_format(spark, sf_dir):
     return preference.preference_pairs(read_table(spark, sf_dir, "conversations"))
 
 
+def op2_simhash_vptree(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_gam(spark, sf_dir):
+    return quality_gam.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_segment_topk(spark, sf_dir):
+    return exact_topk.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_poisson_mixing(spark, sf_dir):
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_chain(spark, sf_dir):
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_license_scan(spark, sf_dir):
+    return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_preference_format": op1_preference_format,
+    "op2_simhash_vptree": op2_simhash_vptree,
+    "op3_quality_gam": op3_quality_gam,
+    "op5_segment_topk": op5_segment_topk,
     "op6_poisson_mixing": op6_poisson_mixing,
+    "op7_toxicity_chain": op7_toxicity_chain,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
     "op1_preference_format": preference.ORACLE,
+    "op5_segment_topk": exact_topk.ORACLE,
     "op6_poisson_mixing": mixing.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
