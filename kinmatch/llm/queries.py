@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from kinmatch.llm import exact_topk, license_scan, mixing, preference, quality_gam, quality_rules, simhash, toxicity
+from kinmatch.llm import (
+    bpe_dropout,
+    exact_topk,
+    license_scan,
+    lm_bloom,
+    mixing,
+    preference,
+    quality_gam,
+    quality_rules,
+    simhash,
+    toxicity,
+)
 from kinmatch.llm.common import read_table
 
 
@@ -18,6 +29,10 @@ def op3_quality_gam(spark, sf_dir):
     return quality_gam.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_lm_bloom(spark, sf_dir):
+    return lm_bloom.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op5_segment_topk(spark, sf_dir):
     return exact_topk.nearest(read_table(spark, sf_dir, "embeddings"))
 
@@ -30,6 +45,10 @@ def op7_toxicity_chain(spark, sf_dir):
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_bpe_dropout(spark, sf_dir):
+    return bpe_dropout.segmentations(read_table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark, sf_dir):
     return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
 
@@ -42,9 +61,11 @@ QUERIES = {
     "op1_preference_format": op1_preference_format,
     "op2_simhash_vptree": op2_simhash_vptree,
     "op3_quality_gam": op3_quality_gam,
+    "op4_lm_bloom": op4_lm_bloom,
     "op5_segment_topk": op5_segment_topk,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op7_toxicity_chain": op7_toxicity_chain,
+    "op8_bpe_dropout": op8_bpe_dropout,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
