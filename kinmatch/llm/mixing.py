@@ -75,15 +75,14 @@ def with_copies(docs: DataFrame, table: DataFrame, name: str, seed: int = SEED,
     A rate above ``TABULATED`` is a sum of independent parts of at most that rate,
     each drawn with its own hash, so that no cumulative table gets long.
     """
+    key, n, cdf = fresh(docs, "mix_source"), fresh(docs, "mix_parts"), fresh(docs, "mix_cdf")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / TABULATED)).cast("int")
-    tables = durable(table.select(F.col("source").alias("_source"), parts.alias("_parts"), cumulative(F.col("rate") / parts).alias("_cdf")))
+    tables = durable(table.select(F.col("source").alias(key), parts.alias(n), cumulative(F.col("rate") / parts).alias(cdf)))
     # The keys are matched with nulls equal; an equality on both parts stays a hash join.
-    joined = docs.join(tables, docs[source].eqNullSafe(tables["_source"]), "left")
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda part: uniform(str(seed), F.col(doc_id), part))
-    count = F.aggregate(
-        drawn, F.lit(0), lambda total, u: total + F.size(F.filter(F.col("_cdf"), lambda c: c <= u))
-    )
-    return joined.withColumn(name, count).drop("_source", "_parts", "_cdf")
+    joined = docs.join(tables, docs[source].eqNullSafe(tables[key]), "left")
+    drawn = F.transform(F.sequence(F.lit(1), F.col(n)), lambda part: uniform(str(seed), F.col(doc_id), part))
+    count = F.aggregate(drawn, F.lit(0), lambda total, u: total + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
+    return joined.withColumn(name, count).drop(key, n, cdf)
 
 
 def replicate(docs: DataFrame, seed: int = SEED, weights: DataFrame | None = None, copy: str = "copy", place: str = "place") -> DataFrame:

@@ -156,15 +156,18 @@ def shallow_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def grid_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Leaf values of a tree over a grid: one cut of the rows, then one of the columns on either side."""
-    out = np.zeros_like(g)
-    top = _cut(g.sum(1), h.sum(1)) or len(g)
-    for rows in (slice(0, top), slice(top, len(g))):
-        if rows.start == rows.stop:
-            continue
-        at = _cut(g[rows].sum(0), h[rows].sum(0)) or g.shape[1]
-        for cols in (slice(0, at), slice(at, g.shape[1])):
-            out[rows, cols] = g[rows, cols].sum() / (h[rows, cols].sum() + RIDGE)
+    """Leaf values of a tree over a grid: the best cut of the rows with a cut of the columns on either side."""
+    best, out = -np.inf, np.zeros_like(g)
+    for top in range(1, len(g)):
+        made, gain = np.zeros_like(g), 0.0
+        for rows in (slice(0, top), slice(top, len(g))):
+            at = _cut(g[rows].sum(0), h[rows].sum(0)) or g.shape[1]
+            for cols in (slice(0, at), slice(at, g.shape[1])):
+                slope, weight = g[rows, cols].sum(), h[rows, cols].sum()
+                made[rows, cols] = slope / (weight + RIDGE)
+                gain += float(_gain(slope, weight))
+        if gain > best:
+            best, out = gain, made
     return out
 
 

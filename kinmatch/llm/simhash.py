@@ -222,10 +222,10 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = WORDS) -> Da
     Rows that repeat that id are copies too, and one of them stays.  Rows without an id
     cannot be told apart and all stay.
     """
-    stays = linked(docs, radius, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    name = fresh(docs, "nth")
-    kept = docs.filter("doc_id IS NOT NULL").join(stays, F.col("doc_id") == F.col("_stays")).drop("_stays")
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text",) if c in docs.columns])
+    key, name = fresh(docs, "stays"), fresh(docs, "nth")
+    stays = linked(docs, radius, width).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(stays, docs["doc_id"] == stays[key]).drop(key)
+    first = Window.partitionBy("doc_id").orderBy("text")
     single = kept.withColumn(name, F.row_number().over(first)).filter(F.col(name) == 1).drop(name)
     return single.unionByName(docs.filter("doc_id IS NULL"))
 
