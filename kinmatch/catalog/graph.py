@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from kinmatch.catalog import fixtures as X
 from kinmatch.catalog.views import with_views
 from kinmatch.operators import graph as G
@@ -29,8 +27,7 @@ def bfs_visited_shallow(spark, sf_dir):
 
 def bfs_superset(spark, sf_dir):
     found = _walk(spark, sf_dir)[1].superset
-    path = F.array_join(F.col("path").cast("array<string>"), "/").alias("path")
-    return found.select("link", "depth", path, "src", "name", "overlap_score")
+    return found.select("link", "depth", "pos", "src", "name", "overlap_score")
 
 
 def bfs_summary(spark, sf_dir):
@@ -73,7 +70,7 @@ ORACLES = {
     "bfs_visited": _graph("SELECT url, depth FROM visited"),
     "bfs_visited_shallow": _graph("SELECT url, depth FROM visited", 2),
     "bfs_superset": _graph(
-        "SELECT link, depth, array_to_string(path, '/') AS path, src, name, overlap_score FROM superset"
+        "SELECT link, depth, path[-1] AS pos, src, name, overlap_score FROM superset"
     ),
     "bfs_summary": _graph(
         f"""SELECT '{START}' AS initial_company, {DEPTH}::INTEGER AS depth_analyzed,

@@ -1,9 +1,10 @@
 """Depth-limited breadth-first expansion of a competitor graph.
 
 Edges are ``(src, pos, name, description, overlap_score, link)``; ``pos`` orders the
-competitors of a source.  The order in which a first-in-first-out queue meets an
-edge is the order of its path: the positions from the start up to the edge.  So
-a round needs one join and one minimum per link, and no queue.
+competitors of a source.  A first-in-first-out queue meets the edges of a round in the
+order of their sources, which is the order in which those were met the round before, and
+then of position.  So a round needs one join, one minimum per link over a single
+number, and numbers for what it met; no queue and no paths.
 """
 
 from __future__ import annotations
@@ -12,21 +13,24 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinmatch.operators.joins import except_known
 from kinmatch.operators.ranking import numbered
 from kinmatch.session import durable, shared_folder
 
-_EDGE = ["src", "name", "description", "overlap_score"]
+_EDGE = ["name", "description", "overlap_score"]
+# Place of a source in its round (18 digits) and position (19 digits) in one number.
+_SHIFT = "10000000000000000000BD"
 
 
 @dataclass
 class Expansion:
-    """``visited(url, depth, path)`` and ``superset(link, depth, path, src, ...)``.
+    """``visited(url, depth, place)`` and ``superset(link, depth, met, src, pos, ...)``.
 
-    ``depth`` of a superset row is the depth of the company that named it first.
+    ``depth`` of a superset row is the depth of the company that named it first, and
+    ``met`` its order within that depth; ``place`` is the order of a company in its round.
     """
 
     start: str
@@ -59,9 +63,7 @@ def walk(
     round short.
     """
     root = shared_folder(spark)
-    frontier = spark.range(1).select(
-        F.lit(start).alias("url"), F.lit(1).alias("depth"), F.array().cast("array<bigint>").alias("path")
-    )
+    frontier = spark.range(1).select(F.lit(start).alias("url"), F.lit(1).alias("depth"), F.lit(0).cast("bigint").alias("place"))
     visited: list[DataFrame] = []
     superset: list[DataFrame] = []
     for level in range(1, depth + 1):
@@ -69,25 +71,32 @@ def walk(
         reached = durable(reached, f"{root}/visited/{level}")
         visited.append(reached)
         links = edges.filter(F.col("link") != "")
-        met = reached.join(links, reached.url == links.src).select(
-            "link",
-            F.struct(F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"), *_EDGE).alias("edge"),
-        )
-        first = met.groupBy("link").agg(F.min("edge").alias("edge")).select(
-            "link", F.lit(level).alias("depth"), "edge.*"
-        )
+        met = reached.join(links, reached.url == links.src)
+        order = F.expr(f"CAST(CAST(place AS DECIMAL(18,0)) * {_SHIFT} + pos AS DECIMAL(38,0))")
+        first = met.groupBy("link").agg(F.min(order).alias("met"))
         if superset:
             first = except_known(first, reduce(DataFrame.unionByName, superset), "link")
-        first = durable(first, f"{root}/superset/{level}")
+        first = durable(_with_edges(first, reached, links, level), f"{root}/superset/{level}")
         superset.append(first)
-        if first.isEmpty():
+        if level == depth or first.isEmpty():
             break
-        frontier = first.filter(F.col("link") != start).select(
-            F.col("link").alias("url"), F.lit(level + 1).alias("depth"), "path"
-        )
+        followed = first.filter(F.col("link") != start).select(F.col("link").alias("url"), "met")
+        frontier = numbered(followed, [F.col("met")], "place", start=0).select("url", F.lit(level + 1).alias("depth"), "place")
     return Expansion(start, depth, reduce(DataFrame.unionByName, visited), reduce(DataFrame.unionByName, superset))
 
 
+def _with_edges(first: DataFrame, reached: DataFrame, links: DataFrame, level: int) -> DataFrame:
+    """The edge behind each first-met link; of repeated edges the first by its texts."""
+    place = F.expr(f"CAST(met DIV {_SHIFT} AS BIGINT)")
+    pos = F.expr(f"CAST(met % {_SHIFT} AS BIGINT)")
+    winners = first.select("link", "met", place.alias("place"), pos.alias("pos"))
+    named = winners.join(reached.select("place", F.col("url").alias("src")), "place")
+    edges = named.join(links.select("src", "pos", "link", *_EDGE), ["src", "pos", "link"])
+    one = Window.partitionBy("link").orderBy(*_EDGE)
+    once = edges.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    return once.select("link", F.lit(level).alias("depth"), "met", "src", "pos", *_EDGE)
+
+
 def summary(walk: Expansion) -> DataFrame:
     """One row: start, depth, and the sizes of both results."""
     rows = F.count(F.lit(1))
@@ -109,5 +118,5 @@ def competitors_per_company(walk: Expansion, edges: DataFrame) -> DataFrame:
 
 def ranked_superset(walk: Expansion) -> DataFrame:
     """The superset by falling overlap; equal overlap keeps the first-seen order."""
-    order = [F.desc("overlap_score"), F.asc("depth"), F.asc("path")]
+    order = [F.desc("overlap_score"), F.asc("depth"), F.asc("met")]
     return numbered(walk.superset, order)
