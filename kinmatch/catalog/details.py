@@ -10,8 +10,6 @@ from kinmatch.operators import details as D
 from kinmatch.plans import lookalikes as L
 from kinmatch.session import shared_folder
 
-SITES = ["https://www.company00013.com/", "http://company00025.com", "company00037.com//", "https://nowhere.test"]
-
 
 def _directory(spark, sf_dir):
     """Domain of every company of the vector table, without its scheme."""
@@ -57,9 +55,7 @@ def detail_flat_table(spark, sf_dir):
 
 def union_by_name(spark, sf_dir):
     """Nations, regions and suppliers under one sorted header."""
-    tables = [X.table(spark, sf_dir, t) for t in ("nation", "region", "supplier")]
-    texts = [t.select(*[F.col(c).cast("string") for c in t.columns if c != "s_acctbal"]) for t in tables]
-    return D.union_by_name(texts)
+    return D.union_by_name([X.table(spark, sf_dir, t) for t in ("nation", "region", "supplier")])
 
 
 def id_batches(spark, sf_dir):
@@ -115,7 +111,7 @@ QUERIES = {
 
 _KEYS = ["id", "name", "nation", "segment", "website"]
 _UNION = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"],
-          "supplier": ["s_suppkey", "s_name", "s_nationkey"]}
+          "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]}
 _COLUMNS = sorted(c for cols in _UNION.values() for c in cols)
 
 ORACLES = {

@@ -69,9 +69,9 @@ def _respond(spark, sf_dir):
 
 def enrich_profiles(spark, sf_dir):
     """CRM rows to stored vectors, through the table."""
-    rows = P.enrich(X.crm(spark, sf_dir), X.page_capture(spark, sf_dir), _respond(spark, sf_dir))
+    rows = P.enrich_texts(X.crm(spark, sf_dir), X.page_capture(spark, sf_dir), _respond(spark, sf_dir))
     path = f"{shared_folder(spark)}/vectors"
-    VS.insert_if_absent(rows, path, "row_no")
+    VS.insert_texts_if_absent(rows, P.with_embedding, path, "row_no")
     return VS.read_vectors(spark, path).select(
         "doc_id", "company_id", "field_name", "text_content", "source_url", _filled("embedding")
     )

@@ -14,6 +14,8 @@ from kinmatch.functions.urls import is_blank, strip
 from kinmatch.functions.vectors import normalise
 
 DIM = 64
+# The character of the first bucket; the marks are plain ASCII for up to 79 buckets.
+FIRST_MARK = 48
 
 
 def word_bucket(word: Column, dim: int = DIM) -> Column:
@@ -22,12 +24,19 @@ def word_bucket(word: Column, dim: int = DIM) -> Column:
 
 
 def embed_text(text: Column, dim: int = DIM) -> Column:
-    """Unit vector of the word counts of a text, null for a blank one."""
+    """Unit vector of the word counts of a text, null for a blank one.
+
+    The buckets of the words are written as one character each; a bucket's count is
+    what its character adds to the length of that line.
+    """
     words = F.split(F.lower(strip(text)), "[ \\t\\r\\n]+")
-    slots = F.sequence(F.lit(0), F.lit(dim - 1))
+    mark = [chr(FIRST_MARK + slot) for slot in range(dim)]
+    marks = F.array(*[F.lit(m) for m in mark])
+    line = F.array_join(F.transform(words, lambda w: F.get(marks, word_bucket(w, dim))), "")
 
-    def counts(buckets: Column) -> Column:
-        return F.transform(slots, lambda slot: F.size(F.filter(buckets, lambda b: b == slot)))
+    def counts(row: Column) -> Column:
+        size = F.char_length(row)
+        return F.array(*[size - F.char_length(F.replace(row, F.lit(m), F.lit(""))) for m in mark])
 
-    vector = let(let(F.transform(words, lambda w: word_bucket(w, dim)), counts), normalise)
+    vector = let(let(line, counts), normalise)
     return F.when(~is_blank(text), F.transform(vector, lambda x: x.cast("float")))

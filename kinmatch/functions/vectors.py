@@ -16,6 +16,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def is_finite(v: Column) -> Column:
+    """Whether a vector is there, holds values, and all of them are finite numbers."""
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
@@ -31,9 +36,9 @@ def normalise(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine in [-1, 1]; 0.0 for null, empty, zero or unequally long vectors."""
+    """Cosine in [-1, 1]; 0.0 for null, empty, zero or unequally long vectors, and for any that is not finite."""
     norms = l2_norm(a) * l2_norm(b)
-    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norms > 0)
+    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norms > 0) & (norms < float("inf"))
     value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms))
     return F.coalesce(F.when(usable, value), F.lit(0.0))
 

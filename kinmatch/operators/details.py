@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.functions.bind import with_once
 from kinmatch.functions.documents import display_name, display_website, envelope_items
-from kinmatch.functions.urls import domain
+from kinmatch.functions.urls import domain, strip
 from kinmatch.operators.ranking import batch_number, numbered
 from kinmatch.schemas import DETAIL_BATCH
+from kinmatch.session import durable
 from kinmatch.sources.crm import write_csv
 
-# A table with more columns than this is a sign that keys are data.
-MAX_COLUMNS = 10_000
 URN = "urn:"
 
 
@@ -48,24 +48,37 @@ def batch_kinds(batched: DataFrame, identifier: str = "id", position: str = "pos
 
 
 def is_number(value: Column) -> Column:
-    return F.coalesce(value.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.lit(False))
+    """Whole numbers of any length; single underscores may separate digits."""
+    return F.coalesce(strip(value).rlike(r"^[+-]?[0-9]+(?:_[0-9]+)*\z"), F.lit(False))
+
+
+def canonical_number(value: Column) -> Column:
+    """Digits of a whole number, without sign of a positive one, leading zeros and separators."""
+    digits = F.regexp_replace(F.regexp_replace(strip(value), "_", ""), r"^\+", "")
+    bare = F.regexp_replace(digits, r"^(-?)0+(?=[0-9])", "$1")
+    return F.when(is_number(value), F.when(bare == "-0", "0").otherwise(bare))
 
 
 def detail_lookup(batched: DataFrame, details: DataFrame, identifier: str = "id") -> DataFrame:
     """Details of the listed ids, in batches that each use one kind of id.
 
-    ``details`` has ``id`` (a number) and ``urn`` besides its payload.
+    ``details`` has ``id`` (a number) and ``urn`` besides its payload.  The ids are
+    resolved against ``id`` and ``urn`` alone; payloads are fetched for the hits.  Numbers
+    are compared as digits, so they may have any length.
     """
     kinds = batch_kinds(batched, identifier).select("batch", "kind")
     asked = batched.join(kinds, "batch")
-    number = F.try_to_number(F.trim(identifier), F.lit("S99999999999999999999")).cast("bigint").cast("string")
-    key = F.when(F.col("kind") == "ids", number).otherwise(F.col(identifier))
+    key = F.when(F.col("kind") == "ids", canonical_number(F.col(identifier))).otherwise(F.col(identifier))
+    number = canonical_number(F.col("id").cast("string"))
     keys = F.array(
-        F.struct(F.lit("ids").alias("kind"), F.col("id").cast("string").alias("_key")),
+        F.struct(F.lit("ids").alias("kind"), number.alias("_key")),
         F.struct(F.lit("urns").alias("kind"), F.col("urn").alias("_key")),
     )
-    known = details.select(*[c for c in details.columns if c not in ("id", "urn")], F.inline(keys))
-    return asked.withColumn("_key", key).join(known, ["kind", "_key"]).drop("_key")
+    names = details.select(F.col("id").alias("_id"), F.col("urn").alias("_urn"), F.inline(keys)).distinct()
+    hits = durable(asked.withColumn("_key", key).join(names, ["kind", "_key"]))
+    same = details["id"].eqNullSafe(hits["_id"]) & details["urn"].eqNullSafe(hits["_urn"])
+    payload = [details[c] for c in details.columns if c not in ("id", "urn")]
+    return hits.join(details, same).select(*[hits[c] for c in hits.columns if c not in ("_key", "_id", "_urn")], *payload)
 
 
 def unwrap(answers: DataFrame, answer: str, order: str) -> DataFrame:
@@ -100,10 +113,8 @@ def flat_table(records: DataFrame, keys: Sequence[str] = (), json: str = "json")
 
     The key names come to the driver, as they become the columns of the plan.
     """
-    names = [r.key for r in key_union(records, json).orderBy("key").limit(MAX_COLUMNS + 1).collect()]
-    if len(names) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} different keys")
-    cells = records.select(*keys, _cells(F.col(json)).alias("_cells"))
+    names = [r.key for r in key_union(records, json).orderBy("key").collect()]
+    cells = with_once(records, "_cells", _cells(F.col(json)))
     return cells.select(*keys, *[F.coalesce(F.col("_cells")[n], F.lit("")).alias(n) for n in names])
 
 
@@ -117,8 +128,9 @@ def write_flat_table(records: DataFrame, path: str, json: str = "json") -> bool:
 
 
 def union_by_name(tables: Sequence[DataFrame]) -> DataFrame:
-    """Rows of all tables under the sorted union of their columns, gaps empty."""
-    rows = tables[0]
-    for other in tables[1:]:
+    """Rows of all tables, as text, under the sorted union of their columns, gaps empty."""
+    texts = [t.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in t.columns]) for t in tables]
+    rows = texts[0]
+    for other in texts[1:]:
         rows = rows.unionByName(other, allowMissingColumns=True)
-    return rows.select(*sorted(rows.columns)).fillna("")
+    return rows.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in sorted(rows.columns)])

@@ -9,37 +9,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def infer(text: Column, model: Callable[[], Callable], dtype: T.DataType | str = "string") -> Column:
+def infer(text: Column, model: Callable[[], Callable], dtype: T.DataType | str = "string", most: int = 256) -> Column:
     """Answer of a model for each text, null where it fails or the text is null.
 
     ``model`` is called once per task and returns a function from a list of texts
-    to a list of answers of the same length.  When a list fails, its texts are
-    asked one by one, so that one bad text costs only its own answer.  The
-    column counts as non-deterministic, so Spark asks once per row.
+    to a list of answers of the same length, for at most ``most`` texts at a time.  A
+    list that fails is asked again in halves, so that one bad text costs its own answer
+    and a few calls.  The column counts as non-deterministic, so Spark asks once per row.
     """
     import pandas as pd
 
     def answers(batches):
         ask = model()
 
-        def one(value):
+        def found(texts):
             try:
-                return ask([value])[0]
+                got = list(ask(texts))
+                if len(got) == len(texts):
+                    return got
             except Exception:
-                return None
+                pass
+            if len(texts) == 1:
+                return [None]
+            half = len(texts) // 2
+            return found(texts[:half]) + found(texts[half:])
 
         for batch in batches:
             texts = batch.dropna()
-            try:
-                found = list(ask(list(texts)))
-                if len(found) != len(texts):
-                    raise ValueError("a model must answer every text")
-            except Exception:
-                found = [one(value) for value in texts]
-            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            for index, answer in zip(texts.index, found):
-                out.at[index] = answer
-            yield out
+            got = [a for i in range(0, len(texts), most) for a in found(list(texts[i : i + most]))]
+            yield pd.Series(got, index=texts.index, dtype=object).reindex(batch.index, fill_value=None)
 
     answers.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(answers, dtype).asNondeterministic()(text)

@@ -34,8 +34,9 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def weighted_fields(query: DataFrame, weights: Mapping[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """Query rows whose field carries a weight other than zero."""
-    return query.filter(F.col("field_name").isin([f for f, w in weights.items() if w]))
+    """Query rows whose field carries a weight other than zero and whose vector can be compared."""
+    listed = F.col("field_name").isin([f for f, w in weights.items() if w])
+    return query.filter(listed & V.is_finite(F.col("embedding")) if "embedding" in query.columns else listed)
 
 
 def weight_of(name: Column, weights: Mapping[str, float] = FIELD_WEIGHTS) -> Column:
@@ -152,6 +153,10 @@ def _batch_kernel(matrices, rule, scores, everyone=None, cells=1_000_000):
             flat = arrays.flatten().to_numpy(zero_copy_only=False)
             # Vectors of one length are one matrix; otherwise each is cut out of the flat values.
             filled = lengths > 0
+            # A vector with a null or a value that is not finite compares like one of another length.
+            usable = lengths.copy()
+            if not np.isfinite(flat).all():
+                usable[np.repeat(np.arange(len(lengths)), lengths)[~np.isfinite(flat)]] = -1
             even = len(set(lengths[filled])) == 1
             places = np.cumsum(filled) - 1 if even else np.concatenate([[0], np.cumsum(lengths)])
             for name in sorted(set(names)):
@@ -161,7 +166,7 @@ def _batch_kernel(matrices, rule, scores, everyone=None, cells=1_000_000):
                     width = matrix.shape[1]
                     queries_here = pa.array(ids, pa.string())
                     for rows in parts(of_field, len(ids)):
-                        fits = rows[lengths[rows] == width]
+                        fits = rows[usable[rows] == width]
                         if not len(fits) or not width:
                             block = np.zeros((len(fits), width))
                         elif even:

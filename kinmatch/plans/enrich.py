@@ -60,10 +60,8 @@ def with_embedding(rows: DataFrame) -> DataFrame:
     return embedded.filter(F.col("embedding").isNotNull())
 
 
-def enrich(
-    rows: DataFrame, captures: DataFrame, respond: Step, embed: Step = with_embedding, quota: int | None = None
-) -> DataFrame:
-    """Field vectors of the companies behind the CRM rows, ready to be stored.
+def enrich_texts(rows: DataFrame, captures: DataFrame, respond: Step, quota: int | None = None) -> DataFrame:
+    """Field records, without vectors yet, of the companies behind the CRM rows.
 
     ``quota`` keeps the first companies that had a page and a valid answer.
     """
@@ -71,7 +69,18 @@ def enrich(
     valid = profiles(visited, respond)
     if quota is not None:
         valid = first_successes(valid, quota)
-    return embed(field_texts(valid))
+    return field_texts(valid)
+
+
+def enrich(
+    rows: DataFrame, captures: DataFrame, respond: Step, embed: Step = with_embedding, quota: int | None = None
+) -> DataFrame:
+    """Field vectors of the companies behind the CRM rows.
+
+    To store them, ``sources.vectors.insert_texts_if_absent`` with ``enrich_texts``
+    embeds only what is not stored yet.
+    """
+    return embed(enrich_texts(rows, captures, respond, quota))
 
 
 def query_profiles(

@@ -28,13 +28,15 @@ def read_crm(
     schema: T.StructType = CRM_SCHEMA,
     required: Sequence[str] = ("Website",),
     na_tokens: Sequence[str] = (),
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read an export by column name; a missing required column is an error.
 
     Empty cells, and columns the file lacks, come back null.  ``na_tokens`` (for instance
-    ``NA_TOKENS``) are texts to read as null.  Files stay splittable unless
-    ``multi_line`` says that quoted values may hold line breaks.
+    ``NA_TOKENS``) are texts to read as null.  Quoted values may hold line breaks; without
+    ``multi_line`` they may not, and large files are then split.  In a folder, every file
+    must have the columns of the first in the same order; another header is an error
+    rather than read by position.
     """
     present = header(spark, path)
     missing = [c for c in required if c not in present]
@@ -44,6 +46,7 @@ def read_crm(
     rows = (
         spark.read.schema(in_file)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')

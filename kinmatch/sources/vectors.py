@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,22 +62,37 @@ def _stored_columns(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in FIELD_VECTOR.fields])
 
 
+def _write(rows: DataFrame, path: str, mode: str) -> None:
+    """Store records by field; the rows of a field are balanced over the writing tasks first."""
+    _stored_columns(rows).hint("rebalance", "field_name").write.mode(mode).partitionBy("field_name").parquet(path)
+
+
 def recreate(rows: DataFrame, path: str) -> None:
     """Replace the table by ``rows``."""
-    _stored_columns(rows).write.mode("overwrite").partitionBy("field_name").parquet(path)
+    _write(rows, path, "overwrite")
+
+
+def insert_if_absent(rows: DataFrame, path: str, seq: str) -> None:
+    """Append records that have a vector and are not stored yet, the first of each id.
 
+    Running the same rows again adds nothing.  The rows are stored once, so that
+    what makes them runs once; ids alone are compared.
+    """
+    filled = durable(rows.filter(F.size("embedding") > 0))
+    first = first_write(filled.select("doc_id", seq), ["doc_id"], seq)
+    added = durable(except_known(first, read_vectors(rows.sparkSession, path), "doc_id"))
+    _write(first_write(filled.join(added, ["doc_id", seq], "left_semi"), ["doc_id"], seq), path, "append")
 
-def new_records(stored: DataFrame, rows: DataFrame, seq: str) -> DataFrame:
-    """Rows to add: with a vector, not stored yet, and the first of their id."""
-    filled = rows.filter(F.size("embedding") > 0)
-    return except_known(first_write(filled, ["doc_id"], seq), stored, "doc_id")
 
+def insert_texts_if_absent(texts: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, seq: str) -> None:
+    """Append records that are not stored yet; only those are embedded.
 
-def insert_if_absent(rows: DataFrame, path: str, seq: str) -> None:
-    """Append the new records; running the same rows again adds nothing."""
-    stored = read_vectors(rows.sparkSession, path)
-    added = _stored_columns(new_records(stored, rows, seq))
-    added.write.mode("append").partitionBy("field_name").parquet(path)
+    ``texts`` are records without a vector, the first text of each id counts, and
+    ``embed`` adds the vector.  The model behind the texts runs once, as they are stored.
+    """
+    first = durable(first_write(texts, ["doc_id"], seq))
+    added = except_known(first, read_vectors(texts.sparkSession, path), "doc_id")
+    _write(embed(added).filter(F.size("embedding") > 0), path, "append")
 
 
 def nested_to_rows(companies: DataFrame, company: str = "company_id", fields: str = "fields") -> DataFrame:

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinmatch.functions.urls import is_blank, with_scheme
-from kinmatch.operators.ranking import first_write
 from kinmatch.plans.enrich import field_texts, profiles, with_embedding
 from kinmatch.sources.captures import successful, with_content
-from kinmatch.sources.vectors import insert_if_absent
+from kinmatch.sources.vectors import insert_texts_if_absent
 
 PAGES = T.StructType(
     [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())]
@@ -34,21 +33,22 @@ def ingest_pages(
     """Load the page files that arrived since the last run, then stop.
 
     Each micro-batch is compared with the stored ids, so no state grows with the
-    number of ids, and a batch that is repeated after a crash adds nothing twice.
+    number of ids, and a batch that is repeated after a crash adds nothing twice.  The
+    result does not depend on ``files_per_batch``.
     """
     pages = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(source)
+        .withColumn("_arrival", F.struct("_metadata.file_modification_time", "_metadata.file_path", seq))
     )
 
     def load(batch: DataFrame, _epoch: int) -> None:
         named = batch.filter(~is_blank(F.col("url"))).withColumn("company_id", with_scheme(F.col("url")))
         valid = profiles(successful(with_content(named)), respond)
-        # The first page with a usable answer speaks for its company.
-        records = field_texts(first_write(valid, ["company_id"], seq), seq)
-        insert_if_absent(embed(records), table, seq)
+        # Of each record the first page with a text counts, in the order in which files arrive.
+        insert_texts_if_absent(field_texts(valid, "_arrival"), embed, table, "_arrival")
 
     stream = (
         pages.writeStream.foreachBatch(load)

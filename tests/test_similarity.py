@@ -143,6 +143,23 @@ def test_small_slices_give_the_same(data, monkeypatch):
     assert scores() == wanted
 
 
+def test_one_bad_vector_costs_only_itself(spark, data):
+    """NaN, infinite, null and empty vectors score zero and are nobody's neighbour, in the kernel and in the join."""
+    rows, vectors, query, _ = data
+    bad = [[float("nan")] * 8, [1.0] * 7 + [float("inf")], [1.0] * 7 + [None], []]
+    odd = spark.createDataFrame([(f"bad{i}", "icp", v) for i, v in enumerate(bad)], SCHEMA)
+    mixed = S.usable_vectors(vectors.unionByName(odd)).coalesce(1)
+    asked = query.unionByName(odd.withColumnRenamed("company_id", "query_id"))
+    for limit in (5000, 1):
+        queries = S.query_set(asked, max_rows=limit)
+        near = S.nearest_per_field(mixed, queries, 3).collect()
+        clean = S.nearest_per_field(S.usable_vectors(vectors), S.query_set(query), 3).collect()
+        assert sorted(map(repr, near)) == sorted(map(repr, clean))
+        scores = {(r.query_id, r.company_id): r.similarity for r in S.field_similarities(mixed, queries).collect()}
+        assert {q for q, _ in scores} == {"c005"}
+        assert all(scores["c005", f"bad{i}"] == 0.0 for i in range(4))
+
+
 def test_missing_fields_show_as_zero(data):
     _, vectors, query, wanted = data
     scores = P.score_all(vectors, query).filter("company_id = 'only_list'").first()

@@ -1,6 +1,8 @@
 """Files, the vector table, inference, and ingest across restarts."""
 
 import json
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,54 @@ def test_crm_file(spark, tmp_path):
         C.read_crm(spark, str(path), required=["Domain"])
 
 
+def test_crm_rows_stay_whole(spark, tmp_path):
+    path = tmp_path / "crm.csv"
+    path.write_text('Name,Website\n"B\nB2",b.com\n"C ""x"",\n\ny",c.com\n')
+    rows = C.read_crm(spark, str(path)).collect()
+    assert {(r.Name, r.Website) for r in rows} == {("B\nB2", "b.com"), ('C "x",\n\ny', "c.com")}
+
+
+def test_crm_files_of_another_column_order_are_an_error(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("Name,Website\nA,a.com\n")
+    (tmp_path / "2.csv").write_text("Website,Name\nb.com,B\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        C.read_crm(spark, str(tmp_path)).collect()
+
+
+def counting(folder):
+    """A model that leaves a line in a file of its own for every text it is asked."""
+
+    def model():
+        def ask(texts):
+            for t in texts:
+                (folder / uuid.uuid4().hex).write_text(str(t))
+            return [f"v{len(t)}" for t in texts]
+
+        return ask
+
+    return model
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    asked, path = tmp_path / "asked", str(tmp_path / "vectors")
+    asked.mkdir()
+    texts = records(spark, [(f"c{i}_icp", i, [0.0]) for i in range(20)]).drop("embedding").repartition(3)
+    answered = texts.withColumn("text_content", infer(F.col("text_content"), counting(asked)))
+    for calls in (20, 40):
+        VS.insert_texts_if_absent(answered, E.with_embedding, path, "seq")
+        assert len(list(asked.iterdir())) == calls and VS.read_vectors(spark, path).count() == 20
+    embedded = tmp_path / "embedded"
+    embedded.mkdir()
+
+    def embed(rows):
+        return rows.withColumn("embedding", F.array(F.length(infer(F.col("text_content"), counting(embedded))).cast("float")))
+
+    more = texts.unionByName(records(spark, [("new_icp", 30, [0.0])]).drop("embedding"))
+    for _ in range(2):
+        VS.insert_texts_if_absent(more, embed, path, "seq")
+    assert len(list(embedded.iterdir())) == 1 and VS.read_vectors(spark, path).count() == 21
+
+
 def test_inference_survives_bad_texts(spark):
     def model():
         def ask(texts):
@@ -117,6 +167,23 @@ def test_ingest_across_restarts(spark, tmp_path):
     assert run() == (second, m)
 
 
+@pytest.mark.parametrize("files", [1, 2, 1000])
+def test_ingest_does_not_depend_on_the_batch(spark, tmp_path, files):
+    source, table, progress = (str(tmp_path / n) for n in ("pages", "vectors", "progress"))
+    answers = ['{"icp": "first", "customer_list": []}', '{"icp": "second", "product_form": "p"}', '{"product_form": "late", "industry_vertical": "i"}']
+    for n, answer in enumerate(answers):
+        rows = spark.createDataFrame([(9 - n, "https://a.com", f"<p>{answer}</p>")], "page_id bigint, url string, html string")
+        rows.coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.05)
+
+    def respond(rows):
+        return rows.withColumn("response", F.col("content"))
+
+    ingest_pages(spark, source, table, progress, respond, files_per_batch=files)
+    got = {(r.field_name, r.text_content) for r in VS.read_vectors(spark, table).collect()}
+    assert got == {("icp", "first"), ("product_form", "p"), ("industry_vertical", "i")}
+
+
 def test_durable_keeps_rows(spark):
     df = durable(spark.range(10).withColumn("v", F.array(F.lit(1))))
     assert df.count() == 10 and df.dtypes == [("id", "bigint"), ("v", "array<int>")]
