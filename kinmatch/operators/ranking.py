@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from kinmatch.session import durable
 
 SPREAD = 64
-SMALL_K = 100
 
 
 def _spread(df: DataFrame, salts: int) -> Column:
@@ -24,14 +23,11 @@ def top_k_per_group(
 ) -> DataFrame:
     """The first ``k`` rows of each group, numbered from 1.
 
-    Groups may be few and huge (one per query and field).  Spark's own group limit
-    leaves ``k`` rows of a group per map task, which is little for a small ``k``.
-    For a larger one the cut runs twice: within salted slices of a group, then
-    over the survivors, so that one task gets at most ``salts * k`` rows of a group.
+    Groups may be few and huge (one per query and field).  The cut runs twice: within
+    salted slices of a group, then over the survivors, so that one task gets at most
+    ``salts * k`` rows of a group however many tasks there are.
     """
     whole = Window.partitionBy(*group).orderBy(*order)
-    if k <= SMALL_K:
-        return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
     salted = df.withColumn("_salt", _spread(df, salts))
     slices = Window.partitionBy(*group, "_salt").orderBy(*order)
     kept = salted.withColumn("_slice", F.row_number().over(slices)).filter(F.col("_slice") <= k)

@@ -1,17 +1,23 @@
 """Weighted multi-field similarity of a query set against a corpus of vectors.
 
-Corpus rows are ``(company_id, field_name, embedding)``, one per company and
-field.  Query rows are ``(query_id, field_name, embedding)``.
+Corpus rows are ``(company_id, field_name, embedding)``, one per company and field, or
+profiles ``(company_id, fields)`` with all fields of a company in one row.  Query rows
+are ``(query_id, field_name, embedding)``.
 
-The corpus is only scanned: a small query set travels to the tasks as one matrix
-per field, and each Arrow batch of corpus vectors is multiplied with it.  Vectors
-never enter a shuffle; only ids and similarities do.
+The query set is cut in blocks of a bounded size.  A block travels to the tasks as one
+matrix per field, and each Arrow batch of corpus vectors is multiplied with it; all query
+sets, of whatever size, take this way.  With profiles a task also adds up the total
+scores, and only what can be among the best leaves it.
+
+A null, empty or zero vector, one of another length, and one with a null or a value that
+is not finite have similarity 0.0 and no distance; as a query it is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +25,13 @@ from pyspark.sql import functions as F
 from kinmatch.functions import vectors as V
 from kinmatch.operators.ranking import top_k_per_group
 from kinmatch.schemas import FIELD_WEIGHTS, TOP_K_PER_FIELD
+from kinmatch.session import durable
 
-# A query set up to this many vectors and elements (64 MB) is sent to the tasks.
-MAX_QUERY_ROWS = 5_000
-MAX_QUERY_ELEMENTS = 8_000_000
-SALTS = 32
-OTHER = "*"
+# A block of queries has about this many vectors and elements (64 MB).
+BLOCK_ROWS = 5_000
+BLOCK_ELEMENTS = 8_000_000
+# Pairs of a company and a query that a task holds at a time.
+CELLS = 1_000_000
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
@@ -48,81 +55,68 @@ def weight_of(name: Column, weights: Mapping[str, float] = FIELD_WEIGHTS) -> Col
 
 
 @dataclass
-class QuerySet:
-    """Weighted query vectors, and their matrices when they are small enough.
+class Block:
+    """Some queries with all their fields: ids, and per field ``(ids, matrix)`` pairs, one per vector length."""
 
-    ``matrices`` maps a field to ``(query ids, matrix)`` pairs, one per vector
-    length.  It is None for a larger set, which is joined to the corpus instead.
-    """
+    ids: list[str] = field(default_factory=list)
+    matrices: dict = field(default_factory=dict)
+
+
+@dataclass
+class QuerySet:
+    """Weighted query vectors, read block by block."""
 
     rows: DataFrame
     weights: Mapping[str, float]
-    matrices: dict | None = None
+    size: int = 1
 
     @property
     def listed(self) -> list[str]:
         return [f for f, w in self.weights.items() if w]
 
-    @property
-    def vector_count(self) -> int:
-        return sum(len(ids) for groups in (self.matrices or {}).values() for ids, _ in groups)
-
-    @property
-    def fields_by_query(self) -> dict[str, list[str]]:
-        found: dict = {}
-        for name in sorted(self.matrices or {}):
-            for ids, _ in self.matrices[name]:
-                for query in ids:
-                    found.setdefault(query, []).append(name)
-        return found
-
-    @property
-    def ids(self) -> list[str]:
-        return sorted(self.fields_by_query)
+    def blocks(self) -> Iterator[Block]:
+        """One block after the other, so that the driver holds a single one."""
+        import numpy as np
 
-    def field_sets(self) -> DataFrame:
-        """Fields of each query; sent to the tasks only for a size-checked set."""
-        if self.matrices is None:
-            return self.rows.groupBy("query_id").agg(F.collect_set("field_name").alias("fields"))
-        spark = self.rows.sparkSession
-        rows = list(self.fields_by_query.items())
-        return F.broadcast(spark.createDataFrame(rows, "query_id string, fields array<string>"))
+        for n in range(self.size):
+            part = self.rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(self.size)) == n) if self.size > 1 else self.rows
+            vectors: dict = {}
+            for row in part.toArrow().to_pandas().sort_values(["query_id", "field_name"]).itertuples():
+                vectors[row.field_name, row.query_id] = np.asarray(row.embedding, dtype=np.float64)
+            by_length: dict = {}
+            for (name, query), vector in vectors.items():
+                by_length.setdefault(name, {}).setdefault(len(vector), []).append((query, vector))
+            matrices = {
+                name: [(np.array([q for q, _ in pairs], dtype=object), np.stack([v for _, v in pairs])) for _, pairs in sorted(groups.items())]
+                for name, groups in by_length.items()
+            }
+            yield Block(sorted({q for _, q in vectors}), matrices)
+
+    def scan(self, over: Callable[[Block], DataFrame]) -> DataFrame:
+        """``over`` of every block; with more than one each result is stored before the next block is read."""
+        if self.size == 1:
+            return over(next(self.blocks()))
+        return reduce(DataFrame.unionByName, [durable(over(block)) for block in self.blocks()])
 
 
 def query_set(
     query: DataFrame,
     weights: Mapping[str, float] = FIELD_WEIGHTS,
-    max_rows: int = MAX_QUERY_ROWS,
-    max_elements: int = MAX_QUERY_ELEMENTS,
+    block_rows: int = BLOCK_ROWS,
+    block_elements: int = BLOCK_ELEMENTS,
 ) -> QuerySet:
-    """Gather the query vectors into matrices, unless they are too many."""
-    import numpy as np
-
+    """The usable query vectors, in as many blocks as keep a block to the given size."""
     rows = weighted_fields(query, weights).select("query_id", "field_name", "embedding")
-    head = rows.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or sum(len(c.flatten()) for c in head["embedding"].chunks) > max_elements:
-        return QuerySet(rows, weights)
-    grouped: dict = {}
-    for row in head.to_pandas().sort_values(["query_id", "field_name"]).itertuples():
-        vector = np.asarray([] if row.embedding is None else row.embedding, dtype=np.float64)
-        grouped.setdefault(row.field_name, {}).setdefault(len(vector), []).append((row.query_id, vector))
-    matrices = {
-        name: [
-            (np.array([q for q, _ in pairs], dtype=object), np.stack([v for _, v in pairs]))
-            for _, pairs in sorted(by_length.items())
-        ]
-        for name, by_length in grouped.items()
-    }
-    return QuerySet(rows, weights, matrices)
-
-
-def _batch_kernel(matrices, rule, scores, everyone=None, cells=1_000_000):
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding")).alias("elements")).first()
+    size = max(1, -(-total["n"] // block_rows), -(-(total["elements"] or 0) // block_elements))
+    return QuerySet(rows if size == 1 else durable(rows), weights, size)
+
+
+def _batch_kernel(matrices, rule, scores, cells=CELLS):
     """An Arrow batch function that scores each corpus row with its field's queries.
 
     ``rule`` picks rows and queries and gives one array of values per name in
-    ``scores``.  With ``everyone`` (all query ids), a row also meets the queries
-    that lack its field, with null scores, so that every company is seen by every
-    query.  ``cells`` bounds the pairs that are held at a time.
+    ``scores``.  ``cells`` bounds the pairs that are held at a time.
     """
 
     def run(batches):
@@ -177,42 +171,41 @@ def _batch_kernel(matrices, rule, scores, everyone=None, cells=1_000_000):
                         if len(picked):
                             columns = [pa.array(v, pa.float64(), from_pandas=True) for v in values]
                             yield emit(companies, picked, queries_here.take(pa.array(queries)), name, columns)
-                if everyone:
-                    known = {q for ids, _ in groups for q in ids}
-                    absent = pa.array([q for q in everyone if q not in known], pa.string())
-                    for rows in parts(of_field, len(absent)) if len(absent) else []:
-                        met = np.repeat(rows, len(absent))
-                        ids = absent.take(pa.array(np.tile(np.arange(len(absent)), len(rows))))
-                        yield emit(companies, met, ids, name, [pa.nulls(len(met), pa.float64()) for _ in scores])
 
     return run
 
 
-def _pair_rule(distances):
-    """Cosine, and distance if asked for, of every row and query of a field.
+def _cosines(block, matrix):
+    """Twelve decimals make equal vectors tie whatever their place in the batch."""
+    import numpy as np
 
-    Rows of another length have cosine 0 and no distance.  Twelve decimals make
-    equal vectors tie whatever their place in the batch.
-    """
+    norms = np.linalg.norm(block, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        values = np.where((norms > 0) & np.isfinite(norms), block @ matrix.T / norms, 0.0)
+    return np.round(np.clip(np.nan_to_num(values), -1.0, 1.0), 12)
 
-    def rule(rows, fits, block, matrix):
-        import numpy as np
 
-        norms = np.linalg.norm(block, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            values = np.where(norms > 0, block @ matrix.T / norms, 0.0)
-        at = np.searchsorted(rows, fits)
-        cosines = np.zeros((len(rows), len(matrix)))
-        cosines[at] = np.round(np.clip(values, -1.0, 1.0), 12)
-        scores = [cosines.ravel()]
-        if distances:
-            apart = np.full((len(rows), len(matrix)), np.nan)
-            for q, vector in enumerate(matrix):
-                apart[at, q] = np.round(np.sqrt(((block - vector) ** 2).sum(axis=1)), 12)
-            scores.append(apart.ravel())
-        return np.repeat(rows, len(matrix)), np.tile(np.arange(len(matrix)), len(rows)), scores
+def _pair_rule(rows, fits, block, matrix):
+    """Cosine of every row and query of a field; rows of another length have 0."""
+    import numpy as np
 
-    return rule
+    cosines = np.zeros((len(rows), len(matrix)))
+    cosines[np.searchsorted(rows, fits)] = _cosines(block, matrix)
+    return np.repeat(rows, len(matrix)), np.tile(np.arange(len(matrix)), len(rows)), [cosines.ravel()]
+
+
+def _near(block, matrix, k):
+    """Pairs that can be among the ``k`` nearest of a query, and their exact distances."""
+    import numpy as np
+
+    squares = (block * block).sum(axis=1)[:, None] + (matrix * matrix).sum(axis=1)[None, :]
+    rough = squares - 2 * (block @ matrix.T)
+    cut = np.full(len(matrix), np.inf)
+    if len(block) > k:
+        cut = np.partition(rough, k - 1, axis=0)[k - 1] + 1e-6 * (1 + squares.max(axis=0))
+    # The product form only pre-selects; survivors get the exact distance.
+    at, queries = np.nonzero(rough <= cut[None, :])
+    return at, queries, np.round(np.sqrt(((block[at] - matrix[queries]) ** 2).sum(axis=1)), 12)
 
 
 def _nearest_rule(k):
@@ -221,68 +214,23 @@ def _nearest_rule(k):
 
         if not len(fits):
             return fits, fits, [np.zeros(0)]
-        squares = (block * block).sum(axis=1)[:, None] + (matrix * matrix).sum(axis=1)[None, :]
-        rough = squares - 2 * (block @ matrix.T)
-        cut = np.full(len(matrix), np.inf)
-        if len(fits) > k:
-            cut = np.partition(rough, k - 1, axis=0)[k - 1] + 1e-6 * (1 + squares.max(axis=0))
-        # The product form only pre-selects; survivors get the exact distance.
-        at, queries = np.nonzero(rough <= cut[None, :])
-        exact = np.sqrt(((block[at] - matrix[queries]) ** 2).sum(axis=1))
-        return fits[at], queries, [np.round(exact, 12)]
+        at, queries, exact = _near(block, matrix, k)
+        return fits[at], queries, [exact]
 
     return rule
 
 
-def _salted_join(corpus: DataFrame, query: DataFrame) -> DataFrame:
-    """Equal-field pairs for a query set too large to send to the tasks.
-
-    There are few field names, so the corpus is spread over ``SALTS`` slices of
-    each field, and every query row meets every slice once.
-    """
-    slices = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    copies = query.withColumnRenamed("embedding", "query_embedding").withColumn("salt", F.explode(slices))
-    return corpus.withColumn("salt", F.pmod(F.xxhash64("company_id"), F.lit(SALTS))).join(
-        copies, ["field_name", "salt"]
-    )
-
-
-def _with_other_fields(queries: QuerySet) -> DataFrame:
-    """Query rows completed to all listed fields and ``*``, vectors null where absent."""
-    wanted = F.explode(F.array(*[F.lit(f) for f in [*queries.listed, OTHER]]))
-    grid = queries.rows.select("query_id").distinct().withColumn("field_name", wanted)
-    return grid.join(queries.rows, ["query_id", "field_name"], "left")
-
-
-def field_similarities(vectors: DataFrame, queries: QuerySet, all_companies: bool = False) -> DataFrame:
-    """``(query_id, company_id, field_name, similarity)`` for every shared field.
-
-    With ``all_companies`` a company that shares no field with a query still
-    appears, with null similarities.
-    """
+def field_similarities(vectors: DataFrame, queries: QuerySet) -> DataFrame:
+    """``(query_id, company_id, field_name, similarity)`` for every shared field."""
     corpus = vectors.select("company_id", "field_name", "embedding")
-    if queries.matrices is None:
-        query = queries.rows
-        if all_companies:
-            query = _with_other_fields(queries)
-            listed = F.col("field_name").isin(queries.listed)
-            corpus = corpus.withColumn("field_name", F.when(listed, F.col("field_name")).otherwise(F.lit(OTHER)))
-        score = F.when(
-            F.col("query_embedding").isNotNull(),
-            F.round(V.cosine(F.col("embedding"), F.col("query_embedding")), 12),
+
+    def over(block: Block) -> DataFrame:
+        return corpus.filter(F.col("field_name").isin(sorted(block.matrices))).mapInArrow(
+            _batch_kernel(block.matrices, _pair_rule, ["similarity"]),
+            "query_id string, company_id string, field_name string, similarity double",
         )
-        return _salted_join(corpus, query).select("query_id", "company_id", "field_name", score.alias("similarity"))
-    everyone = queries.ids if all_companies else None
-    compared = F.col("field_name").isin(sorted(queries.matrices))
-    if all_companies:
-        # Fields that no query has only tell that the company exists.
-        corpus = corpus.withColumn("embedding", F.when(compared, F.col("embedding")))
-    else:
-        corpus = corpus.filter(compared)
-    return corpus.mapInArrow(
-        _batch_kernel(queries.matrices, _pair_rule(False), ["similarity"], everyone),
-        "query_id string, company_id string, field_name string, similarity double",
-    )
+
+    return queries.scan(over)
 
 
 def nearest_per_field(
@@ -295,31 +243,225 @@ def nearest_per_field(
     could not be among the ``k`` nearest of the whole corpus.
     """
     corpus = vectors.select("company_id", "field_name", "embedding")
-    if queries.matrices is None:
-        distance = F.round(V.l2_distance(F.col("embedding"), F.col("query_embedding")), 12)
-        near = _salted_join(corpus, queries.rows).select(
-            "query_id", "company_id", "field_name", distance.alias("distance")
-        )
-        near = near.filter(F.col("distance").isNotNull())
-    else:
-        corpus = corpus.filter(F.col("field_name").isin(sorted(queries.matrices)))
-        near = corpus.mapInArrow(
-            _batch_kernel(queries.matrices, _nearest_rule(k), ["distance"]),
+
+    def over(block: Block) -> DataFrame:
+        near = corpus.filter(F.col("field_name").isin(sorted(block.matrices))).mapInArrow(
+            _batch_kernel(block.matrices, _nearest_rule(k), ["distance"]),
             "query_id string, company_id string, field_name string, distance double",
         )
-    return rank_by_distance(near, k, min_similarity)
+        return rank_by_distance(near, k, min_similarity)
 
+    return queries.scan(over)
 
-def field_scores(vectors: DataFrame, queries: QuerySet) -> DataFrame:
-    """Similarity and distance of every shared field, in one scan of the vectors.
 
-    Needs a query set that is small enough for matrices.
+def profiles(vectors: DataFrame) -> DataFrame:
+    """``(company_id, fields)``: all fields of a company in one row; profiles are given back as they are.
+
+    Of several vectors of a field the last one counts (by ``seq``, if there is one).
+    Search repeatedly on a stored table of these.
     """
-    corpus = vectors.select("company_id", "field_name", "embedding")
-    return corpus.filter(F.col("field_name").isin(sorted(queries.matrices))).mapInArrow(
-        _batch_kernel(queries.matrices, _pair_rule(True), ["similarity", "distance"]),
-        "query_id string, company_id string, field_name string, similarity double, distance double",
-    )
+    if "fields" in vectors.columns:
+        return vectors
+    seq = F.col("seq") if "seq" in vectors.columns else F.lit(0).alias("seq")
+    rows = F.sort_array(F.collect_list(F.struct("field_name", seq, "embedding")))
+    grouped = usable_vectors(vectors).groupBy("company_id").agg(rows.alias("fields"))
+    return grouped.withColumn("fields", F.transform("fields", lambda r: F.struct(r["field_name"], r["embedding"])))
+
+
+class _Scorer:
+    """Scores slices of profiles with the queries of a block."""
+
+    def __init__(self, block: Block, weights: Mapping[str, float]):
+        import numpy as np
+
+        self.ids = block.ids
+        place = {q: i for i, q in enumerate(block.ids)}
+        self.weights = {f: w for f, w in weights.items() if w}
+        self.groups = {
+            f: [(np.array([place[q] for q in ids]), matrix) for ids, matrix in block.matrices.get(f, [])] for f in self.weights
+        }
+        self.has = {f: {int(q) for places, _ in groups for q in places} for f, groups in self.groups.items()}
+
+    def row(self, similarities, i: int, q: int) -> list:
+        """Similarities by field of a company and a query, null for fields that the query lacks."""
+        return [float(v[i, q]) if q in self.has[f] else None for f, v in similarities.items()]
+
+    def slices(self, batch, cells=None):
+        """Companies of a batch, their similarities and totals, and their vectors by field and query group."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        names_of = batch.column("company_id")
+        lists = batch.column("fields")
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        entries = lists.flatten()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        names = pc.struct_field(entries, "field_name").to_numpy(zero_copy_only=False)
+        arrays = pc.struct_field(entries, "embedding")
+        lengths = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = arrays.flatten().to_numpy(zero_copy_only=False)
+        starts = np.cumsum(lengths) - lengths
+        usable = lengths.copy()
+        if not np.isfinite(flat).all():
+            usable[np.repeat(np.arange(len(lengths)), lengths)[~np.isfinite(flat)]] = -1
+        step = max(1, (cells or CELLS) // max(1, len(self.ids) * len(self.weights)))
+        for first in range(0, len(sizes), step):
+            count = min(step, len(sizes) - first)
+            here = np.flatnonzero((owner >= first) & (owner < first + count))
+            total = np.zeros((count, len(self.ids)))
+            similarities, blocks = {}, []
+            for f, weight in self.weights.items():
+                own = here[names[here] == f]
+                # The last of several vectors of a field counts.
+                own = own[np.append(owner[own][1:] != owner[own][:-1], True)] if len(own) else own
+                values = np.zeros((count, len(self.ids)))
+                for queries, matrix in self.groups[f]:
+                    fits = own[usable[own] == matrix.shape[1]]
+                    if not len(fits):
+                        continue
+                    vectors = flat[starts[fits][:, None] + np.arange(matrix.shape[1])[None, :]].astype(np.float64)
+                    values[np.ix_(owner[fits] - first, queries)] = _cosines(vectors, matrix)
+                    blocks.append((f, owner[fits] - first, queries, vectors, matrix))
+                similarities[f] = values
+                total = total + values * weight
+            yield names_of.slice(first, count).to_pylist(), similarities, total, blocks
+
+
+_SCORED = "query_id string, company_id string, total_score double, similarities array<double>"
+
+
+def _scored(pairs, scorer, extra=None):
+    """An Arrow batch of ``(query place, company, total, similarities, ...)``."""
+    import pyarrow as pa
+
+    columns = list(zip(*pairs))
+    arrays = [
+        pa.array([scorer.ids[q] for q in columns[0]], pa.string()),
+        pa.array(columns[1], pa.string()),
+        pa.array(columns[2], pa.float64()),
+        pa.array(columns[3], pa.list_(pa.float64())),
+    ]
+    names = ["query_id", "company_id", "total_score", "similarities"]
+    if extra is not None:
+        arrays.append(pa.array(columns[4], extra))
+        names.append("near")
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def every_score(corpus: DataFrame, queries: QuerySet) -> DataFrame:
+    """Total and similarities of every company for every query: the result itself is all pairs."""
+
+    weights = queries.weights
+
+    def over(block: Block) -> DataFrame:
+        def run(batches):
+            scorer = _Scorer(block, weights)
+            for batch in batches:
+                for companies, similarities, total, _ in scorer.slices(batch):
+                    pairs = [
+                        (q, c, float(total[i, q]), scorer.row(similarities, i, q))
+                        for i, c in enumerate(companies)
+                        for q in range(len(scorer.ids))
+                    ]
+                    if pairs:
+                        yield _scored(pairs, scorer)
+
+        return profiles(corpus).mapInArrow(run, _SCORED)
+
+    return _shown(queries.scan(over), queries)
+
+
+def best_scores(corpus: DataFrame, queries: QuerySet, n: int, exclude_self: bool) -> DataFrame:
+    """Each task's ``n`` best companies of every query: all that can be among the ``n`` best of the corpus."""
+
+    weights = queries.weights
+
+    def over(block: Block) -> DataFrame:
+        def run(batches):
+            import numpy as np
+
+            scorer = _Scorer(block, weights)
+            kept: list[list] = [[] for _ in scorer.ids]
+            least = np.full(len(scorer.ids), -np.inf)
+            for batch in batches:
+                for companies, similarities, total, _ in scorer.slices(batch):
+                    if exclude_self:
+                        place = {q: i for i, q in enumerate(scorer.ids)}
+                        for i, c in enumerate(companies):
+                            if c in place:
+                                total[i, place[c]] = -np.inf
+                    cut = np.partition(total, -n, axis=0)[-n] if len(total) > n else np.full(len(least), -np.inf)
+                    rows, cols = np.nonzero((total >= np.maximum(cut, least)[None, :]) & (total > -np.inf))
+                    for q in np.unique(cols).tolist():
+                        new = [(-float(total[i, q]), companies[i], scorer.row(similarities, i, q)) for i in rows[cols == q]]
+                        kept[q] = sorted(kept[q] + new, key=lambda r: r[:2])[:n]
+                        if len(kept[q]) == n:
+                            least[q] = -kept[q][-1][0]
+            for q, found in enumerate(kept):
+                if found:
+                    yield _scored([(q, c, -t, s) for t, c, s in found], scorer)
+
+        return profiles(corpus).mapInArrow(run, _SCORED)
+
+    return _shown(queries.scan(over), queries)
+
+
+def near_scores(corpus: DataFrame, queries: QuerySet, k: int, min_similarity: float | None) -> DataFrame:
+    """Scores of the companies that are among the ``k`` nearest of a query by one of its fields.
+
+    Each task gives its own ``k`` nearest per query and field, which have all their
+    similarities with them, so one scan does both stages.
+    """
+
+    weights = queries.weights
+
+    def over(block: Block) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
+
+            scorer = _Scorer(block, weights)
+            kept: dict = {}
+            for batch in batches:
+                for companies, similarities, total, blocks in scorer.slices(batch):
+                    new: dict = {}
+                    for f, rows, places, vectors, matrix in blocks:
+                        at, cols, distances = _near(vectors, matrix, k)
+                        for i, q, d in zip(rows[at].tolist(), places[cols].tolist(), distances.tolist()):
+                            new.setdefault((f, q), []).append((d, companies[i], i))
+                    for key, found in new.items():
+                        q = key[1]
+                        have = kept.get(key, [])
+                        last = have[-1][:2] if len(have) == k else None
+                        rows = [
+                            (d, c, float(total[i, q]), scorer.row(similarities, i, q))
+                            for d, c, i in found
+                            if last is None or (d, c) <= last
+                        ]
+                        kept[key] = sorted(have + rows, key=lambda r: r[:2])[:k]
+            merged: dict = {}
+            for (f, q), found in kept.items():
+                for d, c, t, s in found:
+                    merged.setdefault((q, c), (q, c, t, s, []))[4].append({"field_name": f, "distance": d})
+            rows = list(merged.values())
+            near = pa.list_(pa.struct([("field_name", pa.string()), ("distance", pa.float64())]))
+            for i in range(0, len(rows), 10_000):
+                yield _scored(rows[i : i + 10_000], scorer, near)
+
+        found = profiles(corpus).mapInArrow(run, _SCORED + ", near array<struct<field_name:string,distance:double>>")
+        each = found.select("query_id", "company_id", "total_score", "similarities", F.inline("near"))
+        ranked = top_k_per_group(each, ["query_id", "field_name"], [F.col("distance"), F.col("company_id")], k)
+        if min_similarity is not None:
+            ranked = ranked.filter(V.distance_to_similarity(F.col("distance")) >= min_similarity)
+        return ranked.select("query_id", "company_id", "total_score", "similarities").distinct()
+
+    return _shown(queries.scan(over), queries)
+
+
+def _shown(scores: DataFrame, queries: QuerySet) -> DataFrame:
+    """Similarities as a map of the fields that the query has."""
+    entries = F.array(*[F.struct(F.lit(f).alias("k"), F.get("similarities", i).alias("v")) for i, f in enumerate(queries.listed)])
+    shown = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
+    return scores.select("query_id", "company_id", "total_score", shown.alias("field_scores"))
 
 
 def rank_by_distance(near: DataFrame, k: int, min_similarity: float | None = None) -> DataFrame:
@@ -336,29 +478,6 @@ def candidate_companies(nearest: DataFrame) -> DataFrame:
     return nearest.select("query_id", "company_id").distinct()
 
 
-def weighted_scores(similarities: DataFrame, queries: QuerySet) -> DataFrame:
-    """Total score and per-field similarities of each (query, company).
-
-    A field the query has and the company lacks counts 0.0, and nothing is
-    renormalised.  One conditional maximum per weighted field keeps the
-    aggregation in fixed-width buffers, and the terms are added in a fixed order.
-    """
-    name, similarity = F.col("field_name"), F.col("similarity")
-    wide = similarities.groupBy("query_id", "company_id").agg(
-        *[F.max(F.when(name == f, similarity)).alias(f"_{f}") for f in queries.listed]
-    )
-    total = F.lit(0.0)
-    for f in queries.listed:
-        total = total + F.coalesce(F.col(f"_{f}"), F.lit(0.0)) * float(queries.weights[f])
-    entries = F.array(
-        *[F.struct(F.lit(f).alias("k"), F.coalesce(F.col(f"_{f}"), F.lit(0.0)).alias("v")) for f in queries.listed]
-    )
-    shown = F.map_from_entries(F.filter(entries, lambda e: F.array_contains("fields", e["k"])))
-    return wide.join(queries.field_sets(), "query_id").select(
-        "query_id", "company_id", total.alias("total_score"), shown.alias("field_scores")
-    )
-
-
 def contributions(scores: DataFrame, weights: Mapping[str, float] = FIELD_WEIGHTS) -> DataFrame:
     """One row per (query, company, field): similarity, weight and their product."""
     rows = scores.select("*", F.explode("field_scores").alias("field_name", "similarity")).drop("field_scores")

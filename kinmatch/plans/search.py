@@ -10,38 +10,17 @@ from pyspark.sql import functions as F
 from kinmatch.operators import similarity as S
 from kinmatch.operators.ranking import top_k_per_group
 from kinmatch.schemas import FIELD_WEIGHTS, SWEEP_SIZES, TOP_K_PER_FIELD, TOP_N
-from kinmatch.session import durable
-
-# At most about 10 MB of ids.
-MAX_BROADCAST_CANDIDATES = 100_000
-# Up to this many queries, the scores of a whole corpus are far smaller than its vectors.
-MAX_STORED_QUERIES = 16
 
 
 def _best(scores: DataFrame, n: int) -> DataFrame:
     return top_k_per_group(scores, ["query_id"], [F.desc("total_score"), F.asc("company_id")], n)
 
 
-def _known_size(candidates: DataFrame, queries: S.QuerySet, k: int):
-    """Projections of the candidate list whose size the planner can rely on.
-
-    There are at most ``k`` candidates per query vector.  Below the limit they are
-    sent to every task; above it they become a table with real statistics, and
-    the planner decides.
-    """
-    if queries.matrices is not None and queries.vector_count * k <= MAX_BROADCAST_CANDIDATES:
-        return lambda *columns: F.broadcast(candidates.select(*columns).distinct())
-    stored = durable(candidates)
-    return lambda *columns: stored.select(*columns).distinct()
-
-
 def score_all(
     vectors: DataFrame, query: DataFrame, weights: Mapping[str, float] = FIELD_WEIGHTS, exclude_self: bool = True
 ) -> DataFrame:
     """Weighted score of every company for every query."""
-    queries = S.query_set(query, weights)
-    rows = S.usable_vectors(vectors)
-    scores = S.weighted_scores(S.field_similarities(rows, queries, all_companies=True), queries)
+    scores = S.every_score(vectors, S.query_set(query, weights))
     return scores.filter(F.col("company_id") != F.col("query_id")) if exclude_self else scores
 
 
@@ -52,8 +31,11 @@ def search_exact(
     weights: Mapping[str, float] = FIELD_WEIGHTS,
     exclude_self: bool = True,
 ) -> DataFrame:
-    """The ``n`` best companies per query, by a scan of the whole corpus."""
-    return _best(score_all(vectors, query, weights, exclude_self), n)
+    """The ``n`` best companies per query, by a scan of the whole corpus.
+
+    ``vectors`` are field vectors or, for repeated searches, stored profiles.
+    """
+    return _best(S.best_scores(vectors, S.query_set(query, weights), n, exclude_self), n)
 
 
 def search_two_stage(
@@ -69,22 +51,7 @@ def search_two_stage(
 
     A company found through one field is scored on all fields of the query.
     """
-    queries = S.query_set(query, weights)
-    rows = S.usable_vectors(vectors)
-    if queries.matrices is not None and len(queries.ids) <= MAX_STORED_QUERIES:
-        # One scan: what is kept of a vector is two numbers per query.
-        scored = durable(S.field_scores(rows, queries))
-        near = S.rank_by_distance(scored.filter(F.col("distance").isNotNull()), k, min_similarity)
-        pairs = _known_size(S.candidate_companies(near), queries, k)("query_id", "company_id")
-        similarities = scored.join(pairs, ["query_id", "company_id"], "left_semi")
-    else:
-        near = S.nearest_per_field(rows, queries, k, min_similarity)
-        candidates = _known_size(S.candidate_companies(near), queries, k)
-        # Only candidate vectors reach the scoring step, and they get there unshuffled.
-        wanted = rows.join(candidates("company_id"), "company_id", "left_semi")
-        pairs = candidates("query_id", "company_id")
-        similarities = S.field_similarities(wanted, queries).join(pairs, ["query_id", "company_id"], "left_semi")
-    scores = S.weighted_scores(similarities, queries)
+    scores = S.near_scores(vectors, S.query_set(query, weights), k, min_similarity)
     if exclude_self:
         scores = scores.filter(F.col("company_id") != F.col("query_id"))
     return _best(scores, n)

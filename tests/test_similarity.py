@@ -101,32 +101,46 @@ def test_two_stage_with_all_candidates_is_exact(data):
     assert set(exact) - set(found) <= {c for c, s in exact.items() if s == 0.0}
 
 
-def test_large_query_sets_take_the_join(data):
-    rows, vectors, query, wanted = data
+@pytest.mark.parametrize("limits", [{"block_rows": 4}, {"block_elements": 40}])
+def test_blocks_of_queries_give_the_same(data, limits):
+    _, vectors, _, _ = data
     usable = S.usable_vectors(vectors)
-    small, large = S.query_set(query), S.query_set(query, max_rows=1)
-    assert small.matrices and large.matrices is None and S.query_set(query, max_elements=9).matrices is None
-
-    def scores(queries):
-        similarities = S.field_similarities(usable, queries, all_companies=True)
-        return {r.company_id: r.total_score for r in S.weighted_scores(similarities, queries).collect()}
+    query = vectors.filter("company_id < 'c002'").withColumnRenamed("company_id", "query_id")
+    whole, cut = S.query_set(query), S.query_set(query, **limits)
+    assert whole.size == 1 and cut.size > 1
+
+    def found(queries):
+        return [
+            sorted(map(repr, df.collect()))
+            for df in (
+                S.field_similarities(usable, queries),
+                S.nearest_per_field(usable, queries, 3),
+                S.every_score(vectors, queries),
+                P._best(S.best_scores(vectors, queries, 4, True), 4),
+                P._best(S.near_scores(vectors, queries, 3, None), 4),
+            )
+        ]
 
-    a, b = scores(small), scores(large)
-    assert a.keys() == b.keys() and all(abs(a[c] - b[c]) < 1e-9 for c in a)
-    near = [
-        {(r.field_name, r.company_id, r["rank"]) for r in S.nearest_per_field(usable, q, 3).collect()}
-        for q in (small, large)
-    ]
-    assert near[0] == near[1]
+    assert found(whole) == found(cut)
 
 
-@pytest.mark.parametrize("candidates, queries", [(0, 16), (0, 0), (100_000, 0)])
-def test_every_way_through_the_two_stages(data, monkeypatch, candidates, queries):
+def test_stored_profiles_give_the_same(spark, data, tmp_path):
     _, vectors, query, _ = data
-    wanted = result(P.search_two_stage(vectors, query, 10, 4))
-    monkeypatch.setattr(P, "MAX_BROADCAST_CANDIDATES", candidates)
-    monkeypatch.setattr(P, "MAX_STORED_QUERIES", queries)
-    assert result(P.search_two_stage(vectors, query, 10, 4)) == wanted
+    S.profiles(vectors).write.parquet(str(tmp_path / "profiles"))
+    stored = spark.read.parquet(str(tmp_path / "profiles"))
+    assert result(P.search_exact(stored, query, 9)) == result(P.search_exact(vectors, query, 9))
+    assert result(P.search_two_stage(stored, query, 9, 3)) == result(P.search_two_stage(vectors, query, 9, 3))
+    for plan in (P.search_exact(stored, query, 9), P.search_two_stage(stored, query, 9, 3)):
+        below_scan = plan._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[-1]
+        assert "Exchange" not in below_scan
+
+
+def test_the_last_of_several_vectors_counts(spark):
+    rows = [("a", "icp", [1.0, 0.0], 1), ("a", "icp", [0.0, 1.0], 2), ("b", "icp", [1.0, 1.0], 1)]
+    vectors = spark.createDataFrame(rows, SCHEMA + ", seq int")
+    query = spark.createDataFrame([("q", "icp", [1.0, 0.0])], "query_id string, field_name string, embedding array<float>")
+    got = {r.company_id: r.field_scores["icp"] for r in P.score_all(vectors, query).collect()}
+    assert got["a"] == 0.0 and abs(got["b"] - 0.5**0.5) < 1e-9
 
 
 def test_small_slices_give_the_same(data, monkeypatch):
@@ -134,30 +148,34 @@ def test_small_slices_give_the_same(data, monkeypatch):
     rows, queries = S.usable_vectors(vectors), S.query_set(query)
 
     def scores():
-        found = S.field_similarities(rows, queries, all_companies=True).collect()
-        near = S.nearest_per_field(rows, queries, 3).collect()
-        return sorted(map(repr, found)), sorted(map(repr, near))
+        found = [S.field_similarities(rows, queries), S.nearest_per_field(rows, queries, 3), S.every_score(vectors, queries)]
+        best = [P.search_exact(vectors, query, 5), P.search_two_stage(vectors, query, 5, 2)]
+        return [sorted(map(repr, df.collect())) for df in found + best]
 
     wanted = scores()
-    monkeypatch.setattr(S._batch_kernel, "__defaults__", (None, 3))
+    monkeypatch.setattr(S._batch_kernel, "__defaults__", (3,))
+    monkeypatch.setattr(S, "CELLS", 20)
     assert scores() == wanted
 
 
 def test_one_bad_vector_costs_only_itself(spark, data):
-    """NaN, infinite, null and empty vectors score zero and are nobody's neighbour, in the kernel and in the join."""
+    """NaN, infinite, null and empty vectors score zero and are nobody's neighbour, in blocks of any size."""
     rows, vectors, query, _ = data
     bad = [[float("nan")] * 8, [1.0] * 7 + [float("inf")], [1.0] * 7 + [None], []]
     odd = spark.createDataFrame([(f"bad{i}", "icp", v) for i, v in enumerate(bad)], SCHEMA)
     mixed = S.usable_vectors(vectors.unionByName(odd)).coalesce(1)
     asked = query.unionByName(odd.withColumnRenamed("company_id", "query_id"))
     for limit in (5000, 1):
-        queries = S.query_set(asked, max_rows=limit)
+        queries = S.query_set(asked, block_rows=limit)
         near = S.nearest_per_field(mixed, queries, 3).collect()
         clean = S.nearest_per_field(S.usable_vectors(vectors), S.query_set(query), 3).collect()
         assert sorted(map(repr, near)) == sorted(map(repr, clean))
         scores = {(r.query_id, r.company_id): r.similarity for r in S.field_similarities(mixed, queries).collect()}
         assert {q for q, _ in scores} == {"c005"}
         assert all(scores["c005", f"bad{i}"] == 0.0 for i in range(4))
+        clean = vectors.filter("company_id NOT LIKE 'bad%'")
+        for search in (lambda v: P.search_exact(v, asked, 5), lambda v: P.search_two_stage(v, asked, 5, 3)):
+            assert result(search(mixed)) == result(search(clean))
 
 
 def test_missing_fields_show_as_zero(data):
