@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinmatch.catalog import fixtures as X
-from kinmatch.catalog.views import with_views
+from kinmatch.catalog.views import VIEWS, site_queries, with_views
 from kinmatch.operators import details as D
 from kinmatch.plans import lookalikes as L
 from kinmatch.session import shared_folder
@@ -94,18 +94,29 @@ def entity_by_domain(spark, sf_dir):
     return found.select("c_custkey", "domain", "entity_id")
 
 
+def _lookalikes(spark, sf_dir):
+    records = X.detail_json(spark, sf_dir)
+    details = records.select(F.col("rec_no").alias("id"), X.company_url(F.col("rec_no")).alias("urn"), "json")
+    return L.lookalikes_by_domain(_sites(spark, sf_dir), _directory(spark, sf_dir), X.company_vec(spark, sf_dir), details)
+
+
 def lookalikes_by_domain(spark, sf_dir):
-    sites = spark.createDataFrame([(s,) for s in SITES], "url string")
-    details = X.detail_json(spark, sf_dir).select(X.company_url(F.col("rec_no")).alias("company_id"), "json")
-    found = L.lookalikes_by_domain(sites, _directory(spark, sf_dir), X.company_vec(spark, sf_dir), details)
-    return found.select("query_id", "rank", "company_id", "name", "website")
+    """The companies most like those of all sites, with their details."""
+    return _lookalikes(spark, sf_dir).select("query_id", "rank", "company_id", "kind", "name", "website")
+
+
+def lookalikes_flat(spark, sf_dir):
+    """The same as one flat table, by way of a CSV file."""
+    path = f"{shared_folder(spark)}/lookalikes"
+    D.write_flat_table(_lookalikes(spark, sf_dir), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path).fillna("")
 
 
 QUERIES = {
     f.__name__: f
     for f in [
         website_polymorphic, detail_key_union, detail_flat_table, union_by_name, id_batches, id_batch_kind,
-        detail_lookup, envelope_union, entity_by_domain, lookalikes_by_domain,
+        detail_lookup, envelope_union, entity_by_domain, lookalikes_by_domain, lookalikes_flat,
     ]
 }
 
@@ -114,6 +125,12 @@ _UNION = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regi
           "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]}
 _COLUMNS = sorted(c for cols in _UNION.values() for c in cols)
 
+
+
+def _by_site(body: str) -> str:
+    return with_views("ranked shown_detail detail", body).replace(VIEWS["query_profile"][1], site_queries())
+
+
 ORACLES = {
     "website_polymorphic": with_views("shown_detail", "SELECT rec_no, name, website FROM shown_detail"),
     # A null website is still a key; the merge that builds the SQL record drops it.
@@ -145,9 +162,13 @@ ORACLES = {
              ON company_id = 'https://company' || printf('%05d', c_custkey) || '.com'
            WHERE c_custkey % 4 <> 3""",
     ),
-    "lookalikes_by_domain": with_views(
-        "ranked shown_detail",
-        """SELECT query_id, rank, company_id, name, website FROM ranked
-           JOIN shown_detail ON company_id = 'https://company' || printf('%05d', rec_no) || '.com' WHERE rank <= 25""",
+    "lookalikes_by_domain": _by_site(
+        """SELECT query_id, rank, company_id, 'urns' AS kind, name, website FROM ranked
+           JOIN shown_detail ON company_id = 'https://company' || printf('%05d', rec_no) || '.com' WHERE rank <= 25"""
+    ),
+    "lookalikes_flat": _by_site(
+        "SELECT "
+        + ", ".join(f"coalesce(json_extract_string(json, '$.{k}'), '') AS {k}" for k in _KEYS)
+        + """ FROM ranked JOIN detail ON company_id = 'https://company' || printf('%05d', rec_no) || '.com' WHERE rank <= 25"""
     ),
 }

@@ -80,6 +80,13 @@ def query_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("company_id").alias("query_id"), "field_name", "embedding")
 
 
+def labelled_profiles(spark: SparkSession, sf_dir: str, label: int = 1) -> DataFrame:
+    """The vectors of all companies that have a vector with this label."""
+    rows = company_vec(spark, sf_dir)
+    wanted = rows.filter(F.col("label") == label).select("company_id").distinct()
+    return rows.join(wanted, "company_id", "left_semi").select(F.col("company_id").alias("query_id"), "field_name", "embedding")
+
+
 def crm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRM export rows: orders with their customer and a captured page's address."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")

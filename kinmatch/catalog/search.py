@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinmatch.catalog import fixtures as X
-from kinmatch.catalog.views import cosine, with_views
+from kinmatch.catalog.views import LABELLED_PROFILES, VIEWS, cosine, with_views
 from kinmatch.functions import vectors as V
 from kinmatch.operators import similarity as S
 from kinmatch.plans import search as P
 from kinmatch.sources.vectors import scan_companies
 
 CUT = 5
+SWEEP_CUT = 12
 
 
 def _r(name: str, digits: int = 4):
@@ -164,7 +165,7 @@ def topn_two_stage_default(spark, sf_dir):
 
 
 def topn_size_sweep(spark, sf_dir):
-    swept = P.size_sweep(X.company_vec(spark, sf_dir), X.query_profile(spark, sf_dir))
+    swept = P.size_sweep(X.company_vec(spark, sf_dir), X.query_profile(spark, sf_dir), k=SWEEP_CUT)
     return swept.select("query_id", "top_n", "results", _r("best_score"), _r("last_score"))
 
 
@@ -174,13 +175,24 @@ def two_stage_recall(spark, sf_dir):
     )
 
 
+def topn_exact_many(spark, sf_dir):
+    """A search for every company that has a vector with a given label."""
+    best = P.search_exact(X.company_vec(spark, sf_dir), X.labelled_profiles(spark, sf_dir))
+    return best.select("query_id", "company_id", _r("total_score"), "rank")
+
+
+def topn_two_stage_many(spark, sf_dir):
+    best = P.search_two_stage(X.company_vec(spark, sf_dir), X.labelled_profiles(spark, sf_dir), k=CUT)
+    return best.select("query_id", "company_id", _r("total_score"), "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in [
         vec_cosine, vec_l2, vec_normalise, vec_blend, vec_cosine_batch, distance_to_similarity, weight_filter,
         join_query_fields, join_missing_as_zero, weighted_score, exclude_self, score_exact, field_score_map,
         score_contributions, topn_exact, rank_results, topk_per_field, candidate_union, semi_candidates,
-        topn_two_stage, topn_two_stage_default, topn_size_sweep, two_stage_recall,
+        topn_two_stage, topn_two_stage_default, topn_size_sweep, two_stage_recall, topn_exact_many, topn_two_stage_many,
     ]
 }
 
@@ -274,7 +286,7 @@ ORACLES = {
     "topn_two_stage": _near(CUT, _TOP.format("two_stage")),
     "topn_two_stage_default": _near(500, _TOP.format("two_stage")),
     "topn_size_sweep": _near(
-        500,
+        SWEEP_CUT,
         """SELECT query_id, top_n, count(*) AS results, round(max(total), 4) AS best_score,
              round(min(total), 4) AS last_score
            FROM two_stage JOIN (SELECT unnest([10, 25, 50, 100]) AS top_n) ON rank <= top_n GROUP BY 1, 2""",
@@ -288,3 +300,8 @@ ORACLES = {
            LEFT JOIN (SELECT * FROM two_stage WHERE rank <= 10) t USING (query_id, company_id) GROUP BY 1""",
     ),
 }
+
+# The same searches, for many companies.
+ORACLES |= {
+    f"{name}_many": ORACLES[name].replace(VIEWS["query_profile"][1], LABELLED_PROFILES) for name in ("topn_exact", "topn_two_stage")
+}

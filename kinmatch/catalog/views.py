@@ -283,6 +283,17 @@ VIEWS: dict[str, tuple[list[str], str]] = {
 }
 
 
+LABELLED_PROFILES = """SELECT company_id AS query_id, field_name, embedding FROM company_vec
+  WHERE len(embedding) > 0 AND company_id IN (SELECT company_id FROM company_vec WHERE label = 1)"""
+
+
+def site_queries() -> str:
+    """Vectors of the companies that a customer's address leads to."""
+    return """SELECT company_id AS query_id, field_name, embedding FROM company_vec
+      WHERE len(embedding) > 0 AND company_id IN (
+        SELECT 'https://company' || printf('%05d', c_custkey) || '.com' FROM customer WHERE c_custkey % 4 <> 3)"""
+
+
 def with_views(names: str, body: str, recursive: bool = False) -> str:
     """Prefix ``body`` with the named views and the views these need."""
     ordered: list[str] = []

@@ -16,18 +16,20 @@ from kinmatch.sources.vectors import scan_companies
 def lookalikes_by_domain(
     sites: DataFrame, directory: DataFrame, vectors: DataFrame, details: DataFrame, n: int = LOOKALIKES
 ) -> DataFrame:
-    """Name and website of the ``n`` companies most like each site's company.
+    """Details of the ``n`` companies most like each site's company: query, rank, batch, kind, name, website, json.
 
     ``directory`` is ``(domain, entity_id)`` with the entity id a company id of the
-    vector table; ``details`` is ``(company_id, json)``.  The short lists between
-    the steps are stored, so that their sizes are known where they meet the large
-    tables.
+    vector table; ``details`` has ``id`` and ``urn`` besides ``json``.  The ids found are
+    listed once each and looked up in batches.  The short lists between the steps are
+    stored, so that their sizes are known where they meet the large tables.
     """
     entities = D.entity_by_domain(sites, directory).select(F.col("entity_id").alias("company_id"))
     found = scan_companies(vectors, entities)
     query = durable(found.select(F.col("company_id").alias("query_id"), "field_name", "embedding"))
     best = durable(search_exact(vectors, query, n).select("query_id", "company_id", "rank"))
-    return D.names_and_sites(best.join(details, "company_id"))
+    batched = D.id_batches(best.select(F.col("company_id").alias("id")).distinct(), [F.asc("id")])
+    records = durable(D.names_and_sites(D.detail_lookup(batched, details)))
+    return best.join(records.withColumnRenamed("id", "company_id"), "company_id")
 
 
 def quality_report(
