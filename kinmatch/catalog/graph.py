@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kinmatch.catalog import fixtures as X
 from kinmatch.catalog.views import with_views
 from kinmatch.operators import graph as G
+from kinmatch.plans.research import landscape
 from kinmatch.session import durable
 
 START = "https://company00000.com"
@@ -43,8 +46,38 @@ def superset_ranked(spark, sf_dir):
     return G.ranked_superset(_walk(spark, sf_dir)[1]).select("rank", "link", "name", "overlap_score")
 
 
+def landscape_visited(spark, sf_dir):
+    """The walk that researches every round's companies; stand-in models read the rivals off the page."""
+    edges = X.edges(spark, sf_dir)
+    rival = F.to_json(F.struct("name", "description", "overlap_score", "link"), {"ignoreNullFields": "false"})
+    rivals = F.transform(F.sort_array(F.collect_list(F.struct("pos", rival.alias("r")))), lambda x: x["r"])
+    lists = edges.groupBy(F.col("src").alias("url")).agg(F.array_join(rivals, ",").alias("rivals"))
+    known = edges.select(F.explode(F.array("src", "link")).alias("url")).filter("url IS NOT NULL").distinct()
+    failed = X.failed_sources(spark, sf_dir).select(F.col("src").alias("url"))
+    content = F.concat(F.lit("["), F.coalesce("rivals", F.lit("")), F.lit("]")).alias("content")
+    pages = durable(known.join(failed, "url", "left_anti").join(lists, "url", "left").select("url", content))
+
+    def describe(rows):
+        texts = ["target_audience", "problem_solved", "solution_approach", "market_universe", "universe_boundaries"]
+        answer = F.struct(
+            F.col("content").alias("description_summary"),
+            F.lit(True).alias("uses_ai_automation"),
+            *[F.lit("x").alias(t) for t in texts],
+        )
+        return rows.withColumn("response", F.to_json(answer))
+
+    def compete(rows):
+        rest = "".join(f', "{t}": ""' for t in ("summary", "market_map", "features", "positioning_analysis"))
+        rest += "".join(f', "{t}": []' for t in ("segments", "differentiators", "matrix"))
+        first_line = F.substring_index("prompt", "\n", 1)
+        head = F.lit('{"search_query_used": "", "comprehensive_analysis": {"competitors": ')
+        return rows.withColumn("response", F.concat(head, first_line, F.lit(rest + "}}")))
+
+    return landscape(pages, describe, compete, START, DEPTH)[0].visited.select("url", "depth")
+
+
 QUERIES = {
-    f.__name__: f for f in [bfs_visited, bfs_visited_shallow, bfs_superset, bfs_summary, bfs_fanout, superset_ranked]
+    f.__name__: f for f in [bfs_visited, bfs_visited_shallow, bfs_superset, bfs_summary, bfs_fanout, superset_ranked, landscape_visited]
 }
 
 
@@ -86,3 +119,4 @@ ORACLES = {
            FROM superset"""
     ),
 }
+ORACLES["landscape_visited"] = ORACLES["bfs_visited"]

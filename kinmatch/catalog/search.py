@@ -37,15 +37,15 @@ def vec_l2(spark, sf_dir):
 
 
 def vec_normalise(spark, sf_dir):
-    """Norm before and after, and the first component after."""
+    """Norm before and after, and every component after."""
     rows = X.company_vec(spark, sf_dir).withColumn("doubled", F.transform("embedding", lambda x: x * 2))
     unit = rows.withColumn("unit", V.normalise(F.col("doubled")))
     return unit.select(
         "doc_id",
         F.round(V.l2_norm(F.col("doubled")), 4).alias("norm_before"),
         F.round(V.l2_norm(F.col("unit")), 4).alias("norm_after"),
-        F.round(F.get("unit", F.lit(0)), 4).alias("first_value"),
-    )
+        F.posexplode("unit").alias("place", "value"),
+    ).withColumn("value", F.round("value", 4))
 
 
 def vec_blend(spark, sf_dir):
@@ -56,8 +56,8 @@ def vec_blend(spark, sf_dir):
     return mixed.withColumn("mix", V.blend(F.col("embedding"), F.col("first"), 0.8)).select(
         "doc_id",
         F.round(V.l2_norm(F.col("mix")), 4).alias("norm"),
-        F.round(F.get("mix", F.lit(0)), 4).alias("first_value"),
-    )
+        F.posexplode("mix").alias("place", "value"),
+    ).withColumn("value", F.round("value", 4))
 
 
 def vec_cosine_batch(spark, sf_dir):
@@ -80,10 +80,10 @@ def weight_filter(spark, sf_dir):
 
 
 def join_query_fields(spark, sf_dir):
-    """Rows per query and field that a query field meets in the corpus."""
+    """The companies that each query field meets in the corpus."""
     queries = S.query_set(X.query_profile(spark, sf_dir))
     met = S.field_similarities(X.company_vec(spark, sf_dir), queries)
-    return met.groupBy("query_id", "field_name").agg(F.count(F.lit(1)).alias("companies"))
+    return met.select("query_id", "field_name", "company_id")
 
 
 def join_missing_as_zero(spark, sf_dir):
@@ -101,7 +101,7 @@ def weighted_score(spark, sf_dir):
 
 def exclude_self(spark, sf_dir):
     scores = P.score_all(X.company_vec(spark, sf_dir), X.query_profile(spark, sf_dir))
-    return scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("others"))
+    return scores.select("query_id", "company_id")
 
 
 def score_exact(spark, sf_dir):
@@ -111,10 +111,8 @@ def score_exact(spark, sf_dir):
 
 def field_score_map(spark, sf_dir):
     scores = P.score_all(X.company_vec(spark, sf_dir), X.query_profile(spark, sf_dir))
-    return scores.select(
-        "query_id", "company_id", F.explode("field_scores").alias("field_name", "similarity")
-    ).groupBy("query_id", "company_id").agg(
-        F.count(F.lit(1)).alias("fields"), F.round(F.max("similarity"), 4).alias("best_field")
+    return scores.select("query_id", "company_id", F.explode("field_scores").alias("field_name", "similarity")).select(
+        "query_id", "company_id", "field_name", _r("similarity")
     )
 
 
@@ -225,15 +223,16 @@ ORACLES = {
     "vec_normalise": with_views(
         "company_vec",
         """SELECT doc_id, round(2 * n, 4) AS norm_before, round(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 4)
-             AS norm_after, round(CASE WHEN n > 0 THEN embedding[1] / n ELSE embedding[1] END, 4) AS first_value
-           FROM (SELECT *, sqrt(coalesce(list_sum(list_transform(embedding, lambda x: x * x)), 0)) AS n
+             AS norm_after, place::INTEGER AS place,
+             round(CASE WHEN n > 0 THEN embedding[place + 1] / n ELSE embedding[place + 1] END, 4) AS value
+           FROM (SELECT *, unnest(range(len(embedding))) AS place, sqrt(coalesce(list_sum(list_transform(embedding, lambda x: x * x)), 0)) AS n
                  FROM company_vec)""",
     ),
     "vec_blend": with_views(
         "firsts",
         f"""SELECT doc_id, round(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 4) AS norm,
-             round(CASE WHEN n > 0 THEN mix[1] / n ELSE mix[1] END, 4) AS first_value
-           FROM (SELECT *, sqrt(coalesce(list_sum(list_transform(mix, lambda x: x * x)), 0)) AS n FROM (
+             place::INTEGER AS place, round(CASE WHEN n > 0 THEN mix[place + 1] / n ELSE mix[place + 1] END, 4) AS value
+           FROM (SELECT *, unnest(range(len(mix))) AS place, sqrt(coalesce(list_sum(list_transform(mix, lambda x: x * x)), 0)) AS n FROM (
              SELECT doc_id, list_transform(list_zip(embedding, first),
                       lambda z: 0.8::DOUBLE * z[1] + 0.2::DOUBLE * z[2]) AS mix
              {_PAIR} WHERE len(embedding) = len(first)))""",
@@ -250,20 +249,19 @@ ORACLES = {
     ),
     "weight_filter": with_views("weighted_query", "SELECT query_id, field_name, weight FROM weighted_query"),
     "join_query_fields": with_views(
-        "pairs", "SELECT query_id, field_name, count(*) AS companies FROM pairs WHERE present GROUP BY 1, 2"
+        "pairs", "SELECT query_id, field_name, company_id FROM pairs WHERE present"
     ),
     "join_missing_as_zero": with_views(
         "pairs", "SELECT query_id, company_id, field_name, round(sim, 4) AS similarity FROM pairs"
     ),
     "weighted_score": with_views("scores", "SELECT query_id, company_id, round(total, 4) AS total_score FROM scores"),
-    "exclude_self": with_views("scores", f"SELECT query_id, count(*) AS others FROM scores {_NOT_SELF} GROUP BY 1"),
+    "exclude_self": with_views("scores", f"SELECT query_id, company_id FROM scores {_NOT_SELF}"),
     "score_exact": with_views(
         "scores", f"SELECT query_id, company_id, round(total, 4) AS total_score FROM scores {_NOT_SELF}"
     ),
     "field_score_map": with_views(
         "pairs",
-        f"""SELECT query_id, company_id, count(*) AS fields, round(max(sim), 4) AS best_field
-           FROM pairs {_NOT_SELF} GROUP BY 1, 2""",
+        f"SELECT query_id, company_id, field_name, round(sim, 4) AS similarity FROM pairs {_NOT_SELF}",
     ),
     "score_contributions": with_views(
         "pairs ranked",

@@ -35,9 +35,16 @@ def top_k_per_group(
     return ranked.filter(F.col(rank) <= k)
 
 
-def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows overall: every task keeps its own ``n`` before they meet."""
-    return df.orderBy(*order).limit(n)
+def top_n(df: DataFrame, order: Sequence[Column], n: int, salts: int = SPREAD) -> DataFrame:
+    """The first ``n`` rows overall.
+
+    Every task keeps its own ``n``, groups of tasks then keep theirs, and at most
+    ``salts * n`` rows meet at the end, however many tasks there are.
+    """
+    grouped = df.withColumn("_salt", F.spark_partition_id() % salts)
+    part = Window.partitionBy("_salt").orderBy(*order)
+    kept = grouped.withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= n).drop("_salt", "_n")
+    return kept.orderBy(*order).limit(n)
 
 
 def first_write(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:

@@ -10,10 +10,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class _Unwatched(list):
+    """Folders outside of any ``stored_tables`` are not remembered."""
+
+    def append(self, folder: str) -> None:
+        pass
+
+
+_made: ContextVar[list] = ContextVar("made", default=_Unwatched())
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
@@ -42,7 +55,23 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         root = tempfile.mkdtemp(prefix="kinmatch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/kinmatch/{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/kinmatch/{uuid.uuid4().hex}"
+    _made.get().append(folder)
+    return folder
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, at its end, every folder that ``shared_folder`` gave out within."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, path: str | None = None) -> DataFrame:

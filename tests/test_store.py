@@ -12,7 +12,7 @@ from kinmatch.functions.embed import embed_text
 from kinmatch.operators.inference import infer
 from kinmatch.plans import enrich as E
 from kinmatch.plans.prune import recent_valid
-from kinmatch.session import durable
+from kinmatch.session import durable, shared_folder, stored_tables
 from kinmatch.sources import crm as C
 from kinmatch.sources import vectors as VS
 from kinmatch.streaming.ingest import ingest_pages
@@ -184,6 +184,17 @@ def test_ingest_does_not_depend_on_the_batch(spark, tmp_path, files):
     assert got == {("icp", "first"), ("product_form", "p"), ("industry_vertical", "i")}
 
 
+def test_stored_tables_are_deleted(spark):
+    import os
+
+    with stored_tables(spark):
+        path = f"{shared_folder(spark)}/t"
+        assert durable(spark.range(3), path).count() == 3 and os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path))
+    kept = f"{shared_folder(spark)}/t"
+    assert durable(spark.range(3), kept).count() == 3 and os.path.exists(kept)
+
+
 def test_durable_keeps_rows(spark):
     df = durable(spark.range(10).withColumn("v", F.array(F.lit(1))))
     assert df.count() == 10 and df.dtypes == [("id", "bigint"), ("v", "array<int>")]
