@@ -29,3 +29,13 @@ def test_entry(spark):
 
     rows = entry.entry(spark).collect()
     assert {r["rank"] for r in rows} == set(range(1, 11))
+
+
+def test_catalog_stands_alone(monkeypatch):
+    """Without the training-data subpackage its queries are left out, and nothing else."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert entry.queries().keys() == QUERIES.keys() and entry.oracle_sql().keys() == ORACLES.keys()
