@@ -13,7 +13,7 @@ SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 #: Characters of text that a Python worker turns into words at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ unchanged (pigeonhole), so plain substring search for the pieces finds every pla
 that can match, and the ``regex`` library's bounded-error matching verifies just those
 places and tells the edits.  Matches start and end at words and are reported as word spans.
 
-Every row is scanned alone inside Arrow batches, a slice of about two million
+Every row is scanned alone inside Arrow batches, a slice of about one million
 characters at a time: no shuffle, and memory follows the longest single text.
 
 Defined results: a null text is an empty one, with no words and null first and last
