@@ -8,6 +8,7 @@ from kinmatch.catalog import fixtures as X
 from kinmatch.catalog.views import with_views
 from kinmatch.functions import text as T
 from kinmatch.functions.documents import validate
+from kinmatch.functions.prompts import PARTS, prompt
 from kinmatch.operators import documents as N
 from kinmatch.schemas import (
     ANALYSIS_DEFAULTS,
@@ -125,12 +126,20 @@ def prompt_table(spark, sf_dir):
     return rows.select("page_id", T.labelled_lines(parts).alias("prompt"))
 
 
+def prompt_builders(spark, sf_dir):
+    """Every page under each of the prompts; a page without text has none."""
+    pages = X.page_capture(spark, sf_dir)
+    text = F.when(F.col("page_id") % 7 != 0, F.col("content")).otherwise(F.lit(" \t"))
+    made = F.array(*[F.struct(F.lit(p).alias("purpose"), prompt(p, text).alias("prompt")) for p in PARTS])
+    return pages.select("page_id", F.inline(made)).filter("prompt IS NOT NULL")
+
+
 QUERIES = {
     f.__name__: f
     for f in [
         validate_profile_json, validate_analysis_json, default_on_absent, validate_overlap_json, profile_unpivot,
         field_flatten, explode_competitors, explode_segments, matrix_table, explode_differentiators,
-        doc_quality_audit, placeholder_fill, bool_label, prompt_table,
+        doc_quality_audit, placeholder_fill, bool_label, prompt_table, prompt_builders,
     ]
 }
 
@@ -268,3 +277,11 @@ ORACLES = {
            FROM profile_doc""",
     ),
 }
+
+_FRAMES = ", ".join("('{}', '{}', '{}')".format(p, *[t.replace("'", "''") for t in parts]) for p, parts in PARTS.items())
+ORACLES["prompt_builders"] = with_views(
+    "page_capture",
+    f"""SELECT page_id, purpose, head || content || tail AS prompt
+        FROM page_capture, (VALUES {_FRAMES}) AS f(purpose, head, tail)
+        WHERE page_id % 7 <> 0 AND trim(content) <> ''""",
+)

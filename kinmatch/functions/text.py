@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,17 +114,22 @@ DESCRIPTION_TEMPLATES = [
 ]
 
 
-def fill_template(template: Column, slots: Mapping[str, Column]) -> Column:
-    """Replace each ``{slot}`` of a template by a column."""
-    for name, value in slots.items():
-        template = F.replace(template, F.lit("{" + name + "}"), value)
-    return template
+def fill_template(template: str, slots: Mapping[str, Column]) -> Column:
+    """A template with its ``{slot}`` parts replaced; what fills a slot is not searched for slots."""
+    parts = []
+    for text, slot, _, _ in Formatter().parse(template):
+        parts += [F.lit(text)] if text else []
+        parts += [slots[slot]] if slot else []
+    return F.concat(*parts)
 
 
 def describe(choice: Column, slots: Mapping[str, Column], templates: Sequence[str] = DESCRIPTION_TEMPLATES) -> Column:
     """Lower-case the slots into the template picked by ``choice`` (from 0)."""
-    picked = F.get(F.array(*[F.lit(t) for t in templates]), choice.cast("int"))
-    return fill_template(picked, {k: F.lower(v) for k, v in slots.items()})
+    lowered = {k: F.lower(v) for k, v in slots.items()}
+    picked = F.lit(None).cast("string")
+    for number, template in enumerate(templates):
+        picked = F.when(choice == number, fill_template(template, lowered)).otherwise(picked)
+    return picked
 
 
 def padded(prefix: str, number: Column, width: int = 5, suffix: str = "") -> Column:
