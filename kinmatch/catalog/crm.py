@@ -164,14 +164,19 @@ QUERIES = {
 }
 
 
+# The SQL side states its own lists.
+_MISSING = "|#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null"
+_KIND_WORDS = {"tech": "ai|tech|cyber|data", "developer": "code|dev|stack|ops", "modern": "app|cloud|space"}
+
+
 def _nullable(column: str) -> str:
-    tokens = ", ".join(f"'{t}'" for t in C.NA_TOKENS)
+    tokens = ", ".join(f"'{t}'" for t in _MISSING.split("|"))
     return f"CASE WHEN {column} NOT IN ({tokens}) THEN {column} END AS {column}"
 
 
 _NEWEST = """SELECT * FROM checked WHERE valid ORDER BY date_added DESC NULLS LAST, {0} LIMIT 5000"""
 _WORDS = "CASE " + " ".join(
-    f"WHEN regexp_matches(lower({{0}}), '{'|'.join(words)}') THEN '{kind}'" for kind, words in T.NAME_KINDS.items()
+    f"WHEN regexp_matches(lower({{0}}), '{words}') THEN '{kind}'" for kind, words in _KIND_WORDS.items()
 ) + " ELSE 'standard' END"
 _SLUG = "lower(regexp_replace(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[ -]', '', 'g'))"
 _TEMPLATES = ", ".join("'" + t.replace("'", "''") + "'" for t in T.DESCRIPTION_TEMPLATES)

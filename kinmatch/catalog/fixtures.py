@@ -22,13 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts; one of few splits is spread over the cores."""
-    rows = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() > cores else rows.repartition(cores)
-
-
 def company_url(number: Column) -> Column:
     return padded("https://company", number, suffix=".com")
 
@@ -118,7 +111,7 @@ def crm(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderpriority").alias("priority"),
             F.col("c_mktsegment").alias("sector"),
             F.when(key % 5 == 0, F.lit("N/A")).when(key % 5 == 1, F.lit("null")).otherwise(
-                F.concat(F.lit('The "A" fund, '), F.col("c_name"))
+                F.concat(F.lit('The "A" fund,\n'), F.col("c_name"))
             ).alias("investors"),
         )
     )
@@ -168,7 +161,7 @@ def failed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable text of each address's first page; every 17th capture failed."""
-    pages = texts(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
     read = with_content(pages.join(first, ["url", "page_id"], "left_semi"))
     content = F.when(F.col("page_id") % 17 == 0, F.lit("")).otherwise(F.col("content"))
@@ -205,18 +198,18 @@ def with_answer(pages: DataFrame) -> DataFrame:
 
 def profile_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile of each page."""
-    return with_profile(texts(spark, sf_dir, "pages")).select("page_id", F.col("url").alias("company_id"), *PROFILE)
+    return with_profile(table(spark, sf_dir, "pages")).select("page_id", F.col("url").alias("company_id"), *PROFILE)
 
 
 def profile_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer about each address: that of its first page."""
-    pages = with_answer(texts(spark, sf_dir, "pages"))
+    pages = with_answer(table(spark, sf_dir, "pages"))
     return pages.groupBy(F.col("url").alias("company_id")).agg(F.min_by("response", "page_id").alias("response"))
 
 
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile answers about each document: valid, broken, mistyped and empty ones."""
-    docs = texts(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     key = F.col("doc_id") % 6
     base = [
         F.col("text").alias("company_description"),
@@ -249,7 +242,7 @@ SIGN_CYCLE = ["✓", "✗", "~", "?", "x"]
 
 def analysis_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Competitive analysis of each document's source, some lists empty or too long."""
-    docs = texts(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     key = F.col("doc_id")
 
     def sign(i, shift):
@@ -320,7 +313,7 @@ def analysis_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-dimension answers about each document; keys 3 and 5 of 6 are incomplete."""
-    docs = texts(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     key = F.col("doc_id")
     keep = {"ignoreNullFields": "false"}
 

@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from kinmatch.catalog.fixtures import QUERY_COMPANIES
-from kinmatch.functions.text import HTML_DROPPED, HTML_ENTITIES
 from kinmatch.schemas import FIELD_WEIGHTS, TEXT_FIELDS
 
+# The SQL side states its own patterns.
+_MARKUP = [
+    "(?is)<!--.*?-->",
+    "(?is)<script\\b.*?</script\\s*>",
+    "(?is)<style\\b.*?</style\\s*>",
+    "(?is)<head\\b.*?</head\\s*>",
+    "(?s)<[^>]*>",
+]
+_ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "amp": "&"}
 _FIELDS = ", ".join(f"'{f}'" for f in TEXT_FIELDS)
 
 
@@ -33,13 +41,13 @@ def cosine(a: str, b: str) -> str:
 
 
 def decoded(text: str) -> str:
-    for entity, char in HTML_ENTITIES:
-        text = f"replace({text}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    for entity, char in _ENTITIES.items():
+        text = f"replace({text}, '&{entity};', '{char.replace(chr(39), chr(39) * 2)}')"
     return text
 
 
 def page_text(html: str) -> str:
-    for pattern in HTML_DROPPED:
+    for pattern in _MARKUP:
         html = f"regexp_replace({html}, '{pattern}', ' ', 'g')"
     return f"trim(regexp_replace({decoded(html)}, '[ \\t\\r\\n]+', ' ', 'g'))"
 
@@ -110,7 +118,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
              strftime(o_orderdate, '%Y-%m-%d') AS date_added,
              o_orderstatus AS status, o_orderpriority AS priority, c_mktsegment AS sector,
              CASE o_orderkey % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN 'null'
-               ELSE 'The "A" fund, ' || c_name END AS investors
+               ELSE 'The "A" fund,' || chr(10) || c_name END AS investors
       FROM orders JOIN customer ON o_custkey = c_custkey
       JOIN pages ON page_id = o_orderkey % (SELECT count(*) FROM pages)""",
     ),

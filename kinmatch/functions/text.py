@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-
 from string import Formatter
 
 from pyspark.sql import Column

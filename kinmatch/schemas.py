@@ -45,7 +45,6 @@ TOP_K_PER_FIELD = 500
 TOP_N = 10
 RECENT_ROWS = 5000
 DETAIL_BATCH = 500
-PROFILE_BATCH = 1000
 LOAD_BATCH = 100
 LOOKALIKES = 25
 SWEEP_SIZES = [10, 25, 50, 100]
@@ -81,8 +80,7 @@ CRM_COLUMNS = [
 ]
 CRM_SCHEMA = T.StructType([T.StructField(c, S) for c in CRM_COLUMNS])
 
-PAGE_CAPTURE = _struct(optional={"url": S, "content": S})
-
+# Fields of the stored records and of the documents below.
 FIELD_VECTOR = _struct(
     optional={
         "doc_id": S,
