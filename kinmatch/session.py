@@ -8,7 +8,6 @@ real size statistics for adaptive execution, and survives the loss of executors.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -46,15 +45,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for durable tables, below ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own: on a
-    cluster that folder would exist on one machine only.
+    Where that is not set, they go below the warehouse, which executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="kinmatch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     folder = f"{root.rstrip('/')}/kinmatch/{uuid.uuid4().hex}"
     _made.get().append(folder)
     return folder

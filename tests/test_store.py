@@ -3,6 +3,7 @@
 import json
 import time
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,15 @@ def test_stored_tables_are_deleted(spark):
     assert durable(spark.range(3), kept).count() == 3 and os.path.exists(kept)
 
 
+def test_where_stored_tables_go():
+    def session(**settings):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: settings.get(key.replace(".", "_"), default)))
+
+    both = {"spark_checkpoint_dir": "hdfs:///c/", "spark_sql_warehouse_dir": "hdfs:///w/"}
+    assert shared_folder(session(**both)).startswith("hdfs:///c/kinmatch/")
+    assert shared_folder(session(spark_sql_warehouse_dir="hdfs:///w/")).startswith("hdfs:///w/checkpoints/kinmatch/")
+
+
 def test_durable_keeps_rows(spark):
     df = durable(spark.range(10).withColumn("v", F.array(F.lit(1))))
     assert df.count() == 10 and df.dtypes == [("id", "bigint"), ("v", "array<int>")]
