@@ -160,7 +160,11 @@ def failed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readable text of each address's first page; every 17th capture failed."""
+    """Readable text of each address's first page; every 17th capture failed.
+
+    A table of captures has one row per address, as a site is read once; the raw
+    pages repeat addresses, and the ingest reads them all.
+    """
     pages = table(spark, sf_dir, "pages")
     first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
     read = with_content(pages.join(first, ["url", "page_id"], "left_semi"))
