@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts; a small one, of few splits, is spread over the cores, with the same rows."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() > cores else rows.repartition(cores)
+
+
 def company_url(number: Column) -> Column:
     return padded("https://company", number, suffix=".com")
 
@@ -165,7 +172,7 @@ def page_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     A table of captures has one row per address, as a site is read once; the raw
     pages repeat addresses, and the ingest reads them all.
     """
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages")
     first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
     read = with_content(pages.join(first, ["url", "page_id"], "left_semi"))
     content = F.when(F.col("page_id") % 17 == 0, F.lit("")).otherwise(F.col("content"))
@@ -202,18 +209,18 @@ def with_answer(pages: DataFrame) -> DataFrame:
 
 def profile_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile of each page."""
-    return with_profile(table(spark, sf_dir, "pages")).select("page_id", F.col("url").alias("company_id"), *PROFILE)
+    return with_profile(texts(spark, sf_dir, "pages")).select("page_id", F.col("url").alias("company_id"), *PROFILE)
 
 
 def profile_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer about each address: that of its first page."""
-    pages = with_answer(table(spark, sf_dir, "pages"))
+    pages = with_answer(texts(spark, sf_dir, "pages"))
     return pages.groupBy(F.col("url").alias("company_id")).agg(F.min_by("response", "page_id").alias("response"))
 
 
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile answers about each document: valid, broken, mistyped and empty ones."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = texts(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     key = F.col("doc_id") % 6
     base = [
         F.col("text").alias("company_description"),
@@ -246,7 +253,7 @@ SIGN_CYCLE = ["✓", "✗", "~", "?", "x"]
 
 def analysis_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Competitive analysis of each document's source, some lists empty or too long."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     key = F.col("doc_id")
 
     def sign(i, shift):
@@ -317,7 +324,7 @@ def analysis_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-dimension answers about each document; keys 3 and 5 of 6 are incomplete."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     key = F.col("doc_id")
     keep = {"ignoreNullFields": "false"}
 
