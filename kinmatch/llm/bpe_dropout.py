@@ -2,15 +2,16 @@
 
 A byte-pair model of the SentencePiece kind joins adjacent symbols, the best-scored and
 then leftmost pair first.  With dropout, a candidate that comes up is skipped when a
-keyed hash of it falls below the dropout rate; it stays skipped unless a neighbour
-changes.  The key is made of a seed, the document's variant, the stretch of text,
-the two symbols and their place, so a retried task gives the same pieces, another seed
-or variant others.  Each document has one of ``variants`` variants, by a hash of its id.
+keyed hash of its number in the stretch falls below the dropout rate; it stays skipped unless
+a neighbour changes.  The key is made of a seed, the document's id and text, the number of
+the copy, the place of the stretch in the text and the stretch itself, so that every
+occurrence of a word is drawn on its own, while a retried task gives the same pieces and
+another seed others.
 
 Pieces never cross the start of a run of spaces nor a line end, so a text is a list of
-independent stretches.  A worker keeps what it has encoded (a bounded cache), and
-encodes new stretches together: a padded matrix of symbols in which every row takes
-its best candidate at each step.  Very long stretches go through an agenda of their own
+independent stretches.  The draws of a stretch alone decide its pieces, so a worker keeps what it
+has encoded by stretch and draws (a bounded cache), and encodes what is new together: a padded
+matrix of symbols in which every row takes its best candidate at each step.  Very long stretches go through an agenda of their own
 (``one_stretch``), with the same result.
 
 Any text decodes to itself: characters without a piece, and the character that stands for
@@ -20,8 +21,8 @@ Both directions are maps over all rows without a shuffle; only the vocabulary, o
 size, is broadcast.  The model file is read on the driver.
 
 Defined results: a null text has null ids and decodes to null; an empty one has no
-ids; a null document id counts as an empty text in the variant; repeated rows get the same
-ids; an empty table gives an empty one; extra columns are left alone.
+ids; a null document id counts as an empty text in the key; repeated rows get the same
+ids unless a column numbers them; an empty table gives an empty one; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -44,10 +45,12 @@ from kinmatch.llm.common import fresh, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 11
 DROPOUT = 0.1
-VARIANTS = 4
+VARIANTS = 1 << 64
 #: Stretches longer than this go through the agenda one by one.
 WIDEST = 64
-#: Stretches that a worker keeps.
+#: Draws of a stretch that are looked up together; what takes more is encoded anew.
+DRAWS = 64
+#: Stretches and draws that a worker keeps.
 CACHE = 300_000
 
 SPACE_MARK = "▁"
@@ -65,10 +68,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def skipped(key: np.ndarray, left: np.ndarray, right: np.ndarray, place: np.ndarray, rate: float) -> np.ndarray:
-    """Whether each candidate is dropped."""
-    parts = [np.asarray(v).astype(np.uint64) * np.uint64(f) for v, f in zip((left, right, place), FIELDS)]
-    return (mixed(key + parts[0] + parts[1] + parts[2]) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
+def skipped(key: np.ndarray, step: int, rate: float) -> np.ndarray:
+    """Whether the candidate that comes up at a step is dropped."""
+    draw = np.uint64((step + 1) * FIELDS[0] & WORD64)
+    return (mixed(key + draw) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
 
 
 @dataclass
@@ -186,13 +189,15 @@ class Pieces:
         offer(list(range(n)))
         alive = [True] * n
         keys = np.array([key], dtype=np.uint64)
+        step = -1
         while agenda:
             _, i, left, right, piece = heapq.heappop(agenda)
             j = after[i]
             # Candidates whose symbols have been joined meanwhile are stale.
             if not alive[i] or symbols[i] != left or j >= n or symbols[j] != right:
                 continue
-            if rate > 0 and skipped(keys, np.array([left]), np.array([right]), np.array([i]), rate)[0]:
+            step += 1
+            if rate > 0 and skipped(keys, step, rate)[0]:
                 continue
             symbols[i], alive[j], after[i] = piece, False, after[j]
             if after[i] < n:
@@ -203,6 +208,10 @@ class Pieces:
 
     def many_stretches(self, texts: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
         """Ids of many stretches of at most ``WIDEST`` characters, all at once."""
+        return self.stepped(texts, keys, rate)[0]
+
+    def stepped(self, texts: list[str], keys: np.ndarray, rate: float) -> tuple[list[bytes], list[int]]:
+        """``many_stretches``, and how many candidates came up in each."""
         n, width = len(texts), max(map(len, texts))
         symbols = np.full((n, width + 1), self.unknown, dtype=np.int32)
         sizes = np.array([len(t) for t in texts])
@@ -229,14 +238,18 @@ class Pieces:
 
         offer(rows, cols)
         active = np.arange(n)
+        steps = np.zeros(n, dtype=np.int64)
+        step = -1
         while len(active):
             best = rank[active].argmin(1)
             going = rank[active, best] < NONE
             active, best = active[going], best[going]
             if not len(active):
                 break
+            step += 1
+            steps[active] += 1
             j = after[active, best]
-            drop = skipped(keys[active], symbols[active, best], symbols[active, j], best, rate) if rate > 0 else np.zeros(len(active), dtype=bool)
+            drop = skipped(keys[active], step, rate) if rate > 0 else np.zeros(len(active), dtype=bool)
             rank[active[drop], best[drop]] = NONE
             r, i, j = active[~drop], best[~drop], j[~drop]
             symbols[r, i] = made[r, i]
@@ -257,7 +270,7 @@ class Pieces:
         for k in odd:
             places = np.nonzero(alive[k])[0].tolist()
             out[k] = self.written(texts[k], symbols[k, places].tolist(), places)
-        return out
+        return out, steps.tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.surfaces.__getitem__, ids))
@@ -269,41 +282,130 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, seed: int, rate: float):
         self.pieces, self.seed, self.rate = pieces, seed, rate
-        self.known: dict[int, dict[str, bytes]] = {}
+        #: Of each stretch: its number, or -1 if it is encoded anew each time.
+        self.numbers: dict[str, int] = {}
+        #: By number: pieces without a drop, candidates without a drop, CRC-32 of the stretch, and the
+        #: pieces by draws: a bit for each candidate that came up, below one more bit as the end.
+        self.plain: list[bytes] = []
+        self.steps: list[int] = []
+        self.crcs: list[int] = []
+        self.drawn: list[dict[int, bytes]] = []
+        #: By number: how many candidates came up with one draw or another.
+        self.sizes: list[list[int]] = []
+        self.held = 0
 
     def _keys(self, variant: int, stretches: list[str]) -> np.ndarray:
-        base = (self.seed * FIELDS[0] + variant * FIELDS[1]) & WORD64
+        """Keys of a text's stretches, by the key of the text and their places."""
         crc = np.array([zlib.crc32(s.encode()) for s in stretches], dtype=np.uint64)
-        return mixed(crc * np.uint64(FIELDS[2]) + np.uint64(base))
+        return self._placed(np.full(len(stretches), variant, dtype=np.uint64), np.arange(len(stretches)), crc)
+
+    def _placed(self, variants: np.ndarray, places: np.ndarray, crc: np.ndarray) -> np.ndarray:
+        base = mixed(variants * np.uint64(FIELDS[1]) + np.uint64(self.seed * FIELDS[0] & WORD64))
+        return mixed(mixed(base + places.astype(np.uint64) * np.uint64(FIELDS[0])) + crc * np.uint64(FIELDS[2]))
 
-    def _learn(self, variant: int, stretches: list[str]) -> None:
-        known = self.known.setdefault(variant, {})
-        keys = self._keys(variant, stretches)
+    def _encoded(self, texts: list[str], keys: np.ndarray, rate: float) -> tuple[list[bytes], list[int]]:
+        """Ids of each stretch, and how many candidates came up (above ``DRAWS`` for a very long one)."""
+        out: list[bytes] = [b""] * len(texts)
+        steps = [DRAWS + 1] * len(texts)
         groups: dict[int, list[int]] = {}
-        for k, s in enumerate(stretches):
+        for k, s in enumerate(texts):
             groups.setdefault(next((w for w in (8, 12, 16, 32, WIDEST) if len(s) <= w), 0), []).append(k)
         for width, places in groups.items():
-            texts = [stretches[k] for k in places]
             if width:
-                known.update(zip(texts, self.pieces.many_stretches(texts, keys[places], self.rate)))
+                for k, got, n in zip(places, *self.pieces.stepped([texts[k] for k in places], keys[places], rate)):
+                    out[k], steps[k] = got, n
             else:
-                known.update((t, self.pieces.one_stretch(t, int(keys[k]), self.rate)) for t, k in zip(texts, places))
+                for k in places:
+                    out[k] = self.pieces.one_stretch(texts[k], int(keys[k]), rate)
+        return out, steps
+
+    def _meet(self, stretches: list[str]) -> None:
+        short = [s for s in stretches if len(s) <= WIDEST]
+        self.numbers.update((s, -1) for s in stretches if len(s) > WIDEST)
+        if not short:
+            return
+        plain, steps = self._encoded(short, np.zeros(len(short), dtype=np.uint64), 0.0)
+        self.numbers.update(zip(short, range(len(self.plain), len(self.plain) + len(short))))
+        self.plain += plain
+        self.steps += steps
+        self.crcs += [zlib.crc32(s.encode()) for s in short]
+        self.drawn += [{} for _ in short]
+        self.sizes += [[] for _ in short]
+        self.held += len(short)
 
     def encode(self, texts: list[str | None], variants: list[int]) -> list[bytes | None]:
-        """Ids of each text as 32-bit numbers."""
-        if sum(map(len, self.known.values())) > CACHE:
-            self.known.clear()
+        """Ids of each text as 32-bit numbers; ``variants`` has a key of 64 bits for each text."""
+        if self.held > CACHE:
+            self.__init__(self.pieces, self.seed, self.rate)
         lead = " " if self.pieces.prefix else ""
         find = self.pieces.stretch.findall
         cut = [find(lead + t) if t else [] for t in texts]
-        new: dict[int, set[str]] = {}
-        for stretches, v in zip(cut, variants):
-            known = self.known.setdefault(v, {})
-            new.setdefault(v, set()).update(s for s in set(stretches) if s not in known)
-        for v, found in new.items():
-            if found:
-                self._learn(v, sorted(found))
-        return [None if t is None else b"".join(map(self.known[v].__getitem__, s)) for t, s, v in zip(texts, cut, variants)]
+        flat = [s for stretches in cut for s in stretches]
+        self._meet(sorted({s for s in flat if s not in self.numbers}))
+        number = list(map(self.numbers.__getitem__, flat))
+        out = [self.plain[n] if n >= 0 else b"" for n in number]
+        if flat:
+            sizes = np.array([len(s) for s in cut])
+            places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            of_text = np.repeat(np.array([v & WORD64 for v in variants], dtype=np.uint64), sizes)
+            self._draw(flat, np.array(number), of_text, places, out)
+        ends = np.cumsum([len(s) for s in cut]).tolist()
+        return [None if t is None else b"".join(out[e - len(s) : e]) for t, s, e in zip(texts, cut, ends)]
+
+    def _draw(self, flat: list[str], number: np.ndarray, variants: np.ndarray, places: np.ndarray, out: list[bytes]) -> None:
+        """Put the pieces of the stretches in which a candidate is dropped, or that are not kept, in ``out``."""
+        own = number < 0
+        crc, steps = np.zeros(len(flat), dtype=np.uint64), np.zeros(len(flat), dtype=np.int64)
+        kept = ~own
+        if kept.any():
+            crc[kept] = np.array(self.crcs, dtype=np.uint64)[number[kept]]
+            steps[kept] = np.array(self.steps)[number[kept]]
+        for k in np.flatnonzero(own).tolist():
+            crc[k] = zlib.crc32(flat[k].encode())
+        keys = self._placed(variants, places, crc)
+        dropped = np.zeros(len(flat), dtype=bool)
+        if self.rate > 0:
+            going = np.flatnonzero(steps > 0)
+            step = 0
+            while len(going):
+                dropped[going] |= skipped(keys[going], step, self.rate)
+                step += 1
+                going = going[(steps[going] > step) & ~dropped[going]]
+        at = np.flatnonzero(dropped)
+        draws = np.zeros(len(at), dtype=np.uint64)
+        for step in range(DRAWS if len(at) else 0):
+            draws |= skipped(keys[at], step, self.rate).astype(np.uint64) << np.uint64(step)
+        left = []
+        for k, n, bits in zip(at.tolist(), number[at].tolist(), draws.tolist()):
+            known = self.drawn[n]
+            for size in self.sizes[n]:
+                got = known.get(bits & (1 << size) - 1 | 1 << size)
+                if got is not None:
+                    out[k] = got
+                    break
+            else:
+                left.append((k, n, bits))
+        new: dict[tuple[int, int], list[int]] = {}
+        for k, n, bits in left:
+            new.setdefault((n, bits), []).append(k)
+        same = [ks for ks in new.values()]
+        # Draws beyond the first ``DRAWS`` come from the whole key, so only one place stands for others when they do not count.
+        got, sizes = self._encoded([flat[ks[0]] for ks in same], keys[[ks[0] for ks in same]], self.rate) if same else ([], [])
+        again = []
+        for ((n, bits), ks), ids, size in zip(new.items(), got, sizes):
+            out[ks[0]] = ids
+            if size > DRAWS:
+                again += ks[1:]
+                continue
+            for k in ks[1:]:
+                out[k] = ids
+            self.drawn[n][bits & (1 << size) - 1 | 1 << size] = ids
+            if size not in self.sizes[n]:
+                self.sizes[n].append(size)
+            self.held += 1
+        again += np.flatnonzero(own).tolist()
+        for k, ids in zip(again, self._encoded([flat[k] for k in again], keys[again], self.rate)[0] if again else []):
+            out[k] = ids
 
 
 def _list_array(encoded: list[bytes | None]) -> pa.Array:
@@ -323,18 +425,26 @@ def encode(
     variants: int = VARIANTS,
     doc_id: str = "doc_id",
     text: str = "text",
+    copy: str | None = None,
 ) -> DataFrame:
-    """``docs`` with an array column of token ids."""
+    """``docs`` with an array column of token ids; ``copy`` names a column that numbers the copies of a row.
+
+    The key of a text is one of ``variants``.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
     columns = [c for c in docs.columns if c != name]
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         encoder = Encoder(shared.value, seed, rate)
         for part in slices(batches, text):
             own = ["" if i is None else str(i) for i in part.column(doc_id).to_pylist()]
-            chosen = [zlib.crc32(f"{seed}:{i}".encode()) % variants for i in own]
-            got = encoder.encode(part.column(text).to_pylist(), chosen)
+            times = part.column(copy).to_pylist() if copy else [1] * len(own)
+            texts = part.column(text).to_pylist()
+            keys = [f"{seed}:{i}:{n}:{zlib.crc32((t or '').encode())}" for i, n, t in zip(own, times, texts)]
+            got = encoder.encode(texts, [xxh64_intdigest(k) % variants for k in keys])
             yield pa.RecordBatch.from_arrays([*part.columns, _list_array(got)], [*part.schema.names, name])
 
     base = docs.select(*[F.col(f"`{c}`") for c in columns])
@@ -364,10 +474,10 @@ def _lists(column: pa.ListArray) -> Iterator[np.ndarray | None]:
         at += size or 0
 
 
-def tokens(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
+def tokens(docs: DataFrame, pieces: Pieces | None = None, copy: str | None = None) -> DataFrame:
     """doc_id, source, lang, number of tokens and the ids: the corpus as a trainer reads it."""
     name = fresh(docs, "ids")
-    rows = encode(docs, pieces or Pieces.load(), name)
+    rows = encode(docs, pieces or Pieces.load(), name, copy=copy)
     return rows.select("doc_id", "source", "lang", F.coalesce(F.size(name), F.lit(0)).alias("n_tokens"), F.col(name).alias("ids"))
 
 

@@ -102,6 +102,13 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return replicate(docs, seed, copy=copy, place=place).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def numbered_mix(docs: DataFrame, name: str, seed: int = SEED) -> DataFrame:
+    """``mix`` with the number of each copy in a column ``name``, which takes the place of one that ``docs`` has."""
+    docs = docs.drop(name)
+    place = fresh(docs, "place")
+    return replicate(docs, seed, copy=name, place=place).drop(place)
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """One row per output document: id, source, copy number, place, and a digest of the text that was moved."""
     moved = replicate(docs.select("doc_id", "source", "text"))
