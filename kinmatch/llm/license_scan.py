@@ -11,7 +11,8 @@ characters at a time: no shuffle, and memory follows the longest single text.
 
 Defined results: a null text is an empty one, with no words and null first and last
 word; ids may be null or repeated, rows are scanned as they come; overlapping places
-of a phrase all count; of equally good spans the leftmost is reported; an empty table
+of a phrase all count; of overlapping spans of a notice the one with the fewest edits is
+reported, of equally good ones the leftmost, and all that do not overlap it; an empty table
 gives an empty one; extra columns are not read.
 """
 
@@ -65,10 +66,45 @@ def pieces(notice: bytes, edits: int) -> list[tuple[int, bytes]]:
 
 
 @lru_cache
-def _matcher(notice: str, edits: int):
+def _matcher(notice: str, edits: int, best: bool = True):
     import regex
 
-    return regex.compile(rf"(?b)(?<= )(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}(?= )")
+    flag = "(?b)" if best else ""
+    return regex.compile(rf"{flag}(?<= )(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}(?= )")
+
+
+def matches(text: str, notice: str, edits: int) -> Iterator:
+    """The best match of ``text``, and those of what lies before and after it, in order.
+
+    The best match among all that overlap it is found in a window, so that the work follows
+    the length of ``text``.
+    """
+    any_match, best_match = _matcher(notice, edits, False), _matcher(notice, edits)
+    reach = len(notice) + edits + 1
+    later: list = []
+    start, end = 0, len(text)
+    while True:
+        m = any_match.search(text, start, end)
+        while m:
+            # All matches that overlap m lie in the window; a better one there may have better ones beyond.
+            better = best_match.search(text, max(start, m.start() - reach), min(end, m.end() + reach))
+            if better is None or (sum(better.fuzzy_counts), better.start()) >= (sum(m.fuzzy_counts), m.start()):
+                break
+            m = better
+        if m and any_match.search(text, start, m.start()):
+            # First what lies before it.
+            later.append((m, end))
+            end = m.start()
+            continue
+        if m:
+            yield m
+            start = m.end()
+        elif later:
+            m, end = later.pop()
+            yield m
+            start = m.end()
+        else:
+            return
 
 
 def places(text: bytes, part: bytes) -> Iterator[int]:
@@ -116,7 +152,7 @@ def scan_text(text: str | None, phrases: dict[str, str], notices: list[tuple[str
         for a, b in regions(joined, notice.encode(), edits):
             stretch = joined[a:b].decode()
             first = joined.count(b" ", 0, a)
-            for m in _matcher(notice, edits).finditer(stretch):
+            for m in matches(stretch, notice, edits):
                 start = first + stretch.count(" ", 0, m.start()) - 1
                 end = start + m.group().count(" ") + 1
                 found.append({"label": label, "start": start, "end": end, "edits": sum(m.fuzzy_counts), "length": len(notice)})
