@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from kinmatch.llm.common import fresh, slices
+from kinmatch.llm.common import fresh, mixed, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 11
@@ -57,17 +57,10 @@ SPACE_MARK = "▁"
 NONE = np.iinfo(np.int32).max
 WORD64 = (1 << 64) - 1
 
-#: The multipliers of the SplitMix64 finalizer, and odd numbers for the fields.
-MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Odd numbers for the fields of a key.
 FIELDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
-    return x ^ (x >> np.uint64(31))
-
-
 def skipped(key: np.ndarray, step: int, rate: float) -> np.ndarray:
     """Whether the candidate that comes up at a step is dropped."""
     draw = np.uint64((step + 1) * FIELDS[0] & WORD64)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,17 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 SLICE_CHARS = 1_000_000
 
 
+#: The multipliers of the SplitMix64 finalizer.
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The SplitMix64 finalizer of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
+    return x ^ (x >> np.uint64(31))
+
+
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

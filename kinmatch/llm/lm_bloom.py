@@ -35,8 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.bpe_dropout import mixed
-from kinmatch.llm.common import byte_words, fold, slices
+from kinmatch.llm.common import byte_words, fold, mixed, slices
 from kinmatch.session import durable
 
 BITS = 1 << 28

@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.llm.common import byte_words, fresh, slices
+from kinmatch.operators.ranking import numbered
 from kinmatch.session import durable
 
 WORDS = 3
@@ -219,15 +220,37 @@ def _repeated(known: DataFrame, nodes: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = WORDS) -> DataFrame:
     """One document of each group of near copies, with the columns of ``docs``: the one with the smallest id.
 
-    Rows that repeat that id are copies too, and one of them stays.  Rows without an id
-    cannot be told apart and all stay.
+    Rows that repeat that id are copies too, and one of them stays.  Rows without an id link like
+    others: one of their group stays only where no row with an id is in it.
     """
     key, name = fresh(docs, "stays"), fresh(docs, "nth")
-    stays = linked(docs, radius, width).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    groups = linked(docs, radius, width)
+    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     kept = docs.join(stays, docs["doc_id"] == stays[key]).drop(key)
     first = Window.partitionBy("doc_id").orderBy("text")
     single = kept.withColumn(name, F.row_number().over(first)).filter(F.col(name) == 1).drop(name)
-    return single.unionByName(docs.filter("doc_id IS NULL"))
+    return single.unionByName(_without_id(docs, radius, width))
+
+
+def _without_id(docs: DataFrame, radius: int, width: int) -> DataFrame:
+    """Of the rows without an id, one of each group that holds no row with an id.
+
+    Each distinct text among them takes part once, under a number above all ids.
+    """
+    loose = docs.filter("doc_id IS NULL")
+    if loose.isEmpty():
+        return loose
+    number, nth = fresh(docs, "loose"), fresh(docs, "nth")
+    texts = numbered(loose.groupBy(F.coalesce(F.col("text"), F.lit("")).alias("text")).agg(F.count(F.lit(1)).alias("n")), [F.col("text")], number)
+    # Numbers above all ids: a group that holds an id has that as its smallest member.
+    above = max(docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0, 0)
+    named = durable(texts.select((F.col(number) + above).alias("doc_id"), "text"))
+    both = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").unionByName(named)
+    alone = linked(both, radius, width).filter(F.col("doc_id") > above).filter("doc_id = component_id").select("doc_id")
+    stays = named.join(alone, "doc_id", "left_semi").select(F.col("text").alias(number))
+    kept = loose.join(stays, F.coalesce(loose["text"], F.lit("")) == stays[number]).drop(number)
+    first = Window.partitionBy(F.coalesce("text", F.lit(""))).orderBy(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    return kept.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -66,7 +66,10 @@ def test_rows_without_id_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, DOC)
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == 6 and all(r.component_id == (None if r.doc_id is None else 7) for r in got)
-    assert sorted(r.doc_id or 0 for r in simhash.one_of_each(docs).collect()) == [0, 0, 7]
+    assert sorted(r.doc_id or 0 for r in simhash.one_of_each(docs).collect()) == [0, 7]
+    loose = spark.createDataFrame([(None, t, s, "", 0) for t in ("e f g h", "E f g h", "a b c d", None, "") for s in "uv"], DOC)
+    kept = simhash.one_of_each(docs.unionByName(loose)).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept) == [(0, ""), (0, "e f g h"), (7, "a b c d")]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
 
 
