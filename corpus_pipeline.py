@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmatch.llm import bpe_dropout, mixing, near_copies, quality_rules, toxicity
+from kinmatch.llm import bpe_dropout, mixing, quality_rules, simhash, toxicity
 from kinmatch.session import durable
 
 #: Column between the last two stages: the number of a document's copy.
@@ -31,8 +31,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles overlap by 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    """One document of each group whose fingerprints of three-word shingles link at two or fewer bits."""
+    return simhash.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
