@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kinmatch.llm import (
     bpe_dropout,
+    clustering,
     exact_topk,
     license_scan,
     lm_bloom,
@@ -12,6 +13,7 @@ from kinmatch.llm import (
     quality_gam,
     quality_rules,
     simhash,
+    suffix_dedup,
     toxicity,
 )
 from kinmatch.llm.common import read_table
@@ -57,6 +59,14 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_drift(spark, sf_dir):
+    return clustering.clustering(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_preference_format": op1_preference_format,
     "op2_simhash_vptree": op2_simhash_vptree,
@@ -68,6 +78,8 @@ QUERIES = {
     "op8_bpe_dropout": op8_bpe_dropout,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_centroid_drift": op11_centroid_drift,
+    "op12_suffix_dedup": op12_suffix_dedup,
 }
 
 ORACLES = {
@@ -75,4 +87,5 @@ ORACLES = {
     "op5_segment_topk": exact_topk.ORACLE,
     "op6_poisson_mixing": mixing.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_centroid_drift": clustering.ORACLE,
 }
