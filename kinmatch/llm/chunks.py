@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from kinmatch.llm.buckets import Bucketed
 from kinmatch.llm.common import slices
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Bytes of keys in a bucket, about.
 BUCKET = 4_000_000
 

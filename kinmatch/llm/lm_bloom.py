@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import byte_words, fold, mixed, slices
+from kinmatch.llm.common import byte_words, fold, mixed, packed, slices, unpacked
 from kinmatch.session import durable
 
 BITS = 1 << 28
@@ -88,17 +88,6 @@ def typical(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
 
 
-def packed(keys: np.ndarray, width: int) -> bytes:
-    """Keys as ``width`` bytes each."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def unpacked(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
-    return out.view("<u8").reshape(-1)
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts added up per key, keys sorted."""
     if not len(keys):

@@ -19,7 +19,7 @@ Only what can repeat is sorted, in shards that hold all that can be equal:
 
 The suffix sort is exact for any hash, which only decides what meets where.
 
-Scale.  Chunks are stored once and never shuffled; hashes (8 bytes for one in thirteen places), pieces and bits
+Scale.  Chunks are stored once and never shuffled; hashes (5 bytes for one in thirteen places), pieces and bits
 are.  A shard has about ``SHARD`` bytes.  A gram in more than ``HOT`` chunks would make a shard that grows with the
 corpus: its strings are dealt out one by one, by the hash of the whole string, and a chunk sends each of them once.
 
@@ -38,9 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.buckets import Bucketed
 from kinmatch.llm.chunks import BUCKET, CHUNK, Chunk, answered, by_bucket, chunked, told
-from kinmatch.llm.common import mixed
+from kinmatch.llm.common import mixed, packed, unpacked
 from kinmatch.llm.suffixes import equal_neighbours, suffix_order
 from kinmatch.session import durable
 
@@ -52,6 +51,8 @@ SHARD = 1_000_000
 HOT = 4096
 #: Strings whose grams are chosen at a time.
 SEGMENT = 1 << 20
+#: Bytes of a gram's hash that are compared within a bucket; more equal ones only mean more to sort.
+SHORT = 5
 NO_ID = np.iinfo(np.int64).max
 
 #: Odd multipliers, one for each word of a gram.
@@ -143,7 +144,7 @@ def _ask_grams(buckets: int):
                     [
                         pa.array(np.full(len(found), number)),
                         pa.array(found.astype(np.int32)),
-                        pa.array([keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                        pa.array([packed(keys[a:b], SHORT) for a, b in zip(cuts, cuts[1:])], pa.binary()),
                         pa.array([np.packbits(several[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                     ],
                     ["chunk", "bucket", "keys", "several"],
@@ -156,7 +157,7 @@ def _count_grams(hot: int):
     """0 for a gram of a single document, 1 for a repeated one, 2 for one in more than ``hot`` chunks."""
 
     def answer(table: pa.Table) -> list[bytes]:
-        keys = [np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        keys = [unpacked(x, SHORT) for x in table.column("keys").to_pylist()]
         several = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(k)) for x, k in zip(table.column("several").to_pylist(), keys)]
         _, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         state = (counts > 1).astype(np.uint8)
@@ -169,69 +170,75 @@ def _count_grams(hot: int):
     return answer
 
 
-SENT = "array<struct<bucket:int,pieces:binary,ends:binary,grams:binary,docs:binary>>"
+class Sent:
+    """The pieces that a chunk sends: where each occurs, and the distinct ones in the order of shards.
 
+    ``low``, ``piece`` and ``least`` belong to occurrences: first start, number among the distinct pieces, and
+    whether the document is the smallest of the chunk with that piece.  It only depends on the chunk and the answers
+    about its grams, so it is made again where it is needed.
+    """
 
-def _send_pieces(buckets: int, shards: int):
-    """chunk; sent: its distinct pieces by shard; places: low, piece number and whether the document is the piece's first; counts: strings of each piece."""
+    def __init__(self, chunk: Chunk, answers: list | None, buckets: int, shards: int):
+        pieces = Pieces(chunk)
+        distinct, inverse, _ = _grams(pieces)
+        state = np.zeros(len(distinct), dtype=np.uint8)
+        told_ = b"".join(a["answer"] for a in answers or [])
+        state[by_bucket(bucket_of(distinct, buckets))[0]] = np.frombuffer(told_, dtype=np.uint8)
+        state = state[inverse]
+        low, high, gram, doc = (x[state > 0] for x in (pieces.low, pieces.high, pieces.hash, pieces.doc))
+        alone = state[state > 0] == 2
+        if alone.any():
+            # Strings of a hot gram go one by one, by a hash of the whole string.
+            times = np.where(alone, high - low + 1, 1)
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            alone, low, high, gram, doc = (np.repeat(x, times) for x in (alone, low, high, gram, doc))
+            low = np.where(alone, low + within, low)
+            high = np.where(alone, low, high)
+            words = words_at(chunk.body)
+            own = gram[alone]
+            for offset in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+                own = mixed(own + words[low[alone] + offset])
+            gram[alone] = own
+        seen: dict[bytes, int] = {}
+        raw = chunk.raw
+        which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(low.tolist(), (high + LENGTH).tolist())], dtype=np.int64)
+        n = len(seen)
+        first = np.full(n, NO_ID, dtype=np.int64)
+        np.minimum.at(first, which, doc)
+        grams = np.zeros(n, dtype=np.uint64)
+        grams[which] = gram
+        order, self.shards, self.cuts = by_bucket(bucket_of(grams, shards))
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        texts = list(seen)
+        self.texts = [texts[i] for i in order]
+        self.grams, self.docs = grams[order], first[order]
+        self.low, self.piece, self.least = low, place[which], doc == first[which]
+        self.counts = np.array([len(t) - LENGTH + 1 for t in self.texts], dtype=np.int64)
 
+
+def _send_pieces(buckets: int, shards: int):
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             answers = batch.column("answers").to_pylist()
             for number, chunk, answer in zip(batch.column("chunk").to_pylist(), Chunk.rows(batch), answers):
-                yield _sent(number, chunk, b"".join(a["answer"] for a in answer or []), buckets, shards)
+                sent = Sent(chunk, answer, buckets, shards)
+                spans = list(zip(sent.cuts, sent.cuts[1:])) if len(sent.shards) else []
+                ends = [np.cumsum([len(t) for t in sent.texts[a:b]], dtype=np.int32).tobytes() for a, b in spans]
+                columns = [
+                    [b"".join(sent.texts[a:b]) for a, b in spans],
+                    ends,
+                    [sent.grams[a:b].tobytes() for a, b in spans],
+                    [sent.docs[a:b].tobytes() for a, b in spans],
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(spans), number)), pa.array(sent.shards.astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]],
+                    ["chunk", "bucket", "pieces", "ends", "grams", "docs"],
+                )
 
     return over
 
 
-def _sent(number: int, chunk: Chunk, answer: bytes, buckets: int, shards: int) -> pa.RecordBatch:
-    pieces = Pieces(chunk)
-    distinct, inverse, _ = _grams(pieces)
-    state = np.zeros(len(distinct), dtype=np.uint8)
-    state[by_bucket(bucket_of(distinct, buckets))[0]] = np.frombuffer(answer, dtype=np.uint8)
-    state = state[inverse]
-    low, high, gram, doc = (x[state > 0] for x in (pieces.low, pieces.high, pieces.hash, pieces.doc))
-    alone = state[state > 0] == 2
-    if alone.any():
-        # Strings of a hot gram go one by one, by a hash of the whole string.
-        times = np.where(alone, high - low + 1, 1)
-        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        alone, low, high, gram, doc = (np.repeat(x, times) for x in (alone, low, high, gram, doc))
-        low = np.where(alone, low + within, low)
-        high = np.where(alone, low, high)
-        words = words_at(chunk.body)
-        whole = low[alone]
-        own = gram[alone]
-        for offset in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-            own = mixed(own + words[whole + offset])
-        gram = gram.copy()
-        gram[alone] = own
-    raw = chunk.raw
-    seen: dict[bytes, int] = {}
-    which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(low.tolist(), (high + LENGTH).tolist())], dtype=np.int64)
-    n = len(seen)
-    first = np.full(n, NO_ID, dtype=np.int64)
-    np.minimum.at(first, which, doc)
-    grams = np.zeros(n, dtype=np.uint64)
-    grams[which] = gram
-    order, found, cuts = by_bucket(bucket_of(grams, shards))
-    texts = list(seen)
-    sent = []
-    for s, a, b in zip(found.tolist(), cuts, cuts[1:]):
-        own = [texts[i] for i in order[a:b]]
-        ends = np.cumsum([len(x) for x in own], dtype=np.int32)
-        sent.append({"bucket": s, "pieces": b"".join(own), "ends": ends.tobytes(), "grams": grams[order[a:b]].tobytes(), "docs": first[order[a:b]].tobytes()})
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-    counts = np.array([len(texts[i]) - LENGTH + 1 for i in order], dtype="<u4")
-    binary = [low.astype("<u4").tobytes(), place[which].astype("<u4").tobytes(), np.packbits(doc == first[which]).tobytes(), counts.tobytes()]
-    sent_type = pa.list_(pa.struct([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("pieces", "ends", "grams", "docs")]]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.array([sent], sent_type), *[pa.array([x], pa.binary()) for x in binary]],
-        ["chunk", "sent", "low", "piece", "least", "counts"],
-    )
-
-
 def repeated_strings(pieces: list[bytes], docs: np.ndarray, grams: np.ndarray) -> list[np.ndarray]:
     """For each piece, and each string of ``LENGTH`` bytes in it, whether it occurs in a piece with a smaller document."""
     number: dict[bytes, int] = {}
@@ -278,31 +285,26 @@ def _sort_shard(table: pa.Table) -> list[bytes]:
     return [n.to_bytes(4, "little") + np.packbits(np.concatenate(got[e - n : e])).tobytes() for e, n in zip(ends, sizes)]
 
 
-def covered(chunk: Chunk, low: np.ndarray, piece: np.ndarray, least: np.ndarray, counts: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def covered(chunk: Chunk, sent: Sent, bits: np.ndarray) -> np.ndarray:
     """Which bytes of a chunk a repeated string covers; ``bits`` has one for each string of each sent piece."""
-    start = np.cumsum(counts) - counts
-    times = counts[piece]
-    rows = np.repeat(np.arange(len(low)), times)
+    start = np.cumsum(sent.counts) - sent.counts
+    times = sent.counts[sent.piece]
+    rows = np.repeat(np.arange(len(sent.low)), times)
     within = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
     # All but the first document of a piece lose all its strings.
-    gone = ~least[rows] | bits[start[piece[rows]] + within].astype(bool)
-    change = np.zeros(len(chunk.body) + 1, dtype=np.int64)
-    at = (low[rows] + within)[gone]
-    np.add.at(change, at, 1)
-    np.add.at(change, at + LENGTH, -1)
-    return np.cumsum(change[:-1]) > 0
+    gone = ~sent.least[rows] | bits[start[sent.piece[rows]] + within].astype(bool)
+    at = (sent.low[rows] + within)[gone]
+    n = len(chunk.body) + 1
+    return np.cumsum(np.bincount(at, minlength=n)[:n] - np.bincount(at + LENGTH, minlength=n)[:n])[:-1] > 0
 
 
-def _remove(keep_text: bool):
+def _remove(buckets: int, shards: int, keep_text: bool):
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("low", "piece", "least", "counts", "answers")}
-            for k, chunk in enumerate(Chunk.rows(batch)):
-                low, piece, counts = (np.frombuffer(columns[c][k], dtype="<u4").astype(np.int64) for c in ("low", "piece", "counts"))
-                least = np.unpackbits(np.frombuffer(columns["least"][k], dtype=np.uint8), count=len(low)).astype(bool)
-                bits = _answer_bits(columns["answers"][k] or [], counts)
-                gone = covered(chunk, low, piece, least, counts, bits)
-                yield _cut(chunk, gone, keep_text)
+            answers, found = batch.column("grams").to_pylist(), batch.column("answers").to_pylist()
+            for chunk, about, got in zip(Chunk.rows(batch), answers, found):
+                sent = Sent(chunk, about, buckets, shards)
+                yield _cut(chunk, covered(chunk, sent, _answer_bits(got or [], sent.counts)), keep_text)
 
     return over
 
@@ -351,16 +353,14 @@ def without_repeats(docs: DataFrame, keep_text: bool = False, size: int = CHUNK,
     total = chunks.rows.agg(F.sum(F.length("body"))).first()[0] or 0
     # One string in about thirteen is the first with its gram.
     buckets = max(partitions, int(total / 13 * 8 / BUCKET))
-    grams = chunks.rows.mapInArrow(_ask_grams(buckets), "chunk long, bucket int, keys binary, several binary")
-    counted = answered(grams, _count_grams(hot))
-    repeats = told(chunks.rows, counted)
+    asked = chunks.rows.mapInArrow(_ask_grams(buckets), "chunk long, bucket int, keys binary, several binary")
+    counted = durable(answered(asked, _count_grams(hot)))
     shards = max(4 * partitions, int(total / shard))
-    schema = f"chunk long, sent {SENT}, low binary, piece binary, least binary, counts binary"
-    sent = Bucketed(repeats.mapInArrow(_send_pieces(buckets, shards), schema), "chunk", partitions)
-    found = answered(sent.rows.select("chunk", F.inline("sent")), _sort_shard)
-    places = sent.rows.drop("sent").join(told(chunks.rows, found), "chunk")
-    result = durable(places.mapInArrow(_remove(keep_text), RESULT + (", kept binary" if keep_text else "")))
-    sent.drop()
+    schema = "chunk long, bucket int, pieces binary, ends binary, grams binary, docs binary"
+    pieces = told(chunks.rows, counted).mapInArrow(_send_pieces(buckets, shards), schema)
+    found = answered(pieces, _sort_shard)
+    both = told(told(chunks.rows, counted).withColumnRenamed("answers", "grams"), found)
+    result = durable(both.mapInArrow(_remove(buckets, shards, keep_text), RESULT + (", kept binary" if keep_text else "")))
     chunks.drop()
     return result
 
