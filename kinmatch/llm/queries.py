@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kinmatch.llm import (
+    alignment,
     bpe_dropout,
     clustering,
     exact_topk,
@@ -67,6 +68,10 @@ def op12_suffix_dedup(spark, sf_dir):
     return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark, sf_dir):
+    return alignment.aligned(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_preference_format": op1_preference_format,
     "op2_simhash_vptree": op2_simhash_vptree,
@@ -80,6 +85,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_centroid_drift": op11_centroid_drift,
     "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES = {
