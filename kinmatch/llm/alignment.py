@@ -9,8 +9,8 @@ ends of their two tokens: the one that ends first goes on, equal ends emit a cut
 lanes are taken out of the vectors.  A lane is a document, or ``LANE`` consecutive words of a long one, so that a single
 long text does not keep the vectors waiting.
 
-Words.  Before a space that follows another character than white space both tokenizers cut, so texts are encoded word
-by word, and a worker keeps the tokens of the words it has met.
+Words.  Before a space that follows another character than white space both tokenizers cut, so a chunk encodes each
+distinct word once.
 
 Counts.  A chunk of documents asks for the pairs that it holds, each once, with how many of its documents hold it; buckets add
 up (``chunks.answered``), so a pair in a third of all documents costs a row per chunk.  The highest count
@@ -29,6 +29,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,11 @@ from kinmatch.session import durable
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a chunk.
-CHARS = 2_000_000
+CHARS = 1_000_000
 #: Words of a lane.
 LANE = 256
 #: Links that are spread out at a time.
 LINKS = 2_000_000
-#: Words whose tokens a worker keeps.
-CACHE = 200_000
 #: Bytes of a count of documents.
 COUNT = 5
 
@@ -72,6 +71,10 @@ class Tokenizers:
 
     @cached_property
     def a(self):
+        import os
+
+        # Tasks share the cores already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_str(self.byte_file)
@@ -106,19 +109,44 @@ class Tokenizers:
 
         return [surface(i) for i in range(self.b.get_piece_size())]
 
-    def words(self, words: list[str]) -> list[tuple]:
-        """Of each word, which starts with a space: its A and B tokens and their sizes in bytes, or None if they do not spell it."""
+    def words(self, words: list[str]) -> tuple[Side, Side, np.ndarray]:
+        """A and B tokens of words, which start with a space, and which words both spell."""
         lead = len(self.b.encode("x"))
-        a_ids = [e.ids for e in self.a.encode_batch(words, add_special_tokens=False)]
-        b_ids = [ids[lead:] for ids in self.b.encode(["x" + w for w in words], num_threads=1)]
-        out = []
-        for word, a, b in zip(words, a_ids, b_ids):
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            raw = word.encode()
-            spelt = b"".join(x) == raw and b"".join(y) == raw
-            sides = ((a, x), (b, y))
-            out.append(tuple(np.array(v, dtype="<i4").tobytes() for ids, parts in sides for v in (ids, [len(p) for p in parts])) if spelt else None)
-        return out
+        a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
+        b = [ids[lead:] for ids in self.b.encode(["x" + w for w in words], num_threads=1)]
+        sides = Side(a, self.a_bytes), Side(b, self.b_bytes)
+        raw = [w.encode() for w in words]
+        return *sides, sides[0].spells(raw) & sides[1].spells(raw)
+
+
+class Side:
+    """Tokens of words: all ids, their sizes in bytes, and how many each word has."""
+
+    def __init__(self, ids: list[list[int]], surfaces: list[bytes]):
+        self.surfaces = surfaces
+        self.ids = np.fromiter(chain.from_iterable(ids), dtype=np.int64)
+        self.counts = np.array([len(x) for x in ids], dtype=np.int64)
+        self.sizes = np.array([len(x) for x in surfaces], dtype=np.int64)[self.ids]
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def spells(self, words: list[bytes]) -> np.ndarray:
+        """Which words the bytes of their tokens are equal to."""
+        total = np.concatenate([[0], np.cumsum(self.sizes)])
+        size = total[self.starts + self.counts] - total[self.starts]
+        same = size == np.array([len(w) for w in words], dtype=np.int64)
+        tokens = self.ids[np.repeat(same, self.counts)].tolist()
+        made = np.frombuffer(b"".join(map(self.surfaces.__getitem__, tokens)), dtype=np.uint8)
+        wanted = np.frombuffer(b"".join(w for w, ok in zip(words, same.tolist()) if ok), dtype=np.uint8)
+        of = np.flatnonzero(same)
+        same[of[np.searchsorted(np.cumsum(size[of]), np.flatnonzero(made != wanted), side="right")]] = False
+        return same
+
+    def stream(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of the words ``which``, the byte at which each ends, and each word's first token."""
+        times = self.counts[which]
+        first = np.cumsum(times) - times
+        at = np.repeat(self.starts[which] - first, times) + np.arange(times.sum())
+        return self.ids[at], np.cumsum(self.sizes[at]), first
 
 
 def merged(a_ends: np.ndarray, b_ends: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b_from: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -162,43 +190,29 @@ def links(groups: tuple[np.ndarray, ...], most: int = LINKS) -> Iterator[tuple[n
 class Aligned:
     """The tokens, groups and links of some texts."""
 
-    def __init__(self, tokenizers: Tokenizers, cache: dict, texts: list[str | None]):
+    def __init__(self, tokenizers: Tokenizers, texts: list[str | None]):
         words = [WORD.findall(" " + t) if t else [] for t in texts]
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in cache))
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(dict.fromkeys(w for ws in words for w in ws))
-        cache.update(zip(new, tokenizers.words(new) if new else []))
-        number: dict[str, int] = {}
-        spelt = np.array([bool(ws) and all(cache[w] is not None for w in ws) for ws in words], dtype=bool)
-        self.words = np.array([len(ws) if ok else 0 for ws, ok in zip(words, spelt)], dtype=np.int64)
-        which = np.array([number.setdefault(w, len(number)) for ws, ok in zip(words, spelt) if ok for w in ws], dtype=np.int64)
-        known = [cache[w] for w in number]
+        each = pa.array(list(chain.from_iterable(words)), pa.string()).dictionary_encode()
+        which = each.indices.to_numpy().astype(np.int64)
+        a, b, spelt = tokenizers.words(each.dictionary.to_pylist())
         n = len(texts)
-        self.a, a_ends, a_first = self._stream([k[0] for k in known], [k[1] for k in known], which)
-        self.b, b_ends, b_first = self._stream([k[2] for k in known], [k[3] for k in known], which)
+        counts = np.array([len(ws) for ws in words], dtype=np.int64)
+        # A text with a word that is not spelt has no tokens.
+        bad = np.zeros(n, dtype=bool)
+        bad[np.repeat(np.arange(n), counts)[~spelt[which]]] = True
+        which = which[np.repeat(~bad, counts)]
+        counts[bad] = 0
+        self.a, a_ends, a_first = a.stream(which)
+        self.b, b_ends, b_first = b.stream(which)
         # Lanes start with a document and after every so many words of it.
-        place = np.arange(len(which)) - np.repeat(np.cumsum(self.words) - self.words, self.words)
-        lane = np.flatnonzero(place % LANE == 0)
+        lane = np.flatnonzero((np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)) % LANE == 0)
         self.groups = merged(a_ends, b_ends, a_first[lane], np.append(a_first[lane[1:]], len(self.a)), b_first[lane])
-        bounds = np.cumsum(np.concatenate([[0], self.words]))
+        bounds = np.cumsum(np.concatenate([[0], counts]))
         a_bounds, b_bounds = np.append(a_first, len(self.a))[bounds], np.append(b_first, len(self.b))[bounds]
         self.n_a, self.n_b = np.diff(a_bounds), np.diff(b_bounds)
         self.group_bounds = np.searchsorted(self.groups[0], a_bounds)
         self.doc_of_a = np.repeat(np.arange(n), self.n_a)
 
-    @staticmethod
-    def _stream(ids: list[bytes], sizes: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of the words ``which``, the byte at which each ends, and each word's first token."""
-        flat = np.frombuffer(b"".join(ids), dtype="<i4").astype(np.int64)
-        size = np.frombuffer(b"".join(sizes), dtype="<i4").astype(np.int64)
-        counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        start = np.cumsum(counts) - counts
-        times = counts[which]
-        first = np.cumsum(times) - times
-        at = np.repeat(start[which] - first, times) + np.arange(times.sum())
-        return flat[at], np.cumsum(size[at]), first
-
     def pairs(self, b_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, pair and number of links, in this order, of each pair that a document holds."""
         bits = np.uint64(b_bits + max(1, int(self.a.max(initial=0)).bit_length()))
@@ -237,7 +251,7 @@ def _key_bytes(bits: int) -> int:
     return -(-bits // 8)
 
 
-#: Tokens of words by the files of the tokenizers, kept as long as a worker lives.
+#: Tokenizers by their files, kept as long as a worker lives.
 _worker: dict = {}
 
 
@@ -247,11 +261,11 @@ def _encode(shared, b_bits: int, width: int):
         name = (hash(tokenizers.byte_file), hash(tokenizers.piece_file))
         if name not in _worker:
             _worker.clear()
-            _worker[name] = (tokenizers, {})
-        tokenizers, cache = _worker[name]
+            _worker[name] = tokenizers
+        tokenizers = _worker[name]
         shown = [np.array([f"{i}{e}" for e in ends for i in range(n)], dtype=object) for n, ends in ((len(tokenizers.a_bytes), ",|"), (len(tokenizers.b_bytes), ",;"))]
         for part in slices(batches, "text", CHARS):
-            got = Aligned(tokenizers, cache, part.column("text").to_pylist())
+            got = Aligned(tokenizers, part.column("text").to_pylist())
             doc, pair, times = got.pairs(b_bits)
             distinct, which = np.unique(pair, return_inverse=True)
             group_links = np.concatenate([[0], np.cumsum((got.groups[1] - got.groups[0]) * (got.groups[3] - got.groups[2]))])

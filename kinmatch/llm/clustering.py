@@ -50,6 +50,8 @@ SIZE = 64
 CLUSTERS = 8
 ROUNDS = 10
 SEED = 3
+#: Groups in which the sums of tasks are added up before they meet.
+SALTS = 64
 #: The largest magnitude of a component: differences of whole components then stay below 2^28.
 MOST = 131072.0
 EXACT_FLOAT = 2.0**53
@@ -140,11 +142,14 @@ STATE = "row long, vec_id long, cluster int, upper double, lower double, distanc
 
 
 def _kernel(step, size):
-    """A round over Arrow batches; the first row of each batch carries its sums, counts, scans and radii."""
+    """A round over Arrow batches; one row of each task carries its sums, counts, number of scans and radii."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         todo = step.value
         k = len(todo.centres)
+        sums = np.zeros((k, size + 2), dtype=np.int64)
+        reach = np.full(k, -1.0)
+        held = None
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -155,35 +160,53 @@ def _kernel(step, size):
             else:
                 was, up, low = np.full(n, -1), np.zeros(n), np.zeros(n)
             now, up, low, distance, scanned = todo.assign(x, np.asarray(was).astype(np.int64), up, low)
-            sums = np.zeros((k, size + 2), dtype=np.int64)
-            reach = np.full(k, -1.0)
             for c in range(k):
                 into, out = (now == c) & (was != c), (was == c) & (now != c)
-                sums[c, :size] = x[into].sum(0) - x[out].sum(0)
-                sums[c, size] = into.sum() - out.sum()
-                reach[c] = up[now == c].max(initial=-1.0)
-            sums[0, size + 1] = len(scanned)
-            first = pa.array(np.arange(n) > 0)
-            lists = []
-            for values, kind in ((sums.reshape(-1), pa.int64()), (np.repeat(reach, size + 2), pa.float64())):
-                ends = np.concatenate([[0], np.full(n, len(values))]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind), mask=first))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    batch.column("vec_id"),
-                    pa.array(now.astype(np.int32)),
-                    pa.array(up),
-                    pa.array(low),
-                    pa.nulls(n, pa.int64()) if distance is None else pa.array(distance),
-                    *lists,
-                ],
-                ["row", "vec_id", "cluster", "upper", "lower", "distance", "moved", "reach"],
-            )
+                sums[c, :size] += x[into].sum(0) - x[out].sum(0)
+                sums[c, size] += into.sum() - out.sum()
+                reach[c] = max(reach[c], up[now == c].max(initial=-1.0))
+            sums[0, size + 1] += len(scanned)
+            if held:
+                yield _state(held, None)
+            held = [
+                batch.column("row"),
+                batch.column("vec_id"),
+                pa.array(now.astype(np.int32)),
+                pa.array(up),
+                pa.array(low),
+                pa.nulls(n, pa.int64()) if distance is None else pa.array(distance),
+            ]
+        if held:
+            yield _state(held, (sums, reach))
 
     return run
 
 
+def _state(columns: list, totals: tuple | None) -> pa.RecordBatch:
+    """State rows; the first carries the totals, if there are any."""
+    n = len(columns[0])
+    lists = []
+    for values, kind in zip(totals or (None, None), (pa.int64(), pa.float64())):
+        first = [None if values is None else values.reshape(-1).tolist()]
+        lists.append(pa.concat_arrays([pa.array(first, pa.list_(kind)), pa.nulls(n - 1, pa.list_(kind))]))
+    return pa.RecordBatch.from_arrays([*columns, *lists], ["row", "vec_id", "cluster", "upper", "lower", "distance", "moved", "reach"])
+
+
+def _totals(state: DataFrame, k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of what the tasks' rows carry, and the largest radii; ``SALTS`` groups are added up by themselves first."""
+
+    def add(table: pa.Table) -> pa.Table:
+        moved = np.array(table.column("moved").to_pylist(), dtype=object).sum(0)
+        reach = np.array(table.column("reach").to_pylist(), dtype=np.float64).max(0)
+        return pa.table({"moved": pa.array([moved.tolist()], pa.list_(pa.int64())), "reach": pa.array([reach.tolist()], pa.list_(pa.float64()))})
+
+    parts = state.filter("moved IS NOT NULL").select("moved", "reach", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+    moved, reach = np.zeros(k * (size + 2), dtype=object), np.full(k, -1.0)
+    for r in parts.groupBy("salt").applyInArrow(add, "moved array<long>, reach array<double>").collect():
+        moved, reach = moved + np.array(r["moved"], dtype=object), np.maximum(reach, r["reach"])
+    return moved.reshape(k, size + 2), reach
+
+
 @dataclass
 class Clusters:
     """Vectors with their cluster and exact squared distance, the final centroids, and how many vectors each round compared with all of them."""
@@ -224,13 +247,8 @@ def cluster(rows: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, seed: int
         if state is not None:
             state.drop()
         state = new
-        parts = state.rows.filter("moved IS NOT NULL").select(F.posexplode(F.arrays_zip("moved", "reach")).alias("at", "part"))
-        found = parts.groupBy("at").agg(F.sum("part.moved").alias("moved"), F.max("part.reach").alias("reach")).collect()
+        moved, radius = _totals(state.rows, k, size)
         step.unpersist()
-        moved, radius = np.zeros(k * (size + 2), dtype=object), np.zeros(k * (size + 2))
-        for r in found:
-            moved[r["at"]], radius[r["at"]] = r["moved"], r["reach"]
-        moved = moved.reshape(k, size + 2)
         scanned.append(int(moved[0, size + 1]))
         if last:
             break
@@ -238,7 +256,7 @@ def cluster(rows: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, seed: int
         before = centres
         centres = np.array([[s // c[-1] for s in c[:-1]] if c[-1] else old for c, old in zip(sums.tolist(), before.tolist())], dtype=np.int64)
         drift = np.sqrt(((centres - before) ** 2).sum(1).astype(np.float64))
-        loose = loosening(before, centres, radius.reshape(k, size + 2)[:, 0])
+        loose = loosening(before, centres, radius)
         still = not drift.any()
     members = durable(state.rows.select("vec_id", "cluster", "distance"))
     state.drop()

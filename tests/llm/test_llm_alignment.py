@@ -62,7 +62,7 @@ def wanted(ids, texts):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("chars", "lane"), [(2_000_000, 256), (400, 3)])
+@pytest.mark.parametrize(("chars", "lane"), [(1_000_000, 256), (400, 3)])
 def test_rows_are_those_of_a_plain_walk(spark, monkeypatch, chars, lane):
     texts = odd_texts()
     ids = [None if k % 9 == 8 else 7 if k % 10 == 0 else k for k in range(len(texts))]
@@ -71,7 +71,7 @@ def test_rows_are_those_of_a_plain_walk(spark, monkeypatch, chars, lane):
         # Tasks run elsewhere: lanes and chunks of another size are tried here.
         monkeypatch.setattr(alignment, "LANE", lane)
         monkeypatch.setattr(alignment, "LINKS", 50)
-        got = alignment.Aligned(alignment.Tokenizers.load(), {}, texts)
+        got = alignment.Aligned(alignment.Tokenizers.load(), texts)
         flat = [(got.a[p:q].tolist(), got.b[r:s].tolist()) for p, q, r, s in zip(*got.groups)]
         assert [flat[s:e] for s, e in zip(got.group_bounds, got.group_bounds[1:])] == plain(texts)
         doc, pair, times = got.pairs(15)
