@@ -48,6 +48,8 @@ DROPOUT = 0.1
 VARIANTS = 1 << 64
 #: Stretches longer than this go through the agenda one by one.
 WIDEST = 64
+#: Stretches up to each of these lengths are encoded together.
+WIDTHS = np.array([4, 6, 8, 10, 12, 16, 24, 32, WIDEST])
 #: Draws of a stretch that are looked up together; what takes more is encoded anew.
 DRAWS = 64
 #: Stretches and draws that a worker keeps.
@@ -105,6 +107,14 @@ class Pieces:
         space = out.pop(SPACE_MARK, None)
         return out if space is None else {**out, " ": space}
 
+    @cached_property
+    def symbol_table(self) -> np.ndarray:
+        """The symbol of each code point."""
+        out = np.full(0x110000, self.unknown, dtype=np.int32)
+        for c, symbol in self.symbols.items():
+            out[ord(c)] = symbol
+        return out
+
     @cached_property
     def unknown(self) -> int:
         """The symbol of characters in no piece; it is above all others and never joined."""
@@ -210,8 +220,7 @@ class Pieces:
         sizes = np.array([len(t) for t in texts])
         rows = np.repeat(np.arange(n), sizes)
         cols = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        look = self.symbols.get
-        symbols[rows, cols] = [look(c, self.unknown) for c in "".join(texts)]
+        symbols[rows, cols] = self.symbol_table[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         alive = np.zeros((n, width), dtype=bool)
         alive[rows, cols] = True
         after = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
@@ -234,7 +243,7 @@ class Pieces:
         steps = np.zeros(n, dtype=np.int64)
         step = -1
         while len(active):
-            best = rank[active].argmin(1)
+            best = rank[active].argmin(1) if len(active) < n else rank.argmin(1)
             going = rank[active, best] < NONE
             active, best = active[going], best[going]
             if not len(active):
@@ -300,11 +309,11 @@ class Encoder:
         """Ids of each stretch, and how many candidates came up (above ``DRAWS`` for a very long one)."""
         out: list[bytes] = [b""] * len(texts)
         steps = [DRAWS + 1] * len(texts)
-        groups: dict[int, list[int]] = {}
-        for k, s in enumerate(texts):
-            groups.setdefault(next((w for w in (8, 12, 16, 32, WIDEST) if len(s) <= w), 0), []).append(k)
-        for width, places in groups.items():
-            if width:
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        group = np.searchsorted(WIDTHS, sizes)
+        for g in np.unique(group).tolist():
+            places = np.flatnonzero(group == g).tolist()
+            if g < len(WIDTHS):
                 for k, got, n in zip(places, *self.pieces.stepped([texts[k] for k in places], keys[places], rate)):
                     out[k], steps[k] = got, n
             else:
@@ -328,8 +337,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None], variants: list[int]) -> list[bytes | None]:
         """Ids of each text as 32-bit numbers; ``variants`` has a key of 64 bits for each text."""
-        if self.held > CACHE:
+        if len(self.plain) > CACHE // 2:
             self.__init__(self.pieces, self.seed, self.rate)
+        elif self.held > CACHE:
+            # What was drawn goes; stretches without a drop are what most places need.
+            self.drawn = [{} for _ in self.plain]
+            self.sizes = [[] for _ in self.plain]
+            self.held = len(self.plain)
         lead = " " if self.pieces.prefix else ""
         find = self.pieces.stretch.findall
         cut = [find(lead + t) if t else [] for t in texts]
@@ -366,8 +380,15 @@ class Encoder:
                 going = going[(steps[going] > step) & ~dropped[going]]
         at = np.flatnonzero(dropped)
         draws = np.zeros(len(at), dtype=np.uint64)
-        for step in range(DRAWS if len(at) else 0):
-            draws |= skipped(keys[at], step, self.rate).astype(np.uint64) << np.uint64(step)
+        # Each merge offers at most two candidates more, so a short stretch cannot take many draws.
+        most = np.minimum(DRAWS, 3 * (np.fromiter((len(flat[k]) for k in at.tolist()), dtype=np.int64, count=len(at)) - 1))
+        order = np.argsort(-most, kind="stable")
+        longest, counts = at[order], np.searchsorted(-most[order], -np.arange(DRAWS))
+        for step in range(DRAWS):
+            n = counts[step]
+            if not n:
+                break
+            draws[order[:n]] |= skipped(keys[longest[:n]], step, self.rate).astype(np.uint64) << np.uint64(step)
         left = []
         for k, n, bits in zip(at.tolist(), number[at].tolist(), draws.tolist()):
             known = self.drawn[n]
@@ -401,6 +422,18 @@ class Encoder:
             out[k] = ids
 
 
+#: The encoder of each model, seed and rate, kept as long as a worker lives.
+_worker: dict = {}
+
+
+def _encoder(pieces: Pieces, seed: int, rate: float) -> Encoder:
+    name = (zlib.crc32("\n".join(pieces.pieces).encode()), len(pieces.pieces), pieces.prefix, hash(tuple(pieces.scores)), seed, rate)
+    if name not in _worker:
+        _worker.clear()
+        _worker[name] = Encoder(pieces, seed, rate)
+    return _worker[name]
+
+
 def _list_array(encoded: list[bytes | None]) -> pa.Array:
     sizes = np.array([0 if e is None else len(e) // 4 for e in encoded], dtype=np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -431,7 +464,7 @@ def encode(
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        encoder = Encoder(shared.value, seed, rate)
+        encoder = _encoder(shared.value, seed, rate)
         for part in slices(batches, text):
             own = ["" if i is None else str(i) for i in part.column(doc_id).to_pylist()]
             times = part.column(copy).to_pylist() if copy else [1] * len(own)
