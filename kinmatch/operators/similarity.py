@@ -112,17 +112,19 @@ def query_set(
     return QuerySet(rows if size == 1 else durable(rows), weights, size)
 
 
-def _batch_kernel(matrices, rule, scores, cells=CELLS):
+def _batch_kernel(matrices, new_rule, scores, cells=CELLS):
     """An Arrow batch function that scores each corpus row with its field's queries.
 
-    ``rule`` picks rows and queries and gives one array of values per name in
-    ``scores``.  ``cells`` bounds the pairs that are held at a time.
+    ``new_rule`` makes the rule of a task, which picks rows and queries and gives one array of values
+    per name in ``scores``.  ``cells`` bounds the pairs that are held at a time.
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        rule = new_rule()
+
         def emit(companies, rows, ids, name, values):
             return pa.RecordBatch.from_arrays(
                 [
@@ -194,27 +196,66 @@ def _pair_rule(rows, fits, block, matrix):
     return np.repeat(rows, len(matrix)), np.tile(np.arange(len(matrix)), len(rows)), [cosines.ravel()]
 
 
-def _near(block, matrix, k):
-    """Pairs that can be among the ``k`` nearest of a query, and their exact distances."""
+class _Smallest:
+    """The ``k`` smallest distances that a task has seen so far, for each query of a matrix."""
+
+    def __init__(self, width: int, k: int):
+        import numpy as np
+
+        self.k = k
+        self.seen = np.full((0, width), np.inf)
+
+    @property
+    def last(self):
+        """The ``k``-th smallest distance of each query, infinite while fewer are known."""
+        import numpy as np
+
+        return self.seen.max(axis=0) if len(self.seen) == self.k else np.full(self.seen.shape[1], np.inf)
+
+    def near(self, block, matrix):
+        """Pairs that can be among the ``k`` nearest, and their exact distances."""
+        import numpy as np
+
+        at, queries, exact = _within(block, matrix, self.last)
+        found = np.full((len(block), len(matrix)), np.inf)
+        found[at, queries] = exact
+        every = np.concatenate([self.seen, found])
+        self.seen = np.partition(every, self.k - 1, axis=0)[: self.k] if len(every) > self.k else every
+        kept = exact <= self.last[queries]
+        return at[kept], queries[kept], exact[kept]
+
+
+def _within(block, matrix, most):
+    """Pairs at most ``most`` (one value per query) apart, and their exact distances."""
     import numpy as np
 
     squares = (block * block).sum(axis=1)[:, None] + (matrix * matrix).sum(axis=1)[None, :]
-    rough = squares - 2 * (block @ matrix.T)
-    cut = np.full(len(matrix), np.inf)
-    if len(block) > k:
-        cut = np.partition(rough, k - 1, axis=0)[k - 1] + 1e-6 * (1 + squares.max(axis=0))
     # The product form only pre-selects; survivors get the exact distance.
-    at, queries = np.nonzero(rough <= cut[None, :])
-    return at, queries, np.round(np.sqrt(((block[at] - matrix[queries]) ** 2).sum(axis=1)), 12)
+    near = squares - 2 * (block @ matrix.T) <= (most * most)[None, :] * (1 + 1e-9) + 1e-6 * (1 + squares)
+    queries, at = np.nonzero(near.T)
+    exact = np.empty(len(at))
+    ends = np.cumsum(near.sum(axis=0))
+    for q, end in enumerate(ends.tolist()):
+        start = int(ends[q - 1]) if q else 0
+        if end > start:
+            apart = (block if end - start == len(block) else block[at[start:end]]) - matrix[q]
+            exact[start:end] = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+    exact = np.round(exact, 12)
+    kept = exact <= most[queries]
+    return at[kept], queries[kept], exact[kept]
 
 
 def _nearest_rule(k):
+    """A rule for one task: what cannot be among the ``k`` nearest of what the task has seen stays in it."""
+    known: dict = {}
+
     def rule(rows, fits, block, matrix):
         import numpy as np
 
         if not len(fits):
             return fits, fits, [np.zeros(0)]
-        at, queries, exact = _near(block, matrix, k)
+        smallest = known.setdefault(id(matrix), _Smallest(len(matrix), k))
+        at, queries, exact = smallest.near(block, matrix)
         return fits[at], queries, [exact]
 
     return rule
@@ -226,7 +267,7 @@ def field_similarities(vectors: DataFrame, queries: QuerySet) -> DataFrame:
 
     def over(block: Block) -> DataFrame:
         return corpus.filter(F.col("field_name").isin(sorted(block.matrices))).mapInArrow(
-            _batch_kernel(block.matrices, _pair_rule, ["similarity"]),
+            _batch_kernel(block.matrices, lambda: _pair_rule, ["similarity"]),
             "query_id string, company_id string, field_name string, similarity double",
         )
 
@@ -239,14 +280,14 @@ def nearest_per_field(
     """The ``k`` nearest companies by distance for each query and field.
 
     ``min_similarity`` is an opt-in cut on the similarity implied by the distance.
-    Each batch first keeps its own ``k`` nearest, which can only drop rows that
+    A task hands on only what is among the ``k`` nearest of all it has seen so far, which can only drop rows that
     could not be among the ``k`` nearest of the whole corpus.
     """
     corpus = vectors.select("company_id", "field_name", "embedding")
 
     def over(block: Block) -> DataFrame:
         near = corpus.filter(F.col("field_name").isin(sorted(block.matrices))).mapInArrow(
-            _batch_kernel(block.matrices, _nearest_rule(k), ["distance"]),
+            _batch_kernel(block.matrices, lambda: _nearest_rule(k), ["distance"]),
             "query_id string, company_id string, field_name string, distance double",
         )
         return rank_by_distance(near, k, min_similarity)
@@ -280,18 +321,16 @@ class _Scorer:
         self.groups = {
             f: [(np.array([place[q] for q in ids]), matrix) for ids, matrix in block.matrices.get(f, [])] for f in self.weights
         }
-        self.has = {f: {int(q) for places, _ in groups for q in places} for f, groups in self.groups.items()}
+        self.lacks = {f: np.ones(len(block.ids), dtype=bool) for f in self.weights}
+        for f, groups in self.groups.items():
+            for places, _ in groups:
+                self.lacks[f][places] = False
 
-    def row(self, similarities, i: int, q: int) -> list:
-        """Similarities by field of a company and a query, null for fields that the query lacks."""
-        return [float(v[i, q]) if q in self.has[f] else None for f, v in similarities.items()]
-
-    def slices(self, batch, cells=None):
-        """Companies of a batch, their similarities and totals, and their vectors by field and query group."""
+    def _parts(self, batch, cells=None):
+        """Slices of a batch: its first company, how many there are, and per field and query group which have a vector, and the vectors."""
         import numpy as np
         import pyarrow.compute as pc
 
-        names_of = batch.column("company_id")
         lists = batch.column("fields")
         sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         entries = lists.flatten()
@@ -308,44 +347,66 @@ class _Scorer:
         for first in range(0, len(sizes), step):
             count = min(step, len(sizes) - first)
             here = np.flatnonzero((owner >= first) & (owner < first + count))
-            total = np.zeros((count, len(self.ids)))
-            similarities, blocks = {}, []
-            for f, weight in self.weights.items():
+            blocks = []
+            for f in self.weights:
                 own = here[names[here] == f]
                 # The last of several vectors of a field counts.
                 own = own[np.append(owner[own][1:] != owner[own][:-1], True)] if len(own) else own
-                values = np.zeros((count, len(self.ids)))
                 for queries, matrix in self.groups[f]:
                     fits = own[usable[own] == matrix.shape[1]]
-                    if not len(fits):
-                        continue
-                    vectors = flat[starts[fits][:, None] + np.arange(matrix.shape[1])[None, :]].astype(np.float64)
-                    values[np.ix_(owner[fits] - first, queries)] = _cosines(vectors, matrix)
-                    blocks.append((f, owner[fits] - first, queries, vectors, matrix))
-                similarities[f] = values
-                total = total + values * weight
+                    if len(fits):
+                        vectors = flat[starts[fits][:, None] + np.arange(matrix.shape[1])[None, :]].astype(np.float64)
+                        blocks.append((f, owner[fits] - first, queries, vectors, matrix))
+            yield first, count, blocks
+
+    def vectors(self, batch):
+        """Field, queries, vectors and query matrix of all slices."""
+        for _, _, blocks in self._parts(batch):
+            for f, _, queries, vectors, matrix in blocks:
+                yield f, queries, vectors, matrix
+
+    def slices(self, batch, cells=None):
+        """Companies of a batch, their similarities and totals, and their vectors by field and query group."""
+        import numpy as np
+
+        names_of = batch.column("company_id")
+        for first, count, blocks in self._parts(batch, cells):
+            similarities = {f: np.zeros((count, len(self.ids))) for f in self.weights}
+            for f, own, queries, vectors, matrix in blocks:
+                similarities[f][np.ix_(own, queries)] = _cosines(vectors, matrix)
+            total = np.zeros((count, len(self.ids)))
+            for f, weight in self.weights.items():
+                total = total + similarities[f] * weight
             yield names_of.slice(first, count).to_pylist(), similarities, total, blocks
 
 
 _SCORED = "query_id string, company_id string, total_score double, similarities array<double>"
 
 
-def _scored(pairs, scorer, extra=None):
-    """An Arrow batch of ``(query place, company, total, similarities, ...)``."""
+def _similarity_lists(scorer, similarities, rows, queries):
+    """Similarities by field of companies ``rows`` and ``queries`` as an Arrow list column, null for fields that a query lacks."""
+    import numpy as np
     import pyarrow as pa
 
-    columns = list(zip(*pairs))
-    arrays = [
-        pa.array([scorer.ids[q] for q in columns[0]], pa.string()),
-        pa.array(columns[1], pa.string()),
-        pa.array(columns[2], pa.float64()),
-        pa.array(columns[3], pa.list_(pa.float64())),
-    ]
-    names = ["query_id", "company_id", "total_score", "similarities"]
-    if extra is not None:
-        arrays.append(pa.array(columns[4], extra))
-        names.append("near")
-    return pa.RecordBatch.from_arrays(arrays, names)
+    fields = list(similarities)
+    values = np.stack([similarities[f][rows, queries] for f in fields], axis=1) if fields else np.zeros((len(rows), 0))
+    lacks = np.stack([scorer.lacks[f][queries] for f in fields], axis=1) if fields else np.zeros((len(rows), 0), dtype=bool)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * len(fields)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1), mask=lacks.reshape(-1)))
+
+
+def _scored(scorer, companies, similarities, total, rows, queries, **more):
+    """An Arrow batch of the pairs of ``rows`` and ``queries``."""
+    import pyarrow as pa
+
+    columns = {
+        "query_id": pa.array(scorer.ids, pa.string()).take(pa.array(queries)),
+        "company_id": pa.array(companies, pa.string()).take(pa.array(rows)),
+        "total_score": pa.array(total[rows, queries]),
+        "similarities": _similarity_lists(scorer, similarities, rows, queries),
+        **more,
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def every_score(corpus: DataFrame, queries: QuerySet) -> DataFrame:
@@ -355,22 +416,72 @@ def every_score(corpus: DataFrame, queries: QuerySet) -> DataFrame:
 
     def over(block: Block) -> DataFrame:
         def run(batches):
+            import numpy as np
+
             scorer = _Scorer(block, weights)
+            n = len(scorer.ids)
             for batch in batches:
                 for companies, similarities, total, _ in scorer.slices(batch):
-                    pairs = [
-                        (q, c, float(total[i, q]), scorer.row(similarities, i, q))
-                        for i, c in enumerate(companies)
-                        for q in range(len(scorer.ids))
-                    ]
-                    if pairs:
-                        yield _scored(pairs, scorer)
+                    rows = np.repeat(np.arange(len(companies)), n)
+                    if len(rows):
+                        yield _scored(scorer, companies, similarities, total, rows, np.tile(np.arange(n), len(companies)))
 
         return profiles(corpus).mapInArrow(run, _SCORED)
 
     return _shown(queries.scan(over), queries)
 
 
+class _Best:
+    """The ``n`` best companies of each query that a task has seen; equal totals are ordered by company."""
+
+    def __init__(self, scorer, n: int):
+        import numpy as np
+
+        self.scorer, self.n = scorer, n
+        self.least = np.full(len(scorer.ids), -np.inf)
+        self.held, self.rows = [], 0
+
+    def add(self, companies, similarities, total, allowed) -> None:
+        """Look at a slice of companies; ``allowed`` marks the pairs that count."""
+        import numpy as np
+
+        shown = np.where(allowed, total, -np.inf)
+        cut = np.partition(shown, -self.n, axis=0)[-self.n] if len(shown) > self.n else np.full(len(self.least), -np.inf)
+        rows, queries = np.nonzero((shown >= np.maximum(cut, self.least)[None, :]) & allowed)
+        if not len(rows):
+            return
+        self.held.append(_scored(self.scorer, companies, similarities, total, rows, queries, place=_ints(queries)))
+        self.rows += len(rows)
+        if self.rows > 4 * self.n * len(self.least) + 10_000:
+            self.cut()
+
+    def cut(self) -> None:
+        """Drop all but the ``n`` best of each query."""
+        import numpy as np
+        import pyarrow as pa
+
+        if not self.held:
+            return
+        table = pa.Table.from_batches(self.held).sort_by([("place", "ascending"), ("total_score", "descending"), ("company_id", "ascending")])
+        place = table.column("place").to_numpy()
+        nth = np.arange(len(place)) - np.searchsorted(place, place)
+        last = nth == self.n - 1
+        self.least[place[last]] = table.column("total_score").to_numpy()[last]
+        table = table.filter(pa.array(nth < self.n)).combine_chunks()
+        self.held, self.rows = table.to_batches(), table.num_rows
+
+    def batches(self):
+        self.cut()
+        for batch in self.held:
+            yield batch.drop_columns(["place"])
+
+
+def _ints(values):
+    import pyarrow as pa
+
+    return pa.array(values, pa.int64())
+
+
 def best_scores(corpus: DataFrame, queries: QuerySet, n: int, exclude_self: bool) -> DataFrame:
     """Each task's ``n`` best companies of every query: all that can be among the ``n`` best of the corpus."""
 
@@ -381,78 +492,135 @@ def best_scores(corpus: DataFrame, queries: QuerySet, n: int, exclude_self: bool
             import numpy as np
 
             scorer = _Scorer(block, weights)
-            kept: list[list] = [[] for _ in scorer.ids]
-            least = np.full(len(scorer.ids), -np.inf)
+            best = _Best(scorer, n)
+            place = {q: i for i, q in enumerate(scorer.ids)}
             for batch in batches:
                 for companies, similarities, total, _ in scorer.slices(batch):
-                    if exclude_self:
-                        place = {q: i for i, q in enumerate(scorer.ids)}
-                        for i, c in enumerate(companies):
-                            if c in place:
-                                total[i, place[c]] = -np.inf
-                    cut = np.partition(total, -n, axis=0)[-n] if len(total) > n else np.full(len(least), -np.inf)
-                    rows, cols = np.nonzero((total >= np.maximum(cut, least)[None, :]) & (total > -np.inf))
-                    for q in np.unique(cols).tolist():
-                        new = [(-float(total[i, q]), companies[i], scorer.row(similarities, i, q)) for i in rows[cols == q]]
-                        kept[q] = sorted(kept[q] + new, key=lambda r: r[:2])[:n]
-                        if len(kept[q]) == n:
-                            least[q] = -kept[q][-1][0]
-            for q, found in enumerate(kept):
-                if found:
-                    yield _scored([(q, c, -t, s) for t, c, s in found], scorer)
+                    allowed = np.ones(total.shape, dtype=bool)
+                    for i, c in enumerate(companies) if exclude_self else ():
+                        if c in place:
+                            allowed[i, place[c]] = False
+                    best.add(companies, similarities, total, allowed)
+            yield from best.batches()
 
         return profiles(corpus).mapInArrow(run, _SCORED)
 
     return _shown(queries.scan(over), queries)
 
 
-def near_scores(corpus: DataFrame, queries: QuerySet, k: int, min_similarity: float | None) -> DataFrame:
+def _kth_distances(corpus: DataFrame, block: Block, weights: Mapping[str, float], k: int) -> dict:
+    """The ``k``-th smallest distance of every query of a block, by field, and how many are smaller.
+
+    A task gives its ``k`` smallest distances per query and field as one array; arrays are merged by query
+    and field.  The result is as small as the block.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        scorer = _Scorer(block, weights)
+        known: dict = {}
+        for batch in batches:
+            for f, places, vectors, matrix in scorer.vectors(batch):
+                smallest = known.setdefault((f, tuple(places.tolist())), _Smallest(len(places), k))
+                smallest.near(vectors, matrix)
+        for (f, places), smallest in known.items():
+            seen = np.sort(smallest.seen, axis=0)
+            rows = [seen[np.isfinite(seen[:, i]), i].tobytes() for i in range(len(places))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f] * len(places)), pa.array(places, pa.int32()), pa.array(rows, pa.binary())], ["field_name", "place", "distances"]
+            )
+
+    def merge(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict = {}
+        for batch in batches:
+            for key, raw in zip(zip(*(batch.column(c).to_pylist() for c in ("field_name", "place"))), batch.column("distances").to_pylist()):
+                both = np.concatenate([held.get(key, np.zeros(0)), np.frombuffer(raw, dtype=np.float64)])
+                held[key] = np.partition(both, k - 1)[:k] if len(both) > k else both
+        lasts = [float(v.max()) if len(v) == k else float("inf") for v in held.values()]
+        columns = [
+            pa.array([f for f, _ in held], pa.string()),
+            pa.array([q for _, q in held], pa.int32()),
+            pa.array(lasts, pa.float64()),
+            pa.array([int((v < last).sum()) for v, last in zip(held.values(), lasts)], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["field_name", "place", "last", "nearer"])
+
+    parts = corpus.mapInArrow(run, "field_name string, place int, distances binary").repartition("field_name", "place")
+    merged = parts.mapInArrow(merge, "field_name string, place int, last double, nearer long")
+    return {(r["field_name"], r["place"]): (r["last"], r["nearer"]) for r in merged.collect()}
+
+
+def near_scores(
+    corpus: DataFrame, queries: QuerySet, k: int, min_similarity: float | None, n: int | None = None
+) -> DataFrame:
     """Scores of the companies that are among the ``k`` nearest of a query by one of its fields.
 
-    Each task gives its own ``k`` nearest per query and field, which have all their
-    similarities with them, so one scan does both stages.
+    A first scan finds the ``k``-th distance of every query and field, one number each.  A second one scores what is
+    nearer; only companies at exactly that distance have to be ranked, by id.  With ``n`` a task
+    hands on its ``n`` best per query and those at the edge.
     """
 
     weights = queries.weights
+    rows = profiles(corpus)
+    rows = rows if rows is corpus else durable(rows)
+    least = None if min_similarity is None else float(min_similarity)
 
     def over(block: Block) -> DataFrame:
+        last = _kth_distances(rows, block, weights, k)
+
         def run(batches):
+            import numpy as np
             import pyarrow as pa
 
             scorer = _Scorer(block, weights)
-            kept: dict = {}
+            most = {f: np.array([last.get((f, q), (np.inf, 0))[0] for q in range(len(scorer.ids))]) for f in scorer.weights}
+            best = _Best(scorer, n) if n else None
+            nothing = pa.list_(pa.string())
             for batch in batches:
                 for companies, similarities, total, blocks in scorer.slices(batch):
-                    new: dict = {}
-                    for f, rows, places, vectors, matrix in blocks:
-                        at, cols, distances = _near(vectors, matrix, k)
-                        for i, q, d in zip(rows[at].tolist(), places[cols].tolist(), distances.tolist()):
-                            new.setdefault((f, q), []).append((d, companies[i], i))
-                    for key, found in new.items():
-                        q = key[1]
-                        have = kept.get(key, [])
-                        last = have[-1][:2] if len(have) == k else None
-                        rows = [
-                            (d, c, float(total[i, q]), scorer.row(similarities, i, q))
-                            for d, c, i in found
-                            if last is None or (d, c) <= last
-                        ]
-                        kept[key] = sorted(have + rows, key=lambda r: r[:2])[:k]
-            merged: dict = {}
-            for (f, q), found in kept.items():
-                for d, c, t, s in found:
-                    merged.setdefault((q, c), (q, c, t, s, []))[4].append({"field_name": f, "distance": d})
-            rows = list(merged.values())
-            near = pa.list_(pa.struct([("field_name", pa.string()), ("distance", pa.float64())]))
-            for i in range(0, len(rows), 10_000):
-                yield _scored(rows[i : i + 10_000], scorer, near)
-
-        found = profiles(corpus).mapInArrow(run, _SCORED + ", near array<struct<field_name:string,distance:double>>")
-        each = found.select("query_id", "company_id", "total_score", "similarities", F.inline("near"))
-        ranked = top_k_per_group(each, ["query_id", "field_name"], [F.col("distance"), F.col("company_id")], k)
-        if min_similarity is not None:
-            ranked = ranked.filter(V.distance_to_similarity(F.col("distance")) >= min_similarity)
-        return ranked.select("query_id", "company_id", "total_score", "similarities").distinct()
+                    sure = np.zeros(total.shape, dtype=bool)
+                    edges: dict = {}
+                    for f, own, places, vectors, matrix in blocks:
+                        at, cols, distances = _within(vectors, matrix, most[f][places])
+                        if least is not None:
+                            fits = np.maximum(0.0, 1 - distances**2 / 2) >= least
+                            at, cols, distances = at[fits], cols[fits], distances[fits]
+                        i, q = own[at], places[cols]
+                        nearer = distances < most[f][q]
+                        sure[i[nearer], q[nearer]] = True
+                        for x, y in zip(i[~nearer].tolist(), q[~nearer].tolist()):
+                            edges.setdefault((x, y), []).append(f)
+                    edges = {pair: fields for pair, fields in edges.items() if not sure[pair]}
+                    if edges:
+                        i, q = np.array(list(edges)).T
+                        yield _scored(scorer, companies, similarities, total, i, q, edge=pa.array(list(edges.values()), nothing))
+                    if best:
+                        best.add(companies, similarities, total, sure)
+                        continue
+                    i, q = np.nonzero(sure)
+                    if len(i):
+                        yield _scored(scorer, companies, similarities, total, i, q, edge=pa.nulls(len(i), nothing))
+            for got in best.batches() if best else ():
+                yield got.append_column("edge", pa.nulls(got.num_rows, nothing))
+
+        found = durable(rows.mapInArrow(run, _SCORED + ", edge array<string>"))
+        spark = rows.sparkSession
+        open_ = [(block.ids[q], f, k - nearer) for (f, q), (_, nearer) in last.items()]
+        # As many rows as the block has vectors.
+        room = spark.createDataFrame(open_, "query_id string, field_name string, room long") if open_ else None
+        sure = found.filter("edge IS NULL").drop("edge")
+        if room is None:
+            return sure
+        at_edge = found.filter("edge IS NOT NULL")
+        each = at_edge.select("query_id", "company_id", F.explode("edge").alias("field_name"))
+        ranked = top_k_per_group(each, ["query_id", "field_name"], [F.col("company_id")], k, "nth")
+        kept = ranked.join(F.broadcast(room), ["query_id", "field_name"]).filter("nth <= room").select("query_id", "company_id").distinct()
+        return sure.unionByName(at_edge.drop("edge").join(kept, ["query_id", "company_id"], "left_semi"))
 
     return _shown(queries.scan(over), queries)
 

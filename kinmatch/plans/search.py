@@ -51,7 +51,8 @@ def search_two_stage(
 
     A company found through one field is scored on all fields of the query.
     """
-    scores = S.near_scores(vectors, S.query_set(query, weights), k, min_similarity)
+    # The queried company itself may be among them.
+    scores = S.near_scores(vectors, S.query_set(query, weights), k, min_similarity, n + exclude_self)
     if exclude_self:
         scores = scores.filter(F.col("company_id") != F.col("query_id"))
     return _best(scores, n)
