@@ -8,7 +8,10 @@ from kinmatch.catalog import fixtures as X
 from kinmatch.catalog.views import LABELLED_PROFILES, VIEWS, cosine, with_views
 from kinmatch.functions import vectors as V
 from kinmatch.operators import similarity as S
+from kinmatch.plans import pivot_search as PP
 from kinmatch.plans import search as P
+from kinmatch.session import shared_folder
+from kinmatch.sources.pivots import store_by_pivot
 from kinmatch.sources.vectors import scan_companies
 
 CUT = 5
@@ -184,6 +187,24 @@ def topn_two_stage_many(spark, sf_dir):
     return best.select("query_id", "company_id", _r("total_score"), "rank")
 
 
+def _pivots(spark, rows):
+    return store_by_pivot(rows, f"{shared_folder(spark)}/pivots", 16)
+
+
+def topk_per_field_pivots(spark, sf_dir):
+    """The nearest per field from a store by pivot."""
+    store = _pivots(spark, X.company_vec(spark, sf_dir))
+    near = PP.nearest_from_pivots(store, S.query_set(X.query_profile(spark, sf_dir)), CUT)
+    return near.select("query_id", "field_name", "company_id", _r("distance"), "rank")
+
+
+def topn_two_stage_pivots(spark, sf_dir):
+    """The two-stage search for many companies, its candidates from a store by pivot."""
+    rows = X.company_vec(spark, sf_dir)
+    best = PP.search_two_stage_pivots(_pivots(spark, rows), rows, X.labelled_profiles(spark, sf_dir), k=CUT)
+    return best.select("query_id", "company_id", _r("total_score"), "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -191,6 +212,7 @@ QUERIES = {
         join_query_fields, join_missing_as_zero, weighted_score, exclude_self, score_exact, field_score_map,
         score_contributions, topn_exact, rank_results, topk_per_field, candidate_union, semi_candidates,
         topn_two_stage, topn_two_stage_default, topn_size_sweep, two_stage_recall, topn_exact_many, topn_two_stage_many,
+        topk_per_field_pivots, topn_two_stage_pivots,
     ]
 }
 
@@ -303,3 +325,6 @@ ORACLES = {
 ORACLES |= {
     f"{name}_many": ORACLES[name].replace(VIEWS["query_profile"][1], LABELLED_PROFILES) for name in ("topn_exact", "topn_two_stage")
 }
+
+ORACLES["topk_per_field_pivots"] = ORACLES["topk_per_field"]
+ORACLES["topn_two_stage_pivots"] = ORACLES["topn_two_stage_many"]
