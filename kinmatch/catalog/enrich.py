@@ -10,6 +10,7 @@ from kinmatch.catalog.views import page_text as page_text_sql
 from kinmatch.catalog.views import with_views
 from kinmatch.functions.embed import embed_text
 from kinmatch.operators import documents as N
+from kinmatch.operators.answers import ask_once
 from kinmatch.operators.inference import infer
 from kinmatch.plans import enrich as P
 from kinmatch.plans import research as R
@@ -63,6 +64,26 @@ def infer_stub(spark, sf_dir):
     return answers.filter("answer IS NOT NULL")
 
 
+def infer_once(spark, sf_dir):
+    """The answers of ``infer_stub``'s model to every document, from a ledger that a first run over the same prompts filled."""
+
+    def model():
+        import hashlib
+
+        def ask(texts):
+            if any(t.startswith("fr:") for t in texts):
+                raise ValueError("not supported")
+            return [hashlib.md5(t.encode("utf-8")).hexdigest() for t in texts]
+
+        return ask
+
+    docs = X.texts(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", "lang", "text").alias("prompt"))
+    path = f"{shared_folder(spark)}/answers"
+    for _ in range(2):
+        answers = ask_once(docs, "prompt", lambda text: infer(text, model), path, "digest")
+    return answers.filter("answer IS NOT NULL").select("doc_id", "answer")
+
+
 def _respond(spark, sf_dir):
     return lambda rows: rows.join(X.profile_answers(spark, sf_dir), "company_id")
 
@@ -80,8 +101,8 @@ def enrich_profiles(spark, sf_dir):
 def first_n_success(spark, sf_dir):
     """The first companies, in row order, with a page and a valid answer."""
     visited = C.lookup(P.companies_to_visit(X.crm(spark, sf_dir)), X.page_capture(spark, sf_dir))
-    valid = P.profiles(visited, _respond(spark, sf_dir))
-    return P.first_successes(valid, QUOTA).select("company_id", "row_no")
+    respond = _respond(spark, sf_dir)
+    return P.first_answered(visited, lambda batch: P.profiles(batch, respond), QUOTA).select("company_id", "row_no")
 
 
 def query_profile_build(spark, sf_dir):
@@ -200,7 +221,7 @@ def stream_ingest_once(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [
-        page_text, page_captures, text_hash_embed, infer_stub, enrich_profiles, first_n_success, query_profile_build,
+        page_text, page_captures, text_hash_embed, infer_stub, infer_once, enrich_profiles, first_n_success, query_profile_build,
         analysis_tables, overlap_profile, stream_ingest_once,
     ]
 }
@@ -269,6 +290,7 @@ ORACLES = {
               FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents
                     WHERE regexp_matches(text, '[^ \\t\\r\\n]')) GROUP BY 1, 2)""",
     "infer_stub": "SELECT doc_id, md5(lang || ':' || text) AS answer FROM documents WHERE lang <> 'fr'",
+    "infer_once": "SELECT doc_id, md5(lang || ':' || text) AS answer FROM documents WHERE lang <> 'fr'",
     "enrich_profiles": _enriched(f"SELECT *, company_id AS source_url FROM ({_records('usable', 'row_no')})"),
     "first_n_success": _enriched(f"SELECT company_id, row_no FROM usable ORDER BY row_no LIMIT {QUOTA}"),
     "query_profile_build": with_views(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from kinmatch.functions.embed import embed_text
 from kinmatch.functions.text import document_id
 from kinmatch.functions.urls import is_blank, with_scheme
 from kinmatch.operators.documents import profile_rows, valid_documents
-from kinmatch.operators.ranking import top_n
+from kinmatch.operators.ranking import numbered, top_n
 from kinmatch.operators.similarity import weighted_fields
 from kinmatch.schemas import COMPANY_PROFILE, FIELD_WEIGHTS
+from kinmatch.session import durable
 from kinmatch.sources import captures as C
 
 Step = Callable[[DataFrame], DataFrame]
@@ -35,6 +37,26 @@ def first_successes(rows: DataFrame, n: int, seq: str = "row_no") -> DataFrame:
     return top_n(rows, [F.asc(seq)], n)
 
 
+def first_answered(rows: DataFrame, answer: Step, n: int, order: tuple[str, ...] = ("row_no", "company_id"), grow: int = 2) -> DataFrame:
+    """The first ``n`` rows in order to which ``answer`` gives a result; few more than needed are asked about.
+
+    ``answer`` keeps the rows that succeed.  It sees ``grow * n`` rows first, in order, and as long as there are fewer than ``n``
+    successes the next rows, twice as many each time, so at most about twice as many rows as one by
+    one would take are asked about.  Rows and answers are stored, so a lost task asks no
+    other rows again.
+    """
+    placed = durable(numbered(rows, [F.col(c) for c in order], "_place", 0))
+    total = placed.count()
+    found, successes, at, size = [], 0, 0, max(1, grow * n)
+    while at < total and successes < n or not found:
+        batch = placed.filter(F.col("_place").between(at, at + size - 1))
+        found.append(durable(answer(batch)))
+        successes += found[-1].count()
+        at, size = at + size, 2 * size
+    every = reduce(DataFrame.unionByName, found)
+    return top_n(every, [F.col(c) for c in order], n).drop("_place")
+
+
 def profiles(visited: DataFrame, respond: Step) -> DataFrame:
     """Companies whose answer is a valid profile; ``respond`` adds ``response``."""
     valid = valid_documents(respond(visited).drop("content"), "response", COMPANY_PROFILE, name="_profile")
@@ -63,13 +85,12 @@ def with_embedding(rows: DataFrame) -> DataFrame:
 def enrich_texts(rows: DataFrame, captures: DataFrame, respond: Step, quota: int | None = None) -> DataFrame:
     """Field records, without vectors yet, of the companies behind the CRM rows.
 
-    ``quota`` keeps the first companies that had a page and a valid answer.
+    ``quota`` keeps the first companies that had a page and a valid answer, and asks about few more.
     """
     visited = C.lookup(companies_to_visit(rows), captures)
-    valid = profiles(visited, respond)
-    if quota is not None:
-        valid = first_successes(valid, quota)
-    return field_texts(valid)
+    if quota is None:
+        return field_texts(profiles(visited, respond))
+    return field_texts(first_answered(visited, lambda batch: profiles(batch, respond), quota))
 
 
 def enrich(

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from kinmatch.functions.text import document_id
-from kinmatch.operators.joins import except_known
 from kinmatch.operators.ranking import batch_number, first_write
 from kinmatch.operators.similarity import usable_vectors
 from kinmatch.schemas import FIELD_VECTOR, LOAD_BATCH
 from kinmatch.session import durable
+from kinmatch.sources import ledger
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +69,7 @@ def _write(rows: DataFrame, path: str, mode: str) -> None:
 
 def recreate(rows: DataFrame, path: str) -> None:
     """Replace the table by ``rows``."""
+    ledger.forget(rows.sparkSession, path)
     _write(rows, path, "overwrite")
 
 
@@ -76,12 +77,13 @@ def insert_if_absent(rows: DataFrame, path: str, seq: str) -> None:
     """Append records that have a vector and are not stored yet, the first of each id.
 
     Running the same rows again adds nothing.  The rows are stored once, so that
-    what makes them runs once; ids alone are compared.
+    what makes them runs once; ids alone are compared, with the buckets of the ledger that they fall in.
     """
     filled = durable(rows.filter(F.size("embedding") > 0))
     first = first_write(filled.select("doc_id", seq), ["doc_id"], seq)
-    added = durable(except_known(first, read_vectors(rows.sparkSession, path), "doc_id"))
-    _write(first_write(filled.join(added, ["doc_id", seq], "left_semi"), ["doc_id"], seq), path, "append")
+    ledger.ready(read_vectors(rows.sparkSession, path), path, "doc_id")
+    added = durable(ledger.absent(first, path, "doc_id"))
+    _append(first_write(filled.join(added, ["doc_id", seq], "left_semi"), ["doc_id"], seq), added, path)
 
 
 def insert_texts_if_absent(texts: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, seq: str) -> None:
@@ -91,8 +93,16 @@ def insert_texts_if_absent(texts: DataFrame, embed: Callable[[DataFrame], DataFr
     ``embed`` adds the vector.  The model behind the texts runs once, as they are stored.
     """
     first = durable(first_write(texts, ["doc_id"], seq))
-    added = except_known(first, read_vectors(texts.sparkSession, path), "doc_id")
-    _write(embed(added).filter(F.size("embedding") > 0), path, "append")
+    ledger.ready(read_vectors(texts.sparkSession, path), path, "doc_id")
+    added = durable(embed(ledger.absent(first, path, "doc_id")).filter(F.size("embedding") > 0))
+    _append(added, added, path)
+
+
+def _append(rows: DataFrame, ids: DataFrame, path: str) -> None:
+    """Add rows whose ids are known to be new, and the ids to the ledger."""
+    ledger.begin(ids.select(F.col("doc_id").alias("id")), path)
+    _write(rows, path, "append")
+    ledger.commit(rows.sparkSession, path)
 
 
 def nested_to_rows(companies: DataFrame, company: str = "company_id", fields: str = "fields") -> DataFrame:

@@ -32,8 +32,8 @@ def ingest_pages(
 ) -> None:
     """Load the page files that arrived since the last run, then stop.
 
-    Each micro-batch is compared with the stored ids, so no state grows with the
-    number of ids, and a batch that is repeated after a crash adds nothing twice.  The
+    Each micro-batch is compared with the buckets of the table's ledger that its ids fall in, so it reads
+    no more of the stored ids, and a batch that is repeated after a crash adds nothing twice.  The
     result does not depend on ``files_per_batch``.
     """
     pages = (
