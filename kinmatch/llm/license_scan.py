@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,18 +143,21 @@ def scan_text(text: str | None, phrases: dict[str, str], notices: list[tuple[str
     """n_words, n_base, first and last word of exact phrases, their labels, and the notices found."""
     words = WORD.findall(text.encode().lower()) if text else []
     joined = b" " + b" ".join(words) + b" "
+    # The word that starts after a space has the number of spaces before that one.
+    spaces = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
     starts, base = [], set()
     for phrase, label in phrases.items():
         for at in places(joined, b" " + phrase.encode() + b" "):
-            starts.append(joined.count(b" ", 0, at))
+            starts.append(int(np.searchsorted(spaces, at)))
             base.add(label)
     found = []
     for notice, label, edits in notices:
         for a, b in regions(joined, notice.encode(), edits):
             stretch = joined[a:b].decode()
-            first = joined.count(b" ", 0, a)
+            first = int(np.searchsorted(spaces, a))
+            inside = np.flatnonzero(np.frombuffer(stretch.encode("utf-32-le"), dtype="<u4") == 32)
             for m in matches(stretch, notice, edits):
-                start = first + stretch.count(" ", 0, m.start()) - 1
+                start = first + int(np.searchsorted(inside, m.start())) - 1
                 end = start + m.group().count(" ") + 1
                 found.append({"label": label, "start": start, "end": end, "edits": sum(m.fuzzy_counts), "length": len(notice)})
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(base), found

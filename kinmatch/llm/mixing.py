@@ -11,8 +11,8 @@ stored; the table of rates and cumulative probabilities has one row per source a
 broadcast by the planner only when its stored size is below its threshold.  For more
 sources the join shuffles, and adaptive execution splits a hot source.
 
-Defined results: a null source is a source of its own; a null id hashes as an empty
-text; repeated rows have the same count; null or empty texts are replicated like
+Defined results: a null source is a source of its own; for a null id the source and a digest of the
+text are hashed, so such rows are drawn one by one; repeated rows have the same count; null or empty texts are replicated like
 any other; an empty table gives an empty one.
 """
 
@@ -37,6 +37,12 @@ def uniform(seed: str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def row_key(doc_id: str = "doc_id", source: str = "source", text: str = "text") -> Column:
+    """What stands for a row in its draws: the id, or for a null id the source and a digest of the text."""
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return F.coalesce(F.col(doc_id).cast("string"), F.concat_ws(":", F.lit("null"), F.coalesce(F.col(source), F.lit("")), digest))
+
+
 def rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, source: str = "source") -> DataFrame:
     """source, n_docs, rate: the mean number of copies of a document of each source.
 
@@ -80,7 +86,7 @@ def with_copies(docs: DataFrame, table: DataFrame, name: str, seed: int = SEED,
     tables = durable(table.select(F.col("source").alias(key), parts.alias(n), cumulative(F.col("rate") / parts).alias(cdf)))
     # The keys are matched with nulls equal; an equality on both parts stays a hash join.
     joined = docs.join(tables, docs[source].eqNullSafe(tables[key]), "left")
-    drawn = F.transform(F.sequence(F.lit(1), F.col(n)), lambda part: uniform(str(seed), F.col(doc_id), part))
+    drawn = F.transform(F.sequence(F.lit(1), F.col(n)), lambda part: uniform(str(seed), row_key(doc_id, source), part))
     count = F.aggregate(drawn, F.lit(0), lambda total, u: total + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
     return joined.withColumn(name, count).drop(key, n, cdf)
 
@@ -91,7 +97,7 @@ def replicate(docs: DataFrame, seed: int = SEED, weights: DataFrame | None = Non
     counted = with_copies(docs, rates(docs, weights), n, seed)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = counted.filter(F.col(n) > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy))
-    placed = rows.withColumn(place, uniform(f"{seed}:place", F.col("doc_id"), F.col(copy)))
+    placed = rows.withColumn(place, uniform(f"{seed}:place", row_key(), F.col(copy)))
     # Equal hashes go to the same partition and are sorted by the rest of the hash there.
     return placed.repartition(place).sortWithinPartitions(place, copy)
 

@@ -179,3 +179,10 @@ def test_equal_conversations_have_empty_completions(spark):
     turns = spark.createDataFrame([(c, t, "assistant" if t else "user", "z", 0) for c in (1, 2) for t in (0, 1)], TURNS)
     for r in preference.preference_pairs(turns).collect():
         assert (r.n_common, r.chosen, r.rejected, r.chosen_mask) == (2, "", "", "")
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"t{i}", "en", "s" if i % 2 else None, None) for i in range(400)]
+    out = mixing.mixture(spark.createDataFrame([*rows, (None, None, "en", None, None)], DOC)).collect()
+    copies = Counter(r.text_md5 for r in out)
+    assert 300 < len(out) < 500 and 200 < len(copies) < 320

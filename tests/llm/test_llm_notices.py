@@ -1,6 +1,7 @@
 """Every notice of a merged region is reported, whatever the edits of those after it."""
 
 import random
+import time
 
 import pytest
 
@@ -36,3 +37,14 @@ def test_all_planted_places():
             wanted.append(("apache", len(words), len(words) + 2, edits))
             words += ["apache", "licence" if edits else "license"]
         assert [s for s in spans(" ".join(words)) if s[0] == "apache"] == wanted
+
+
+def test_long_texts_take_time_in_proportion():
+    for part in ("cc by ", "mit license ", "gnu general public licence "):
+        took = []
+        for n in (10_000, 40_000):
+            began = time.process_time()
+            got = license_scan.scan_text(part * n, license_scan.PHRASES, license_scan.NOTICES)
+            took.append(time.process_time() - began)
+            assert got[0] == n * len(part.split()) and len(got[5]) in (0, n)
+        assert took[1] < 9 * took[0] + 1
