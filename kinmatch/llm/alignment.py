@@ -44,7 +44,7 @@ from kinmatch.session import durable
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a chunk.
-CHARS = 1_000_000
+CHARS = 1_500_000
 #: Words of a lane.
 LANE = 256
 #: Links that are spread out at a time.

@@ -62,7 +62,7 @@ def wanted(ids, texts):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("chars", "lane"), [(1_000_000, 256), (400, 3)])
+@pytest.mark.parametrize(("chars", "lane"), [(1_500_000, 256), (400, 3)])
 def test_rows_are_those_of_a_plain_walk(spark, monkeypatch, chars, lane):
     texts = odd_texts()
     ids = [None if k % 9 == 8 else 7 if k % 10 == 0 else k for k in range(len(texts))]
