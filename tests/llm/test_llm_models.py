@@ -113,7 +113,7 @@ def slow_scores(texts, held_out):
     n, v = sum(c.values()), len(c)
 
     def typical(k):
-        return 0 if k < 2 else 1.5 * 2 ** (k.bit_length() - 1) - 0.5
+        return 0 if k < 1 else 1.5 * 2 ** (k.bit_length() - 1) - 0.5
 
     for words in tokens:
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words)
@@ -125,19 +125,39 @@ def slow_scores(texts, held_out):
         yield len(words), sum(c[w] > 0 for w in words), n, base, score
 
 
-@pytest.mark.parametrize("frequent", [0, 5, 1 << 18])
-def test_language_model_against_exact_counts(spark, frequent):
+@pytest.mark.parametrize(
+    "frequent, segment_bits, hot, broadcast_bits",
+    [(0, 1 << 23, 1 << 17, 1 << 30), (5, 1 << 16, 1 << 17, 1 << 30), (1 << 18, 1 << 23, 1 << 17, 0), (5, 1 << 16, 64, 0), (5, 1 << 16, 1, 0)],
+)
+def test_language_model_against_exact_counts(spark, frequent, segment_bits, hot, broadcast_bits):
     rng = random.Random(6)
-    texts = [None, "", "  \n", "A a A", *[prose(rng, rng.randint(1, 60)) for _ in range(120)], "unseen words 漢字"]
+    texts = [None, "", "  \n", "A a A", *[prose(rng, rng.randint(1, 60)) for _ in range(120)], "unseen words 漢字", "seen once"]
     docs = documents(spark, texts)
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    model, counts = lm_bloom.train(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2))
-    got = {r.doc_id: r for r in lm_bloom.scores(docs, model, counts, frequent).collect()}
+    model, bloom, counts = lm_bloom.train(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2), segment_bits, hot)
+    got = {r.doc_id: r for r in lm_bloom.scores(docs, model, bloom, counts, frequent, broadcast_bits).collect()}
     assert len(got) == len(texts)
+    off = 0
     for i, (n, known, total, base, score) in enumerate(slow_scores(texts, held)):
         assert (got[i].n_tokens, got[i].n_known, model.tokens) == (n, known, total)
         assert got[i].base_score == pytest.approx(base, rel=1e-9)
-        assert got[i].score == pytest.approx(score, rel=1e-9)
+        # A filter this full takes a key in forty for one that it does not hold.
+        off += got[i].score != pytest.approx(score, rel=1e-9)
+    assert off == 0 if segment_bits > 1 << 16 else off < len(texts) // 3
+
+
+def test_language_model_scores_do_not_depend_on_where_the_filter_is(spark):
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(12_000)]
+    docs = documents(spark, [" ".join(words[i : i + 40]) for i in range(0, len(words), 40)] + [None, "unseen"]).repartition(3, "doc_id")
+    model, bloom, counts = lm_bloom.train(docs.filter("doc_id % 3 > 0"), 1 << 11, 32)
+    assert bloom.segments > 10 and 0 < len(lm_bloom.hot_keys(bloom).keys) <= 64
+    both = [{r.doc_id: r for r in lm_bloom.scores(docs, model, bloom, counts, 50, bits).collect()} for bits in (1 << 30, 0)]
+    assert both[0].keys() == both[1].keys() and len(both[0]) == 302
+    for i, r in both[0].items():
+        assert (r.n_tokens, r.n_known) == (both[1][i].n_tokens, both[1][i].n_known)
+        assert (r.score, r.base_score) == pytest.approx((both[1][i].score, both[1][i].base_score), rel=1e-12)
+    assert lm_bloom.scores(docs.limit(0), model, bloom, counts, 50, 0).count() == 0
 
 
 def test_language_model_query_on_odd_tables(spark):
@@ -150,20 +170,18 @@ def test_language_model_query_on_odd_tables(spark):
     assert {(r.n_known, r.train_tokens, r.base_score) for r in held.collect()} == {(0, 0, 0.0)}
 
 
-def test_filter_never_forgets_and_rarely_invents(spark):
-    rng = np.random.default_rng(4)
-    keys = np.unique(rng.integers(0, 2**48, 20_000, dtype=np.int64)).astype(np.uint64)
-    counts = rng.integers(2, 1000, len(keys))
-    table = lm_bloom.level_rows(keys, counts)
-    rows = spark.createDataFrame(table.to_pandas(), lm_bloom.LEVEL_ROWS)
-    bloom = lm_bloom.build(rows, bits=1 << 22)
-    found = bloom.level(keys)
-    assert (found >= lm_bloom.levels(counts)).all() and (found == lm_bloom.levels(counts)).mean() > 0.97
-    assert (bloom.level(rng.integers(0, 2**48, 20_000, dtype=np.int64).astype(np.uint64)) > 0).mean() < 0.03
-    small = lm_bloom.build(rows, bits=1 << 17)
-    kept = lm_bloom.levels(counts) >= small.lowest
-    assert small.lowest > 2 and (small.level(keys[kept]) >= lm_bloom.levels(counts[kept])).all()
-    assert np.unpackbits(small.segments.reshape(-1)).mean() < 0.55
+def test_filter_never_forgets_and_rarely_invents_at_any_size(spark):
+    for size in (2_000, 60_000):
+        rng = np.random.default_rng(4)
+        keys = np.unique(rng.integers(0, 2**48, size, dtype=np.int64)).astype(np.uint64)
+        counts = rng.integers(1, 9, len(keys)) ** 3
+        rows = spark.createDataFrame(lm_bloom.level_rows(keys, counts).to_pandas(), lm_bloom.LEVEL_ROWS)
+        bloom = lm_bloom.build(rows, int(counts.sum()), 1 << 14)
+        whole = lm_bloom.gathered(bloom)
+        found = whole.level(keys)
+        assert (found >= lm_bloom.levels(counts)).all() and (found == lm_bloom.levels(counts)).mean() > 0.95
+        assert (whole.level(rng.integers(0, 2**48, 20_000, dtype=np.int64).astype(np.uint64)) > 0).mean() < 0.04
+        assert 0.3 < np.unpackbits(whole.bits).mean() < 0.45
 
 
 TEXTS = ODD + [
