@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kinmatch.catalog import fixtures as X
+from kinmatch.catalog.views import PAGE_MAIN_TEXT
 from kinmatch.catalog.views import page_text as page_text_sql
 from kinmatch.catalog.views import with_views
 from kinmatch.functions.embed import embed_text
+from kinmatch.functions.page import main_text
 from kinmatch.operators import documents as N
 from kinmatch.operators.answers import ask_once
 from kinmatch.operators.inference import infer
@@ -34,6 +36,12 @@ def page_text(spark, sf_dir):
     return C.successful(pages).select("page_id", "content", F.length("content").alias("size"))
 
 
+def page_main_text(spark, sf_dir):
+    """Running text of every page, without its menus, advertisements and footers."""
+    pages = C.with_content(X.texts(spark, sf_dir, "pages"), text=main_text)
+    return C.successful(pages).select("page_id", "content", F.length("content").alias("size"))
+
+
 def page_captures(spark, sf_dir):
     return C.successful(X.page_capture(spark, sf_dir)).select("page_id", "url", "content")
 
@@ -221,7 +229,7 @@ def stream_ingest_once(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [
-        page_text, page_captures, text_hash_embed, infer_stub, infer_once, enrich_profiles, first_n_success, query_profile_build,
+        page_text, page_main_text, page_captures, text_hash_embed, infer_stub, infer_once, enrich_profiles, first_n_success, query_profile_build,
         analysis_tables, overlap_profile, stream_ingest_once,
     ]
 }
@@ -281,6 +289,7 @@ def _enriched(body: str, views: str = "crm page_capture profile_doc") -> str:
 
 
 ORACLES = {
+    "page_main_text": PAGE_MAIN_TEXT,
     "page_text": f"""SELECT page_id, t AS content, length(t)::INTEGER AS size
         FROM (SELECT page_id, {page_text_sql('html')} AS t FROM pages) WHERE t <> ''""",
     "page_captures": with_views("page_capture", "SELECT page_id, url, content FROM page_capture WHERE content <> ''"),

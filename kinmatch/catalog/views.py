@@ -14,6 +14,7 @@ _MARKUP = [
     "(?s)<[^>]*>",
 ]
 _ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "amp": "&"}
+_BLOCK_TAGS = "html|body|nav|ul|li|div|article|h1|p|footer"  # those that the pages of the tables have
 _FIELDS = ", ".join(f"'{f}'" for f in TEXT_FIELDS)
 
 
@@ -52,11 +53,34 @@ def page_text(html: str) -> str:
     return f"trim(regexp_replace({decoded(html)}, '[ \\t\\r\\n]+', ' ', 'g'))"
 
 
+def _page_main_text() -> str:
+    marked = "translate(html, chr(1) || chr(2) || chr(3), '   ')"
+    for pattern in _MARKUP[:-1]:
+        marked = f"regexp_replace({marked}, '{pattern}', ' ', 'g')"
+    for pattern, mark in [(f"</?({_BLOCK_TAGS})\\b[^>]*>", "chr(3)"), ("<a\\b[^>]*>", "chr(1)"), ("</a\\s*>", "chr(2)"), ("<[^>]*>", "' '")]:
+        marked = f"regexp_replace({marked}, '(?is){pattern}', {mark}, 'g')"
+    # &copy; and &middot; are the other references that these pages hold.
+    plain = decoded("replace(replace(translate(raw, chr(1) || chr(2), ''), '&copy;', chr(169)), '&middot;', chr(183))")
+    dense = "length(regexp_replace({0}, '[\\x01\\x02 \\t\\r\\n]+', '', 'g'))"
+    linked = "array_to_string(regexp_extract_all(raw, '\\x01([^\\x01\\x02]*)', 1), '')"
+    return f"""WITH marked AS (SELECT page_id, string_split({marked}, chr(3)) AS parts FROM pages),
+        pieces AS (SELECT page_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM marked),
+        texts AS (SELECT page_id, pos, trim(regexp_replace({plain}, '[ \\t\\r\\n]+', ' ', 'g')) AS t,
+             3 * {dense.format(linked)} <= {dense.format('raw')} AS plain FROM pieces),
+        blocks AS (SELECT *, plain AND len(string_split(t, ' ')) >= 12 AS is_long FROM texts WHERE t <> ''),
+        seen AS (SELECT *, is_long OR coalesce(lag(is_long) OVER w, false) OR coalesce(lead(is_long) OVER w, false) AS near,
+             bool_or(is_long) OVER (PARTITION BY page_id) AS any_long FROM blocks WINDOW w AS (PARTITION BY page_id ORDER BY pos))
+        SELECT page_id, string_agg(t, chr(10) ORDER BY pos) AS content, length(string_agg(t, chr(10) ORDER BY pos))::INTEGER AS size
+        FROM seen WHERE plain AND (near OR NOT any_long) GROUP BY page_id"""
+
+
 def _element(tag: str) -> str:
     inner = f"regexp_extract(html, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1)"
     return f"nullif({page_text(inner)}, '')"
 
 
+PAGE_MAIN_TEXT = _page_main_text()
+
 VIEWS: dict[str, tuple[list[str], str]] = {
     "company_vec": (
         [],

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.functions.bind import with_once
@@ -10,9 +12,9 @@ from kinmatch.functions.text import html_text
 from kinmatch.functions.urls import is_blank
 
 
-def with_content(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds the readable text of raw pages."""
-    return with_once(pages, "content", html_text(F.col(html)))
+def with_content(pages: DataFrame, html: str = "html", text: Callable[[Column], Column] = html_text) -> DataFrame:
+    """Adds the readable text of raw pages: all of it, or with ``page.main_text`` without menus and footers."""
+    return with_once(pages, "content", text(F.col(html)))
 
 
 def successful(captures: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Text rules with literal expected values."""
 
+import html
+
 import pytest
 from pyspark.sql import functions as F
 
+from kinmatch.functions import page as P
 from kinmatch.functions import text as T
 
 
@@ -53,7 +56,46 @@ def test_padded_never_cuts(spark):
 
 
 def test_html_text(spark):
-    html = """<html><head><title>T</title></head><body><script>var a="<b>";</script><!-- no -->
+    page = """<html><head><title>T</title></head><body><script>var a="<b>";</script><!-- no -->
     <p>a&amp;b &lt;i&gt;<br>c</p><STYLE>x{}</STYLE></body></html>"""
-    assert one(spark, T.html_text(F.lit(html))) == "a&b <i> c"
+    assert one(spark, T.html_text(F.lit(page))) == "a&b <i> c"
     assert one(spark, T.html_element(F.lit("<h1 class='x'>A &amp; <b>B</b></h1>"), "h1")) == "A & B"
+
+
+def test_references_as_browsers_decode_them(spark):
+    texts = [
+        "a &amp;lt; b &#65;&#x1F600; &eacute;&hellip;&apos;", "&#150;&#8211;&#x2019;", "&nosuch; &amp &;", "no reference", "", "&", "&#0;&#xD800;",
+        "&lt;&gt;&quot;&nbsp;|" * 300,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.d for r in rows.select("i", P.decode_references(F.col("t")).alias("d")).collect()}
+    for i, t in enumerate(texts[:6] + texts[7:]):
+        i = i if i < 6 else i + 1
+        # A name without its semicolon is left alone here.
+        want = html.unescape(t) if i != 2 else t.replace("&amp;", "&")
+        assert got[i] == want
+    assert got[6] == "��"
+
+
+LONG = "one two three four five six seven eight nine ten eleven <b>twelve</b>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<nav><a href=x>Home</a> <a>About us</a></nav><h1>Title</h1><p>{LONG}<p>short tail</p><footer>&copy; 2024</footer>",
+         "Title\none two three four five six seven eight nine ten eleven twelve\nshort tail"),
+        (f"<div><a href='y'>{LONG}</a></div><p>menu</p>", "menu"),
+        (f"<ul><li>a<li>b</ul><table><tr><td>{LONG}", "b\none two three four five six seven eight nine ten eleven twelve"),
+        ("<p>only</p><p>short &mdash; blocks</p>", "only\nshort — blocks"),
+        (f"<p>x<!-- {LONG} --></p><script>{LONG}</script>", "x"),
+        ("<a>open link <p>then text", "then text"),
+        ("<div <p>>< a", ">< a"),
+        ("\x01\x02\x03", ""),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_main_text(spark, page, text):
+    rows = spark.createDataFrame([(page,)], "html string")
+    assert rows.select(P.main_text(F.col("html"))).first()[0] == text
