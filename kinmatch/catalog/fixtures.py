@@ -66,6 +66,14 @@ def company_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _field_vectors(rows, field)
 
 
+def damaged_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, some of them lost or with a value that is not a number."""
+    damaged = F.when(F.col("seq") % 89 == 0, F.transform("embedding", lambda x, i: F.when(i == 0, F.lit(float("nan"))).otherwise(x)))
+    vector = F.when(F.col("seq") % 97 != 0, damaged.otherwise(F.col("embedding")))
+    rows = company_vec(spark, sf_dir)
+    return rows.withColumn("embedding", vector.cast(rows.schema["embedding"].dataType))
+
+
 def vec_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors in write order, where some (company, field) pairs are written twice."""
     rows = table(spark, sf_dir, "embeddings")

@@ -10,6 +10,7 @@ from kinmatch.functions import vectors as V
 from kinmatch.operators import similarity as S
 from kinmatch.plans import pivot_search as PP
 from kinmatch.plans import search as P
+from kinmatch.plans.reported import search_reported
 from kinmatch.session import shared_folder
 from kinmatch.sources.pivots import store_by_pivot
 from kinmatch.sources.vectors import scan_companies
@@ -205,6 +206,17 @@ def topn_two_stage_pivots(spark, sf_dir):
     return best.select("query_id", "company_id", _r("total_score"), "rank")
 
 
+def topn_reported(spark, sf_dir):
+    """The best companies among those whose vectors can be compared."""
+    best, _ = search_reported(X.damaged_vec(spark, sf_dir), X.query_profile(spark, sf_dir))
+    return best.select("query_id", "company_id", _r("total_score"), "rank")
+
+
+def score_failures(spark, sf_dir):
+    """The companies that the same search leaves out, with the reason."""
+    return search_reported(X.damaged_vec(spark, sf_dir), X.query_profile(spark, sf_dir))[1]
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -212,7 +224,7 @@ QUERIES = {
         join_query_fields, join_missing_as_zero, weighted_score, exclude_self, score_exact, field_score_map,
         score_contributions, topn_exact, rank_results, topk_per_field, candidate_union, semi_candidates,
         topn_two_stage, topn_two_stage_default, topn_size_sweep, two_stage_recall, topn_exact_many, topn_two_stage_many,
-        topk_per_field_pivots, topn_two_stage_pivots,
+        topk_per_field_pivots, topn_two_stage_pivots, topn_reported, score_failures,
     ]
 }
 
@@ -328,3 +340,20 @@ ORACLES |= {
 
 ORACLES["topk_per_field_pivots"] = ORACLES["topk_per_field"]
 ORACLES["topn_two_stage_pivots"] = ORACLES["topn_two_stage_many"]
+
+_FAULTS = """SELECT company_id, field_name, CASE
+       WHEN seq % 97 = 0 OR len(embedding) = 0 THEN 'no values'
+       WHEN seq % 89 = 0 THEN 'a value is null or not finite'
+       WHEN len(embedding) NOT IN (SELECT len(q.embedding) FROM weighted_query q WHERE q.field_name = v.field_name)
+       THEN 'length differs from the query''s' END AS reason
+     FROM company_vec v WHERE field_name IN (SELECT field_name FROM weighted_query)"""
+ORACLES["score_failures"] = with_views(
+    "weighted_query company_vec", f"SELECT company_id, 'score' AS stage, field_name, reason FROM ({_FAULTS}) WHERE reason IS NOT NULL"
+)
+ORACLES["topn_reported"] = with_views(
+    "scores weighted_query company_vec",
+    f"""SELECT query_id, company_id, round(total, 4) AS total_score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, company_id) AS rank FROM scores
+          WHERE company_id <> query_id AND company_id NOT IN (SELECT company_id FROM ({_FAULTS}) WHERE reason IS NOT NULL)
+        ) WHERE rank <= 10""",
+)
