@@ -29,14 +29,18 @@ def vec_scan_by_field(spark, sf_dir):
 
 
 def vec_scan_by_ids(spark, sf_dir):
-    """Records of the companies that hold a vector with the highest label."""
+    """Records of the companies that hold a vector with the highest label, from the stored table."""
     rows = X.company_vec(spark, sf_dir)
+    path = f"{shared_folder(spark)}/vectors"
+    VS.recreate(rows, path)
     top = rows.select(F.max("label")).scalar()
-    return VS.scan_companies(rows, rows.filter(F.col("label") == top)).select("doc_id", "field_name")
+    return VS.scan_companies(VS.read_vectors(spark, path), rows.filter(F.col("label") == top)).select("doc_id", "field_name")
 
 
 def vec_scan_by_id(spark, sf_dir):
-    rows = VS.scan_company(X.company_vec(spark, sf_dir), "https://company00013.com")
+    path = f"{shared_folder(spark)}/vectors"
+    VS.recreate(X.company_vec(spark, sf_dir), path)
+    rows = VS.scan_company(VS.read_vectors(spark, path), "https://company00013.com")
     return rows.select("doc_id", "field_name", "text_content", "source_url")
 
 

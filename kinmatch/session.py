@@ -42,14 +42,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
+def is_shared(folder: str, master: str) -> bool:
+    """Whether all tasks reach ``folder``: any but a local one, and that too where one machine's threads do the work."""
+    alone = master == "local" or master.startswith("local[")
+    return alone or not (folder.startswith("file:") or "://" not in folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for durable tables, below ``spark.checkpoint.dir``.
 
-    Where that is not set, they go below the warehouse, which executors share as well.
+    Where that is not set, they go below the warehouse.  A warehouse in the driver's own file system
+    is refused unless the driver does all the work itself.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        master = spark.conf.get("spark.master", "")
+        if not is_shared(warehouse, master):
+            raise ValueError(f"executors of {master} do not share {warehouse}: set spark.checkpoint.dir to a folder that they all reach")
+        root = f"{warehouse}/checkpoints"
     folder = f"{root.rstrip('/')}/kinmatch/{uuid.uuid4().hex}"
     _made.get().append(folder)
     return folder

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -16,6 +17,10 @@ from kinmatch.session import durable
 from kinmatch.sources import ledger
 
 
+#: The longest list of companies that is sent to the scan as a condition.
+PUSHED = 200
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """The stored table, or an empty one when nothing is stored yet."""
     try:
@@ -39,15 +44,20 @@ def scan_field(vectors: DataFrame, name: str) -> DataFrame:
 def scan_companies(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     """Records of the companies listed in ``ids.company_id``.
 
-    The list is stored first.  The planner then knows its size, and sends a short
-    list to the scan instead of shuffling the vectors.
+    The list is stored first.  Up to ``PUSHED`` companies become a condition of the scan, which skips
+    the row groups that hold none of them; a longer list is joined, and the planner, which knows its
+    size, sends it to the scan instead of shuffling the vectors while it is short.
     """
-    listed = durable(ids.select("company_id").distinct())
-    return vectors.join(listed, "company_id", "left_semi")
+    listed = durable(ids.filter("company_id IS NOT NULL").select("company_id").distinct())
+    few = [r["company_id"] for r in listed.limit(PUSHED + 1).collect()]
+    if len(few) > PUSHED:
+        return vectors.join(listed, "company_id", "left_semi").select(*vectors.columns)
+    # One equality each: of a long IN only the smallest and largest value reach the files.
+    return vectors.filter(reduce(Column.__or__, [F.col("company_id") == i for i in sorted(few)], F.lit(False)))
 
 
 def scan_company(vectors: DataFrame, company_id: str) -> DataFrame:
-    """Everything about one company but its vectors."""
+    """Everything about one company but its vectors; skips row groups as ``scan_companies`` does."""
     kept = [c for c in vectors.columns if c != "embedding"]
     return vectors.filter(F.col("company_id") == company_id).select(*kept)
 
@@ -63,8 +73,19 @@ def _stored_columns(rows: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, mode: str) -> None:
-    """Store records by field; the rows of a field are balanced over the writing tasks first."""
-    _stored_columns(rows).hint("rebalance", "field_name").write.mode(mode).partitionBy("field_name").parquet(path)
+    """Store records by field; the rows of a field are balanced over the writing tasks first.
+
+    Files are sorted by company, so that a row group spans few of them, and carry a Bloom filter of
+    the companies, so that readers of some companies skip most row groups.
+    """
+    sorted_rows = _stored_columns(rows).hint("rebalance", "field_name").sortWithinPartitions("field_name", "company_id")
+    (
+        sorted_rows.write.mode(mode)
+        .partitionBy("field_name")
+        .option("parquet.bloom.filter.enabled#company_id", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .parquet(path)
+    )
 
 
 def recreate(rows: DataFrame, path: str) -> None:
