@@ -13,6 +13,7 @@ from kinmatch.functions.embed import embed_text
 from kinmatch.functions.page import main_text
 from kinmatch.operators import documents as N
 from kinmatch.operators.answers import ask_once
+from kinmatch.operators.embedding import weighted_embeddings
 from kinmatch.operators.inference import infer
 from kinmatch.plans import enrich as P
 from kinmatch.plans import research as R
@@ -54,6 +55,13 @@ def text_hash_embed(spark, sf_dir):
     return parts.filter("value <> 0").select("doc_id", "bucket", value)
 
 
+def text_weighted_embed(spark, sf_dir):
+    """Non-zero components of the embedding with learnt weights of every document."""
+    rows = weighted_embeddings(X.texts(spark, sf_dir, "documents"), "doc_id")
+    parts = rows.select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
+    return parts.withColumn("value", F.round("value", 4)).filter("value <> 0")
+
+
 def infer_stub(spark, sf_dir):
     """A stand-in model that answers with a digest and refuses French texts."""
 
@@ -229,7 +237,7 @@ def stream_ingest_once(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [
-        page_text, page_main_text, page_captures, text_hash_embed, infer_stub, infer_once, enrich_profiles, first_n_success, query_profile_build,
+        page_text, page_main_text, page_captures, text_hash_embed, text_weighted_embed, infer_stub, infer_once, enrich_profiles, first_n_success, query_profile_build,
         analysis_tables, overlap_profile, stream_ingest_once,
     ]
 }
@@ -298,6 +306,17 @@ ORACLES = {
         FROM (SELECT doc_id, {_HEX} AS bucket, count(*) AS n
               FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents
                     WHERE regexp_matches(text, '[^ \\t\\r\\n]')) GROUP BY 1, 2)""",
+    "text_weighted_embed": f"""WITH parts AS (SELECT doc_id,
+            regexp_split_to_array(lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))), '[ \\t\\r\\n]+') AS ws
+          FROM documents WHERE regexp_matches(text, '[^ \\t\\r\\n]')),
+        tf AS (SELECT doc_id, w, count(*) AS tf FROM (
+            SELECT doc_id, unnest(ws) AS w FROM parts
+            UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM parts) GROUP BY 1, 2),
+        weights AS (SELECT w, 1 + ln(((SELECT count(*) FROM parts) + 1) / (count(*) + 1)) AS weight,
+            {_HEX.replace('% 64', '% 256')} AS bucket, CASE WHEN substr(md5(w), 8, 1) < '8' THEN 1 ELSE -1 END AS sign FROM tf GROUP BY w),
+        sums AS (SELECT doc_id, bucket, sum(sign * tf * weight) AS v FROM tf JOIN weights USING (w) GROUP BY 1, 2)
+        SELECT * FROM (SELECT doc_id, bucket::INTEGER AS bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 4) AS value FROM sums)
+        WHERE value <> 0""",
     "infer_stub": "SELECT doc_id, md5(lang || ':' || text) AS answer FROM documents WHERE lang <> 'fr'",
     "infer_once": "SELECT doc_id, md5(lang || ':' || text) AS answer FROM documents WHERE lang <> 'fr'",
     "enrich_profiles": _enriched(f"SELECT *, company_id AS source_url FROM ({_records('usable', 'row_no')})"),
