@@ -89,15 +89,16 @@ def _scan(store: PivotStore, fields: dict, wanted: dict, k: int) -> DataFrame:
         for j, p in enumerate(f.pivots):
             if use[:, j].any():
                 queries = np.flatnonzero(use[:, j])
-                todo[name, p] = (queries, f.matrix[queries], f.apart[queries, j])
-    cuts = {(name, f"{length}"): (f.ids, f.cut) for (name, length), f in fields.items()}
+                todo[name, p] = (queries, f.apart[queries, j])
+    cuts = {(name, f"{length}"): (f.ids, f.matrix, f.cut) for (name, length), f in fields.items()}
     shared = store.spark.sparkContext.broadcast((todo, cuts))  # as large as the block and the pivots
 
     def run(batches):
         import pyarrow as pa
 
         todo, cuts = shared.value
-        seen = {key: np.full((0, len(ids)), np.inf) for key, (ids, _) in cuts.items()}
+        # The ``k`` smallest distances of each query, infinite where fewer are known.
+        seen = {key: np.full((0, len(ids)), np.inf) for key, (ids, _, _) in cuts.items()}
         for batch in batches:
             names, pivots = batch.column("field_name").to_pylist(), batch.column("pivot").to_pylist()
             apart = batch.column("apart").to_numpy(zero_copy_only=False)
@@ -111,13 +112,14 @@ def _scan(store: PivotStore, fields: dict, wanted: dict, k: int) -> DataFrame:
             for key, own in places.items():
                 if key not in todo:
                     continue
-                queries, matrix, far = todo[key]
+                queries, far = todo[key]
                 group = key[0], key[1].split("-")[0]
-                ids, cut = cuts[group]
+                ids, vectors, cut = cuts[group]
+                matrix = vectors[queries]
                 for at in range(0, len(own), max(1, S.CELLS // len(queries))):
                     rows = np.array(own[at : at + max(1, S.CELLS // len(queries))])
-                    held = seen[group]
-                    last = held.max(axis=0)[queries] if len(held) == k else np.inf
+                    held = seen[group][:, queries]
+                    last = held.max(axis=0) if len(held) == k else np.inf
                     most = np.minimum(cut[queries], last)
                     # The distances to the pivot bound the distance of the pair.
                     maybe = (np.abs(apart[rows][:, None] - far[None, :]) <= most[None, :] + SLACK * (1 + far)[None, :]).any(1)
@@ -126,10 +128,14 @@ def _scan(store: PivotStore, fields: dict, wanted: dict, k: int) -> DataFrame:
                         continue
                     block = flat[starts[rows][:, None] + np.arange(matrix.shape[1])[None, :]].astype(np.float64)
                     i, q, distance = S._within(block, matrix, most)
-                    found = np.full((len(rows), len(ids)), np.inf)
-                    found[i, queries[q]] = distance
-                    every = np.concatenate([held, found])
-                    seen[group] = np.partition(every, k - 1, axis=0)[:k] if len(every) > k else every
+                    every = np.concatenate([held, np.full((len(rows), len(queries)), np.inf)])
+                    every[len(held) + i, q] = distance
+                    if len(every) > k:
+                        every.partition(k - 1, axis=0)
+                        every = every[:k]
+                    if len(every) > len(held):
+                        seen[group] = np.concatenate([seen[group], np.full((len(every) - len(held), len(ids)), np.inf)])
+                    seen[group][:, queries] = every
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([ids[x] for x in queries[q]], pa.string()),

@@ -1,6 +1,10 @@
 """Searches from a store by pivot give what scans of all vectors give, and read less."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_similarity import FIELDS, SCHEMA, corpus
@@ -51,3 +55,44 @@ def test_no_vectors_and_no_queries(spark, tmp_path):
     assert PP.nearest_from_pivots(store_by_pivot(some, str(tmp_path / "c")), S.query_set(asked), 3).count() == 1
     empty = store_by_pivot(none, str(tmp_path / "a"))
     assert PP.nearest_from_pivots(empty, S.query_set(asked), 3).count() == 0
+
+
+def test_a_pivot_takes_room_for_its_own_queries(spark):
+    """What a task holds for a pivot that few queries want does not depend on how many queries there are."""
+    ids, rows = 2_000, 8_000
+    rng = np.random.default_rng(1)
+
+    class Held(SimpleNamespace):
+        def filter(self, cond):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    store = SimpleNamespace(vectors=Held(), spark=SimpleNamespace(sparkContext=context))
+    matrix = rng.random((ids, 8))
+    f = PP._Field([f"q{i}" for i in range(ids)], matrix, ["8-1"], np.array([rows]), np.zeros((ids, 1)), cut=np.full(ids, np.inf))
+    use = np.zeros((ids, 1), dtype=bool)
+    use[[3, 700, 1999]] = True
+    vectors = rng.random((rows, 8)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array([f"c{i}" for i in range(rows)]),
+            pa.array(np.zeros(rows)),
+            pa.array(list(vectors), pa.list_(pa.float32())),
+            pa.array(["icp"] * rows),
+            pa.array(["8-1"] * rows),
+        ],
+        ["company_id", "apart", "embedding", "field_name", "pivot"],
+    )
+    run = PP._scan(store, {("icp", 8): f}, {("icp", 8): use}, 2)
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(run([batch, batch]))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for q in (3, 700, 1999):
+        best = found[found.query_id == f"q{q}"].sort_values("distance")["distance"].to_numpy()[:2]
+        every = np.sort(np.tile(np.sqrt(((vectors - matrix[q]) ** 2).sum(1)), 2))[:2]
+        assert np.allclose(best, every)
+    assert peak < 40e6
