@@ -48,16 +48,18 @@ def ask_once(
     """
     spark = rows.sparkSession
     key = digest(model, F.col(prompt))
-    wanted = rows.filter(F.col(prompt).isNotNull()).select(key.alias("digest"), F.col(prompt).alias("prompt"))
-    # One of equal prompts, chosen in the map tasks.
-    wanted = durable(wanted.groupBy("digest").agg(F.first("prompt").alias("prompt")))
+    asking = rows.filter(F.col(prompt).isNotNull()).select(key.alias("digest"), F.col(prompt).alias("prompt"))
+    wanted = durable(asking.select("digest").distinct())
     parts = [r["part"] for r in wanted.select(F.substring("digest", 1, 2).alias("part")).distinct().collect()]  # at most 256
 
     def stored() -> DataFrame:
         return _read(spark, f"{path}/answers", ANSWERS).filter(F.col("part").isin(parts)).select("digest", "answer")
 
-    new = except_known(wanted, stored(), "digest")
-    asked = durable(new.select("digest", "prompt", ask(F.col("prompt")).alias("answer")))
+    # Digests are compared alone. Only prompts without an answer travel, and a stored list of few sends none.
+    new = durable(except_known(wanted, stored(), "digest"))
+    once = asking.join(new, "digest", "left_semi").groupBy("digest").agg(F.first("prompt").alias("prompt"))
+    answered = once.select("digest", "prompt", ask(F.col("prompt")).alias("answer"))
+    asked = durable(answered.select("digest", F.when(F.col("answer").isNull(), F.col("prompt")).alias("prompt"), "answer"))
     got = asked.filter("answer IS NOT NULL").select("digest", "answer", F.substring("digest", 1, 2).alias("part"))
     got.hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(f"{path}/answers")
     missed = asked.filter("answer IS NULL").select("digest", "prompt", F.lit(model).alias("model"), F.current_timestamp().alias("asked_at"))

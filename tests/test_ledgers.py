@@ -92,6 +92,26 @@ def test_answers_are_asked_for_once(spark, tmp_path):
     assert ask_once(rows.limit(0), "p", ask, path, "m").count() == 0
 
 
+def test_known_prompts_are_not_written_again(spark, tmp_path):
+    import os
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+
+    def written():
+        return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+    prompts = [(n, os.urandom(10_000).hex()) for n in range(100)]
+    rows = spark.createDataFrame(prompts, "n int, p string")
+    path, sizes = str(tmp_path / "ledger"), [written()]
+    for _ in range(2):
+        got = ask_once(rows, "p", lambda text: infer(text, lambda: lambda texts: [t[:9] for t in texts]), path, "m")
+        sizes.append(written())
+        assert {r.n: r.answer for r in got.collect()} == {n: p[:9] for n, p in prompts}
+    # 2 MB of prompts, answered the first time and known the second.
+    assert sizes[1] - sizes[0] < 200_000 and sizes[2] - sizes[1] < 100_000
+
+
 def test_few_more_than_the_quota_are_asked(spark, tmp_path):
     (tmp_path / "calls").mkdir()
     ask = counting(str(tmp_path / "calls"))
