@@ -208,3 +208,25 @@ def test_where_stored_tables_go():
 def test_durable_keeps_rows(spark):
     df = durable(spark.range(10).withColumn("v", F.array(F.lit(1))))
     assert df.count() == 10 and df.dtypes == [("id", "bigint"), ("v", "array<int>")]
+
+
+def test_long_texts_are_asked_in_short_lists(spark, tmp_path):
+    """A task holds the answers to one list, whatever the size of the Arrow batch."""
+    folder = str(tmp_path)
+
+    def model():
+        import uuid
+
+        def ask(texts):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{len(texts)} {sum(map(len, texts))}")
+            return [t[:10] for t in texts]
+
+        return ask
+
+    text = F.when(F.col("id") % 7 != 0, F.concat(F.lpad(F.col("id").cast("string"), 10, "0"), F.repeat(F.lit("x"), 20_000)))
+    rows = spark.range(400).coalesce(1).withColumn("t", text)
+    got = {r.id: r.v for r in rows.select("id", infer(F.col("t"), model).alias("v")).collect()}
+    assert got == {i: f"{i:010d}" if i % 7 else None for i in range(400)}
+    sizes = [[int(n) for n in f.read_text().split()] for f in tmp_path.iterdir()]
+    assert sum(n for n, _ in sizes) == 342 and max(chars for _, chars in sizes) <= 1_000_000
