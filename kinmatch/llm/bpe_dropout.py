@@ -9,9 +9,11 @@ occurrence of a word is drawn on its own, while a retried task gives the same pi
 another seed others.
 
 Pieces never cross the start of a run of spaces nor a line end, so a text is a list of
-independent stretches.  The draws of a stretch alone decide its pieces, so a worker keeps what it
-has encoded by stretch and draws (a bounded cache), and encodes what is new together: a padded
-matrix of symbols in which every row takes its best candidate at each step.  Very long stretches go through an agenda of their own
+independent stretches.  The draws of a stretch alone decide its pieces, so a worker keeps (bounded) a tree of draws
+for each stretch that it has met: a node for each candidate that came up, with a branch if it was kept and
+one if it was dropped.  All places of a slice of texts walk down together, a draw at each node, and those that come to
+a branch not taken yet are encoded together: a padded
+matrix of symbols in which every text takes its best candidate at each step.  Very long stretches go through an agenda of their own
 (``one_stretch``), with the same result.
 
 Any text decodes to itself: characters without a piece, and the character that stands for
@@ -30,9 +32,11 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,24 +52,32 @@ DROPOUT = 0.1
 VARIANTS = 1 << 64
 #: Stretches longer than this go through the agenda one by one.
 WIDEST = 64
-#: Stretches up to each of these lengths are encoded together.
-WIDTHS = np.array([4, 6, 8, 10, 12, 16, 24, 32, WIDEST])
-#: Draws of a stretch that are looked up together; what takes more is encoded anew.
-DRAWS = 64
-#: Stretches and draws that a worker keeps.
+#: Stretches, of about the same length, that are encoded together.
+BLOCK = 4096
+#: So few places at new branches are encoded each by itself, and not kept.
+FEW = 300
+#: Stretches that a worker keeps, and branches of their trees or ids at their ends.
 CACHE = 300_000
+BRANCHES = 8_000_000
 
 SPACE_MARK = "▁"
-NONE = np.iinfo(np.int32).max
+#: A place without a candidate; others have the rank of their piece and, in the lowest bits, the place itself.
+NONE = 1 << 30
+PLACE_BITS = 7
+#: A branch not taken yet; others lead to a node (0 and above) or to the ids that end there (below).
+UNKNOWN = -1
 WORD64 = (1 << 64) - 1
 
 #: Odd numbers for the fields of a key.
 FIELDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def skipped(key: np.ndarray, step: int, rate: float) -> np.ndarray:
+def skipped(key: np.ndarray, step: int | np.ndarray, rate: float) -> np.ndarray:
     """Whether the candidate that comes up at a step is dropped."""
-    draw = np.uint64((step + 1) * FIELDS[0] & WORD64)
+    if isinstance(step, int):
+        draw = np.uint64((step + 1) * FIELDS[0] & WORD64)
+    else:
+        draw = (step.astype(np.uint64) + np.uint64(1)) * np.uint64(FIELDS[0])
     return (mixed(key + draw) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
 
 
@@ -138,6 +150,18 @@ class Pieces:
         """Place of each piece in the order of scores, best first, equal scores alike."""
         return np.unique(-np.array(self.scores), return_inverse=True)[1].astype(np.int32)
 
+    @cached_property
+    def order(self) -> np.ndarray:
+        """Rank of each piece, above the bits of a place, and at the end, for -1, ``NONE``."""
+        if self.rank.max(initial=0) >= NONE >> PLACE_BITS:
+            raise ValueError("the model has too many pieces")
+        return np.append(self.rank << PLACE_BITS, NONE).astype(np.int32)
+
+    @cached_property
+    def byte_table(self) -> np.ndarray:
+        """The id of each byte."""
+        return np.array([self.byte_ids[b] for b in range(256)], dtype=np.int32)
+
     @cached_property
     def stretch(self) -> re.Pattern:
         """Runs of spaces with what follows them; characters in no piece end a stretch."""
@@ -211,90 +235,120 @@ class Pieces:
 
     def many_stretches(self, texts: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
         """Ids of many stretches of at most ``WIDEST`` characters, all at once."""
-        return self.stepped(texts, keys, rate)[0]
-
-    def stepped(self, texts: list[str], keys: np.ndarray, rate: float) -> tuple[list[bytes], list[int]]:
-        """``many_stretches``, and how many candidates came up in each."""
-        n, width = len(texts), max(map(len, texts))
-        symbols = np.full((n, width + 1), self.unknown, dtype=np.int32)
-        sizes = np.array([len(t) for t in texts])
+        ids, counts, _ = self.stepped(texts, keys, rate)
+        raw, ends = ids.tobytes(), np.cumsum(counts).tolist()
+        return [raw[4 * (e - c) : 4 * e] for e, c in zip(ends, counts.tolist())]
+
+    def stepped(self, texts: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many stretches one after the other, how many each has, and how many candidates came up in each."""
+        n, sizes = len(texts), np.array([len(t) for t in texts])
+        width = int(sizes.max())
+        # A matrix, flat, with a row for each place, and one more at both ends, and a column for each text.
         rows = np.repeat(np.arange(n), sizes)
-        cols = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        symbols[rows, cols] = self.symbol_table[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        alive = np.zeros((n, width), dtype=bool)
-        alive[rows, cols] = True
-        after = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
-        before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
-        after[np.arange(n), sizes - 1] = width
-        # Candidate at each left place: the piece and its rank.
-        made = np.full((n, width), -1, dtype=np.int32)
-        rank = np.full((n, width), NONE, dtype=np.int32)
-
-        def offer(r: np.ndarray, i: np.ndarray) -> None:
-            ok = i >= 0
-            r, i = r[ok], i[ok]
-            j = after[r, i]
-            piece = np.where(j < width, self.joined(symbols[r, i], symbols[r, np.minimum(j, width)]), -1)
-            made[r, i] = piece
-            rank[r, i] = np.where(piece >= 0, self.rank[np.maximum(piece, 0)], NONE)
-
-        offer(rows, cols)
-        active = np.arange(n)
+        line = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        cells = line * n + rows
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        symbols = np.full((width + 2) * n, self.unknown, dtype=np.int32)
+        symbols[cells] = self.symbol_table[codes]
+        lines = np.repeat(np.arange(width + 2, dtype=np.int32), n)
+        after, before = np.arange(len(symbols)) + n, np.arange(len(symbols)) - n
+        gone = np.zeros(len(symbols), dtype=bool)
+        # Candidate at each left place: the piece, and its order.
+        made = np.full(len(symbols), -1, dtype=np.int32)
+        order = np.full(len(symbols), NONE, dtype=np.int32)
+        orders = order.reshape(width + 2, n)
+
+        def offer(left: np.ndarray) -> None:
+            piece = self.joined(symbols[left], symbols[after[left]])
+            made[left] = piece
+            order[left] = self.order[piece] + lines[left]
+
+        offer(cells)
         steps = np.zeros(n, dtype=np.int64)
         step = -1
-        while len(active):
-            best = rank[active].argmin(1) if len(active) < n else rank.argmin(1)
-            going = rank[active, best] < NONE
-            active, best = active[going], best[going]
+        while True:
+            best = orders.min(0)
+            active = np.flatnonzero(best < NONE)
             if not len(active):
                 break
             step += 1
             steps[active] += 1
-            j = after[active, best]
-            drop = skipped(keys[active], step, rate) if rate > 0 else np.zeros(len(active), dtype=bool)
-            rank[active[drop], best[drop]] = NONE
-            r, i, j = active[~drop], best[~drop], j[~drop]
-            symbols[r, i] = made[r, i]
-            alive[r, j] = False
-            rank[r, j] = NONE
-            further = after[r, j]
-            after[r, i] = further
-            inside = further < width
-            before[r[inside], further[inside]] = i[inside]
-            offer(r, before[r, i])
-            offer(r, i)
-        counts = alive.sum(1)
-        final = symbols[:, :width][alive].astype("<i4")
-        ends = np.cumsum(counts)
-        odd = set(rows[(symbols[rows, cols] >= len(self.pieces)) & alive[rows, cols]].tolist())
-        raw = final.tobytes()
-        out = [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist())]
-        for k in odd:
-            places = np.nonzero(alive[k])[0].tolist()
-            out[k] = self.written(texts[k], symbols[k, places].tolist(), places)
-        return out, steps.tolist()
+            i = (best[active] & (1 << PLACE_BITS) - 1).astype(np.int64) * n + active
+            if rate > 0:
+                drop = skipped(keys[active], step, rate)
+                order[i[drop]] = NONE
+                i = i[~drop]
+            j = after[i]
+            symbols[i] = made[i]
+            gone[j] = True
+            order[j] = NONE
+            further = after[j]
+            after[i] = further
+            before[further] = i
+            offer(np.concatenate([before[i], i]))
+        kept = ~gone[cells]
+        ids, rows = symbols[cells[kept]], rows[kept]
+        odd = ids >= len(self.pieces)
+        if odd.any():
+            # Symbols without a piece become bytes.
+            codes = codes[kept]
+            times = np.where(odd, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), 1)
+            ids, rows = np.repeat(ids, times), np.repeat(rows, times)
+            raw = codes[odd].tobytes().decode("utf-32-le").encode()
+            ids[np.repeat(odd, times)] = self.byte_table[np.frombuffer(raw, dtype=np.uint8)]
+        return ids, np.bincount(rows, minlength=n), steps
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.surfaces.__getitem__, ids))
+        return self._text(raw)
+
+    def _text(self, raw: bytes) -> str:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
+    def decode_lists(self, lists: pa.ListArray) -> list[str | None]:
+        """``decode`` of each list of ids, null for null, with the bytes of all looked up at once."""
+        flat, sizes = lists.flatten(), lists.value_lengths()
+        if flat.null_count:
+            raise ValueError("a token id is null")
+        ends = np.cumsum(np.concatenate([[0], sizes.fill_null(0).to_numpy(zero_copy_only=False)]))
+        taken = pa.array(self.surfaces, pa.binary()).take(flat)
+        if not len(flat):
+            return [None if n is None else "" for n in sizes.to_pylist()]
+        _, offsets, body = taken.buffers()
+        at = np.frombuffer(offsets, dtype="<i4")[taken.offset :][ends].tolist()
+        view = memoryview(body or b"")
+        return [None if n is None else self._text(bytes(view[a:b])) for n, a, b in zip(sizes.to_pylist(), at, at[1:])]
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.all, self.size = np.empty(1 << 12, dtype=dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.all):
+            longer = np.empty(max(end, 2 * len(self.all)), dtype=self.all.dtype)
+            longer[: self.size] = self.all[: self.size]
+            self.all = longer
+        self.all[self.size : end] = values
+        self.size = end
+
 
 class Encoder:
     """A worker's encoder, with the stretches it has met."""
 
     def __init__(self, pieces: Pieces, seed: int, rate: float):
         self.pieces, self.seed, self.rate = pieces, seed, rate
-        #: Of each stretch: its number, or -1 if it is encoded anew each time.
-        self.numbers: dict[str, int] = {}
-        #: By number: pieces without a drop, candidates without a drop, CRC-32 of the stretch, and the
-        #: pieces by draws: a bit for each candidate that came up, below one more bit as the end.
-        self.plain: list[bytes] = []
-        self.steps: list[int] = []
-        self.crcs: list[int] = []
-        self.drawn: list[dict[int, bytes]] = []
-        #: By number: how many candidates came up with one draw or another.
-        self.sizes: list[list[int]] = []
-        self.held = 0
+        #: The number of each stretch; by number its CRC-32 and where its tree begins, -1 for a very long one.
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        self.crcs, self.roots = Grown(np.uint64), Grown(np.int64)
+        #: Where each branch leads. A node is two branches: if its candidate is kept, and if it is dropped.
+        self.branches = Grown(np.int32)
+        #: The ids at the ends of branches, and where each of them ends.
+        self.ids, self.ends = Grown(np.int32), Grown(np.int64)
+        self.ends.add(np.zeros(1, dtype=np.int64))
 
     def _keys(self, variant: int, stretches: list[str]) -> np.ndarray:
         """Keys of a text's stretches, by the key of the text and their places."""
@@ -305,121 +359,108 @@ class Encoder:
         base = mixed(variants * np.uint64(FIELDS[1]) + np.uint64(self.seed * FIELDS[0] & WORD64))
         return mixed(mixed(base + places.astype(np.uint64) * np.uint64(FIELDS[0])) + crc * np.uint64(FIELDS[2]))
 
-    def _encoded(self, texts: list[str], keys: np.ndarray, rate: float) -> tuple[list[bytes], list[int]]:
-        """Ids of each stretch, and how many candidates came up (above ``DRAWS`` for a very long one)."""
-        out: list[bytes] = [b""] * len(texts)
-        steps = [DRAWS + 1] * len(texts)
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        group = np.searchsorted(WIDTHS, sizes)
-        for g in np.unique(group).tolist():
-            places = np.flatnonzero(group == g).tolist()
-            if g < len(WIDTHS):
-                for k, got, n in zip(places, *self.pieces.stepped([texts[k] for k in places], keys[places], rate)):
-                    out[k], steps[k] = got, n
-            else:
-                for k in places:
-                    out[k] = self.pieces.one_stretch(texts[k], int(keys[k]), rate)
-        return out, steps
-
-    def _meet(self, stretches: list[str]) -> None:
-        short = [s for s in stretches if len(s) <= WIDEST]
-        self.numbers.update((s, -1) for s in stretches if len(s) > WIDEST)
-        if not short:
-            return
-        plain, steps = self._encoded(short, np.zeros(len(short), dtype=np.uint64), 0.0)
-        self.numbers.update(zip(short, range(len(self.plain), len(self.plain) + len(short))))
-        self.plain += plain
-        self.steps += steps
-        self.crcs += [zlib.crc32(s.encode()) for s in short]
-        self.drawn += [{} for _ in short]
-        self.sizes += [[] for _ in short]
-        self.held += len(short)
+    def _number(self, flat: list[str]) -> np.ndarray:
+        """The numbers of stretches; a very long one has its number for this time only."""
+        met = len(self.numbers)
+        number = np.fromiter(map(self.numbers.__getitem__, flat), dtype=np.int64, count=len(flat))
+        new = list(islice(self.numbers, met, None))
+        self.crcs.add(np.array([zlib.crc32(s.encode()) for s in new], dtype=np.uint64))
+        long = np.array([len(s) > WIDEST for s in new], dtype=bool)
+        self.roots.add(np.where(long, -1, self.branches.size + np.arange(len(new))))
+        self.branches.add(np.full(len(new), UNKNOWN))
+        for k in np.flatnonzero(long).tolist():
+            del self.numbers[new[k]]
+        return number
 
     def encode(self, texts: list[str | None], variants: list[int]) -> list[bytes | None]:
         """Ids of each text as 32-bit numbers; ``variants`` has a key of 64 bits for each text."""
-        if len(self.plain) > CACHE // 2:
+        if len(self.numbers) > CACHE or max(self.branches.size, self.ids.size) > BRANCHES:
             self.__init__(self.pieces, self.seed, self.rate)
-        elif self.held > CACHE:
-            # What was drawn goes; stretches without a drop are what most places need.
-            self.drawn = [{} for _ in self.plain]
-            self.sizes = [[] for _ in self.plain]
-            self.held = len(self.plain)
         lead = " " if self.pieces.prefix else ""
         find = self.pieces.stretch.findall
         cut = [find(lead + t) if t else [] for t in texts]
         flat = [s for stretches in cut for s in stretches]
-        self._meet(sorted({s for s in flat if s not in self.numbers}))
-        number = list(map(self.numbers.__getitem__, flat))
-        out = [self.plain[n] if n >= 0 else b"" for n in number]
-        if flat:
-            sizes = np.array([len(s) for s in cut])
-            places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            of_text = np.repeat(np.array([v & WORD64 for v in variants], dtype=np.uint64), sizes)
-            self._draw(flat, np.array(number), of_text, places, out)
-        ends = np.cumsum([len(s) for s in cut]).tolist()
-        return [None if t is None else b"".join(out[e - len(s) : e]) for t, s, e in zip(texts, cut, ends)]
-
-    def _draw(self, flat: list[str], number: np.ndarray, variants: np.ndarray, places: np.ndarray, out: list[bytes]) -> None:
-        """Put the pieces of the stretches in which a candidate is dropped, or that are not kept, in ``out``."""
-        own = number < 0
-        crc, steps = np.zeros(len(flat), dtype=np.uint64), np.zeros(len(flat), dtype=np.int64)
-        kept = ~own
-        if kept.any():
-            crc[kept] = np.array(self.crcs, dtype=np.uint64)[number[kept]]
-            steps[kept] = np.array(self.steps)[number[kept]]
-        for k in np.flatnonzero(own).tolist():
-            crc[k] = zlib.crc32(flat[k].encode())
-        keys = self._placed(variants, places, crc)
-        dropped = np.zeros(len(flat), dtype=bool)
-        if self.rate > 0:
-            going = np.flatnonzero(steps > 0)
-            step = 0
-            while len(going):
-                dropped[going] |= skipped(keys[going], step, self.rate)
-                step += 1
-                going = going[(steps[going] > step) & ~dropped[going]]
-        at = np.flatnonzero(dropped)
-        draws = np.zeros(len(at), dtype=np.uint64)
-        # Each merge offers at most two candidates more, so a short stretch cannot take many draws.
-        most = np.minimum(DRAWS, 3 * (np.fromiter((len(flat[k]) for k in at.tolist()), dtype=np.int64, count=len(at)) - 1))
-        order = np.argsort(-most, kind="stable")
-        longest, counts = at[order], np.searchsorted(-most[order], -np.arange(DRAWS))
-        for step in range(DRAWS):
-            n = counts[step]
-            if not n:
-                break
-            draws[order[:n]] |= skipped(keys[longest[:n]], step, self.rate).astype(np.uint64) << np.uint64(step)
-        left = []
-        for k, n, bits in zip(at.tolist(), number[at].tolist(), draws.tolist()):
-            known = self.drawn[n]
-            for size in self.sizes[n]:
-                got = known.get(bits & (1 << size) - 1 | 1 << size)
-                if got is not None:
-                    out[k] = got
-                    break
-            else:
-                left.append((k, n, bits))
-        new: dict[tuple[int, int], list[int]] = {}
-        for k, n, bits in left:
-            new.setdefault((n, bits), []).append(k)
-        same = [ks for ks in new.values()]
-        # Draws beyond the first ``DRAWS`` come from the whole key, so only one place stands for others when they do not count.
-        got, sizes = self._encoded([flat[ks[0]] for ks in same], keys[[ks[0] for ks in same]], self.rate) if same else ([], [])
-        again = []
-        for ((n, bits), ks), ids, size in zip(new.items(), got, sizes):
-            out[ks[0]] = ids
-            if size > DRAWS:
-                again += ks[1:]
-                continue
-            for k in ks[1:]:
-                out[k] = ids
-            self.drawn[n][bits & (1 << size) - 1 | 1 << size] = ids
-            if size not in self.sizes[n]:
-                self.sizes[n].append(size)
-            self.held += 1
-        again += np.flatnonzero(own).tolist()
-        for k, ids in zip(again, self._encoded([flat[k] for k in again], keys[again], self.rate)[0] if again else []):
-            out[k] = ids
+        number = self._number(flat)
+        sizes = np.array([len(s) for s in cut], dtype=np.int64)
+        lasts = np.cumsum(sizes)
+        of_text = np.repeat(np.array([v & WORD64 for v in variants], dtype=np.uint64), sizes)
+        keys = self._placed(of_text, np.arange(len(flat)) - np.repeat(lasts - sizes, sizes), self.crcs.all[number])
+        at, kept = self._ends(flat, self.roots.all[number], keys)
+        starts, counts = self.ends.all[at], self.ends.all[at + 1] - self.ends.all[at]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        raw = self.ids.all[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], counts)].astype("<i4").tobytes()
+        # What no branch leads to is not kept.
+        self.ids.size, self.ends.size = kept
+        first, last = 4 * upto[lasts - sizes], 4 * upto[lasts]
+        return [None if t is None else raw[a:b] for t, a, b in zip(texts, first.tolist(), last.tolist())]
+
+    def _ends(self, flat: list[str], branches: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
+        """Where in ``ends`` the ids of each stretch are, and how much of ``ids`` and ``ends`` is to be kept."""
+        out = np.zeros(len(flat), dtype=np.int64)
+        own = np.flatnonzero(branches < 0)
+        steps = np.zeros(len(flat), dtype=np.int64)
+        left = self._walk(np.flatnonzero(branches >= 0), branches, steps, keys, out)
+        while len(left) > FEW:
+            # One of the places at each new branch is encoded; the others get further, and may differ there.
+            first = np.unique(branches[left], return_index=True)[1]
+            self._grow(left[first], flat, branches, steps, keys, out)
+            left = self._walk(np.delete(left, first), branches, steps, keys, out)
+        kept = self.ids.size, self.ends.size
+        self._encoded(left, flat, keys, out)
+        for k in own.tolist():
+            ids = np.frombuffer(self.pieces.one_stretch(flat[k], int(keys[k]), self.rate), dtype="<i4")
+            out[k] = self._add(ids, np.array([len(ids)]))[0]
+        return out, kept
+
+    def _walk(self, left: np.ndarray, branches: np.ndarray, steps: np.ndarray, keys: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Lead places down to their ids, or to a branch not taken yet; those places are returned."""
+        new = []
+        at, step, key = branches[left], steps[left], keys[left]
+        while len(left):
+            to = self.branches.all[at]
+            more = to >= 0
+            end = np.flatnonzero(~more)
+            if len(end):
+                out[left[end]] = -2 - to[end]
+                end = end[to[end] == UNKNOWN]
+                branches[left[end]], steps[left[end]] = at[end], step[end]
+                new.append(left[end])
+                left, step, key, to = left[more], step[more], key[more], to[more]
+            at = to + skipped(key, step, self.rate)
+            step = step + 1
+        return np.sort(np.concatenate(new)) if new else left
+
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Append ids to ``ids``; where in ``ends`` each of them is."""
+        at = self.ends.size - 1 + np.arange(len(counts))
+        self.ends.add(self.ids.size + np.cumsum(counts))
+        self.ids.add(ids)
+        return at
+
+    def _encoded(self, places: np.ndarray, flat: list[str], keys: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Encode stretches at places, and put in ``out`` where their ids are; how many candidates came up in each."""
+        texts = [flat[k] for k in places.tolist()]
+        steps = np.zeros(len(texts), dtype=np.int64)
+        order = np.argsort(np.array([len(t) for t in texts], dtype=np.int64), kind="stable")
+        for start in range(0, len(texts), BLOCK):
+            block = order[start : start + BLOCK]
+            ids, counts, steps[block] = self.pieces.stepped([texts[k] for k in block.tolist()], keys[places[block]], self.rate)
+            out[places[block]] = self._add(ids, counts)
+        return steps
+
+    def _grow(self, places: np.ndarray, flat: list[str], branches: np.ndarray, steps: np.ndarray, keys: np.ndarray, out: np.ndarray) -> None:
+        """Encode stretches whose draws led to different new branches, and put nodes for their further draws there."""
+        depth = steps[places]
+        nodes = self._encoded(places, flat, keys, out) - depth
+        ends = -2 - out[places]
+        first = np.cumsum(nodes) - nodes
+        of = np.repeat(np.arange(len(places)), nodes)
+        within = np.arange(len(of)) - first[of]
+        node = self.branches.size + 2 * np.arange(len(of))
+        taken = node + skipped(keys[places[of]], depth[of] + within, self.rate)
+        self.branches.all[branches[places]] = np.where(nodes > 0, self.branches.size + 2 * first, ends)
+        self.branches.add(np.full(2 * len(of), UNKNOWN))
+        self.branches.all[taken] = np.where(within + 1 < nodes[of], node + 2, ends[of])
 
 
 #: The encoder of each model, seed and rate, kept as long as a worker lives.
@@ -486,20 +527,13 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", name: str = "decod
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [None if i is None else model.decode(i.tolist()) for i in _lists(batch.column(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+            texts = pa.array(model.decode_lists(batch.column(ids)), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, name])
 
     base = rows.select(*[F.col(f"`{c}`") for c in columns])
     return base.mapInArrow(over, StructType([*base.schema.fields, StructField(name, StringType())]))
 
 
-def _lists(column: pa.ListArray) -> Iterator[np.ndarray | None]:
-    flat, at = column.flatten().to_numpy(zero_copy_only=False), 0
-    for size in column.value_lengths().to_pylist():
-        yield None if size is None else flat[at : at + size]
-        at += size or 0
-
-
 def tokens(docs: DataFrame, pieces: Pieces | None = None, copy: str | None = None) -> DataFrame:
     """doc_id, source, lang, number of tokens and the ids: the corpus as a trainer reads it."""
     name = fresh(docs, "ids")
